@@ -103,6 +103,7 @@ class TreeAlgebra:
     commutative: bool = False
     parse: Callable[[str], Any] = int
     parse_col: Callable[[Column], Column] = lambda text: text.cast("bigint")
+    format_col: Callable[[Column], Column] = lambda value: value.cast("string")
     column: ColumnForm | None = None
     affine: AffineForm | None = None
     batch: BatchForm | None = None
@@ -269,6 +270,7 @@ path_automaton = TreeAlgebra(
     commutative=True,
     parse=lambda text: matrix.masks_of_int(int(text)),
     parse_col=matrix.masks_col,
+    format_col=matrix.text_col,
     column=ColumnForm(
         hom=lambda a: a, plus=matrix.product_col, mult=matrix.union_col, agg=matrix.union_agg
     ),
@@ -285,4 +287,24 @@ path_automaton = TreeAlgebra(
     batch=_AutomatonBatch(),
 )
 
+# ---- sum of all values --------------------------------------------------------------------------
+
+value_sum = TreeAlgebra(
+    name="value_sum",
+    value_type=T.LongType(),
+    result_type=T.LongType(),
+    hom=lambda a: a,
+    plus=lambda a, s: a + s,
+    mult=lambda x, y: x + y,
+    commutative=True,
+    column=ColumnForm(hom=lambda a: a, plus=lambda a, s: a + s, mult=lambda x, y: x + y, agg=F.sum),
+    affine=AffineForm(
+        p_type=T.LongType(),
+        of_node=lambda a, s: (a + F.coalesce(s, F.lit(0)), F.lit(None).cast("bigint")),
+        compose=lambda ku, pu, kl, pl: (ku + kl, pu),
+        apply=lambda k, p, x: k + x,
+        apply_value=lambda k, p, x: k + x,
+    ),
+)
+
 ALGEBRAS = {a.name: a for a in (max_path_sum, sum_product, path_automaton)}

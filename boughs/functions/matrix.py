@@ -57,7 +57,16 @@ def masks_col(text: Column) -> Column:
         part = x % hi - x % lo
         return (part.cast("decimal(31,0)") / lo.cast("decimal(31,0)")).cast("int")
 
-    return F.array(*[row(i) for i in range(SIZE)])
+    return F.when(text.isNotNull(), F.array(*[row(i) for i in range(SIZE)]))
+
+
+def text_col(masks: Column) -> Column:
+    """Encode row masks as the decimal text form."""
+    total = F.lit(0).cast("decimal(33,0)")
+    for i in range(SIZE):
+        weight = F.lit(str(1 << (SIZE * i))).cast("decimal(28,0)")
+        total = (total + masks[i].cast("decimal(4,0)") * weight).cast("decimal(33,0)")
+    return total.cast("string")
 
 
 def product_col(a: Column, b: Column) -> Column:

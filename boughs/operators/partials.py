@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.algebra import TreeAlgebra
-from ..functions.fold_events import CLOSE, OPEN, VALUE, Events, Partials, fold_events
+from ..functions.fold_events import CLOSE, OPEN, Events, Partials, fold_events
+from ..functions.grouped import group_heads, whole_groups
+from ..session import ship_package
 
 FAN_IN = 256
 
@@ -75,6 +77,7 @@ def chunk_partial(chunks: DataFrame, algebra: TreeAlgebra) -> DataFrame:
                 values = [None if t is None else algebra.parse(t) for t in texts.to_pylist()]
             yield _batch(b.column(0), b.column(1), fold_events(Events(kind, values, offsets), algebra, a_type, v_type))
 
+    ship_package(chunks.sparkSession)
     rows = chunks.select(F.col("tree_id").cast("bigint"), F.col("chunk_id").cast("bigint"), "tokens")
     return rows.mapInArrow(run, partial_schema(algebra))
 
@@ -141,32 +144,15 @@ def _merge_round(partials: DataFrame, algebra: TreeAlgebra, fan_in: int) -> Data
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: pa.Table | None = None  # rows of the last group, which may go on in the next batch
-        for b in batches:
-            table = pa.Table.from_batches([b])
-            if pending is not None:
-                table = pa.concat_tables([pending, table])
-            if table.num_rows == 0:
-                continue
-            heads = _heads(table)
-            last = int(heads[-1])
-            if last:
-                yield merge(table.slice(0, last), heads[:-1])
-            pending = table.slice(last)
-        if pending is not None and pending.num_rows:
-            yield merge(pending, _heads(pending))
+        for table in whole_groups(batches, ["tree_id", "blk"]):
+            yield merge(table, group_heads(table, ["tree_id", "blk"]))
 
+    ship_package(partials.sparkSession)
     rows = partials.select(*names, F.expr(f"chunk_id div {fan_in}").alias("blk"))
     rows = rows.repartition("tree_id", "blk").sortWithinPartitions("tree_id", "blk", "chunk_id")
     return rows.mapInArrow(run, partial_schema(algebra))
 
 
-def _heads(table: pa.Table) -> np.ndarray:
-    tree = table.column("tree_id").to_numpy()
-    blk = table.column("blk").to_numpy()
-    return np.flatnonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (blk[1:] != blk[:-1])]))
-
-
 def merge_partials(partials: DataFrame, algebra: TreeAlgebra, max_chunk_id: int, fan_in: int = FAN_IN) -> DataFrame:
     """Merge neighbouring partials in rounds until each tree has one. ``chunk_id`` gives the order."""
     while max_chunk_id > 0:

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 BLOCK_BITS = 12
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
@@ -35,7 +37,11 @@ def exclusive_scan(
 
     ``scans`` maps an output column to ``(input column, 'sum' | 'min' | 'max' | 'last')``. ``order`` must be
     a non-negative BIGINT, unique per key. Rows with nothing before them get 0 for sums, else NULL.
+
+    ``df`` is a summary (one row per segment or chunk) and both steps read it, so it is written first: what
+    it summarises is scanned once, and its written size lets Catalyst decide how to join it back.
     """
+    df = materialize(df, "summary")
     blk = "__blk"
     rows = df.withColumn(blk, F.shiftright(order, block_bits))
     inside = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
