@@ -48,7 +48,7 @@ class ColumnForm:
 
 @dataclass(frozen=True)
 class AffineForm:
-    """Contexts are ``struct<k: result_type, p>``; a NULL ``k`` stands for "no constant part"."""
+    """Contexts are ``struct<k: result_type, p>``."""
 
     p_type: T.DataType
     #: node value, known children product (NULL if there is none) -> (k, p)
@@ -276,13 +276,10 @@ path_automaton = TreeAlgebra(
     ),
     affine=AffineForm(
         p_type=T.ArrayType(T.IntegerType()),
-        of_node=lambda a, s: (F.when(s.isNotNull(), matrix.product_col(a, s)), a),
-        compose=lambda ku, pu, kl, pl: (
-            F.coalesce(matrix.union_col(ku, matrix.product_col(pu, kl)), ku, matrix.product_col(pu, kl)),
-            matrix.product_col(pu, pl),
-        ),
-        apply=lambda k, p, x: F.coalesce(matrix.union_col(k, matrix.product_col(p, x)), matrix.product_col(p, x)),
-        apply_value=lambda k, p, x: matrix.product(p, x) if k is None else matrix.union(k, matrix.product(p, x)),
+        of_node=lambda a, s: (F.coalesce(matrix.product_col(a, s), matrix.zero_col()), a),
+        compose=lambda ku, pu, kl, pl: (matrix.union_col(ku, matrix.product_col(pu, kl)), matrix.product_col(pu, pl)),
+        apply=lambda k, p, x: matrix.union_col(k, matrix.product_col(p, x)),
+        apply_value=lambda k, p, x: matrix.union(k, matrix.product(p, x)),
     ),
     batch=_AutomatonBatch(),
 )

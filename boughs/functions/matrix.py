@@ -76,7 +76,12 @@ def product_col(a: Column, b: Column) -> Column:
             acc = acc.bitwiseOR(F.when(r.bitwiseAND(F.lit(1 << k)) != 0, b[k]).otherwise(F.lit(0)))
         return acc
 
-    return F.transform(a, row)
+    # the other operand stays outside the lambda: NULL if it is NULL
+    return F.when(b.isNotNull(), F.transform(a, row))
+
+
+def zero_col() -> Column:
+    return F.array(*[F.lit(0)] * SIZE)
 
 
 def union_col(a: Column, b: Column) -> Column:
