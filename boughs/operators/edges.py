@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import value_sum
 from ..plans.levels import combine_children
 from ..session import materialize
+from .skew import spread_join
 
 
 def tree_from_edges(edges: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def tree_from_edges(edges: DataFrame) -> DataFrame:
     if not roots.filter("n = 0").isEmpty():
         raise ValueError("root not found")
     ids = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    # a wide family meets one row per parent and side; distinct parents first, so that it never gathers
+    # distinct parents first: a wide family is one row of the check
     parents = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", "parent_id").distinct()
     if not parents.join(ids, ["tree_id", "parent_id"], "left_anti").isEmpty():
         raise ValueError("parent not found")
@@ -51,29 +52,9 @@ def tree_from_edges(edges: DataFrame) -> DataFrame:
     return kept.unionAll(leaves)
 
 
-#: families above this many members are spread; at most HOT_KEYS families can be that large
-HOT_ROWS, HOT_KEYS = 1 << 20, 1 << 16
-
-
-def _by_parent(rows: DataFrame, facts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Left join of ``rows`` with per-node ``facts`` on the parent.
-
-    Families with more than ``hot_rows`` members are found by a count with map-side combine. Only their facts
-    are copied, one copy per ``hot_rows`` members, and their members pick a copy by a hash. The list of such
-    families is broadcast: raising the limit with the row count keeps it within HOT_KEYS rows.
-    """
-    key = ["tree_id", "parent_id"]
-    fan = materialize(rows.groupBy(*key).count(), "fan")
-    limit = max(hot_rows, (fan.agg(F.sum("count")).first()[0] or 0) // HOT_KEYS)
-    hot = fan.filter(F.col("parent_id").isNotNull() & (F.col("count") > limit))
-    if hot.isEmpty():
-        return rows.join(facts, key, "left")
-    hot = hot.select(*key, F.ceil(F.col("count") / limit).cast("int").alias("copies"))
-    pick = F.pmod(F.xxhash64("node_id"), F.coalesce("copies", F.lit(1))).cast("int")
-    rows = rows.join(F.broadcast(hot), key, "left").withColumn("salt", pick).drop("copies")
-    copy = F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))
-    facts = facts.join(F.broadcast(hot), key, "left").withColumn("salt", copy).drop("copies")
-    return rows.join(facts, [*key, "salt"], "left").drop("salt")
+def _by_parent(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Left join of ``rows`` with per-node ``facts`` on the parent; wide families are spread."""
+    return spread_join(rows, facts, ["tree_id", "parent_id"], F.col("node_id"))
 
 
 def _double(jump: DataFrame) -> DataFrame:

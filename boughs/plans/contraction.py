@@ -24,6 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.algebra import TreeAlgebra
 from ..functions.grouped import whole_groups
+from ..operators.skew import spread_join
 from ..session import materialize, ship_package
 
 SMALL = 50_000
@@ -58,22 +59,25 @@ def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> Data
     """Root results ``(tree_id, v)`` of the trees in ``state``."""
     algebra.need_affine("contract")
     state = materialize(state.select(*_STATE), "state")
-    done: list[DataFrame] = []
-    rows, turn, counted = None, 0, False
+    sizes = materialize(state.groupBy("tree_id").count(), "sizes")
+    largest, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    if (largest or 0) <= small:
+        return _finish(state, algebra)
+
+    # small trees are done at once; only the large ones go through the rounds
+    sized = spread_join(state, sizes.select("tree_id", F.col("count").alias("size")), ["tree_id"], F.col("id"))
+    done = [_finish(sized.filter(F.col("size") <= small).drop("size"), algebra)]
+    state = sized.filter(F.col("size") > small).drop("size")
+    kids = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    state = materialize(state.join(kids, ["tree_id", "id"], "left").na.fill(0, ["n"]), "state")
+    turn, before = 0, None
     while True:
-        sizes = state.groupBy("tree_id").count().agg(F.max("count"), F.sum("count")).first()
-        largest, total = sizes[0] or 0, sizes[1] or 0
-        if largest <= small:
+        largest, total = state.groupBy("tree_id").count().agg(F.max("count"), F.sum("count")).first()
+        if (largest or 0) <= small:
             break
-        if total == rows:
+        if total == before:
             raise ValueError("no node without children: the input has a cycle or a missing parent")
-        rows, turn = total, turn + 1
-        if not counted:
-            kids = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(
-                F.count("*").alias("n")
-            )
-            state = materialize(state.join(kids, ["tree_id", "id"], "left").na.fill(0, ["n"]), "state")
-            counted = True
+        before, turn = total, turn + 1
         leaves = state.filter("n = 0").select("tree_id", "parent", _value(algebra).alias("v"))
         done.append(leaves.filter("parent is null").select("tree_id", "v"))
         state = _compress(_rake(state, leaves, algebra), algebra, turn)

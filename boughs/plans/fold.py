@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
-from ..operators.partials import FAN_IN, chunk_partial, chunk_shape
+from ..operators.partials import chunk_partial, chunk_shape
+from ..operators.skew import spread_join
 from ..session import materialize
 from .chunks import fold_partials
 from .pairs import chunk_depth, fold_pair_partials
@@ -26,11 +27,11 @@ def fold_tree(chunks: DataFrame, algebra: TreeAlgebra, entry_limit: int = ENTRY_
         return fold_partials(partials, algebra)
     depths = materialize(chunk_depth(chunk_shape(partials)), "depths")
     reach = F.col("depth") + F.greatest(F.col("n_abs"), F.col("n_cs"))
-    deep = depths.groupBy("tree_id").agg(F.max(reach).alias("reach")).filter(F.col("reach") * 2 > entry_limit)
-    deep = materialize(deep.select("tree_id"), "deep")
-    if deep.isEmpty():
+    heights = materialize(depths.groupBy("tree_id").agg(F.max(reach).alias("reach")), "heights")
+    if (heights.agg(F.max("reach")).first()[0] or 0) * 2 <= entry_limit:
         return fold_partials(partials, algebra)
-    # trees are picked through their chunks, by a list of tree ids that Spark may broadcast by its size
-    tall = partials.join(deep, "tree_id", "left_semi")
-    flat = partials.join(deep, "tree_id", "left_anti")
-    return fold_partials(flat, algebra, FAN_IN).unionAll(fold_pair_partials(tall, algebra))
+    rows = spread_join(partials, heights, ["tree_id"], F.col("chunk_id"))
+    rows = materialize(rows, "routed")
+    tall = F.col("reach") * 2 > entry_limit
+    merged = fold_partials(rows.filter(~tall).drop("reach"), algebra)
+    return merged.unionAll(fold_pair_partials(rows.filter(tall).drop("reach"), algebra))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.algebra import TreeAlgebra
 from ..operators.scan import exclusive_scan
 from ..operators.shape import SEGMENT_BITS, index_tokens, token_depth
+from ..operators.skew import spread_join
+from ..session import materialize
 
 CLOSE_TOKEN = "/"
 
@@ -19,12 +21,14 @@ def read_tree_text(spark: SparkSession, path: str | list[str], per_file: bool =
 
     The lines of all files in path order are one tree (``tree_id`` 0), or one tree per file. Line order is
     not partition order: a split is known by its file and offset, lines are counted inside their split, and
-    a scan over the per-split counts gives dense chunk numbers.
+    a scan over the per-split counts gives dense chunk numbers. The lines are written as a table first:
+    splits depend on the cluster size of the moment, so the text must be read only once.
     """
     lines = spark.read.options(**options).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
     )
     lines = lines.filter(F.length(F.trim("value")) > 0).withColumn("row", F.monotonically_increasing_id())
+    lines = materialize(lines.withColumn("tokens", split_line(F.col("value"))).drop("value"), "lines")
     splits = lines.groupBy("file", "at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
     files = splits.groupBy("file").agg(F.sum("n").alias("n_file"))
     by_file = Window.orderBy("file")  # one row per input file
@@ -40,7 +44,7 @@ def read_tree_text(spark: SparkSession, path: str | list[str], per_file: bool =
         "file", "at", tree.cast("bigint").alias("tree_id"), (offset + F.col("start") - F.col("first")).alias("shift")
     )
     return lines.join(starts, ["file", "at"]).select(
-        "tree_id", (F.col("row") + F.col("shift")).alias("chunk_id"), split_line(F.col("value")).alias("tokens")
+        "tree_id", (F.col("row") + F.col("shift")).alias("chunk_id"), "tokens"
     )
 
 
@@ -94,7 +98,8 @@ def serialize_depth(tokens: DataFrame, parts: int | Callable[[Column], Column])
     segments = tokens.groupBy("tree_id", F.shiftright("pos", SEGMENT_BITS).alias("c")).agg(F.count("*").alias("n"))
     cuts = segments.groupBy("tree_id").agg(F.sum("n").alias("n"))
     cuts = cuts.select("tree_id", F.greatest(F.floor(F.col("n") / ways(F.col("n"))), F.lit(1)).alias("m"))
-    rows = rows.join(segments.join(cuts, "tree_id").select("tree_id", "c", "m"), ["tree_id", "c"])
+    segments = spread_join(segments, cuts, ["tree_id"], F.col("c")).select("tree_id", "c", "m")
+    rows = rows.join(segments, ["tree_id", "c"])
     word = F.concat_ws(" ", F.col("depth").cast("string"), token_text(F.col("value")))
     lines = rows.groupBy("tree_id", F.expr("pos div m").alias("line")).agg(
         F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))).alias("ws")
