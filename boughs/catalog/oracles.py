@@ -330,5 +330,28 @@ def all_oracles() -> dict[str, str]:
         ", p AS (SELECT tree_id, n, 2 * n // 4 + 1 AS m, unnest(range((2 * n + 2 * n // 4) // (2 * n // 4 + 1))) AS chunk_id FROM spec)"
         " SELECT tree_id, chunk_id, least(m, 2 * n - chunk_id * m) AS n_tokens FROM p"
     )
+    out["gen_branching"] = """
+WITH RECURSIVE r AS (
+  SELECT 0 AS rnd, 5 AS depth, (SELECT count(*) FROM orders) AS size, (SELECT count(*) FROM orders) AS next_id
+  UNION ALL
+  SELECT rnd + 1, depth - 1, kept + made, next_id + made FROM (
+    SELECT *, (size - kept + run - 1) // run AS made FROM (
+      SELECT *, greatest((size - kept) // 8, 1) AS run FROM (SELECT *, CAST(floor(size * 0.25) AS BIGINT) AS kept FROM r)))
+  WHERE depth > 2 AND size >= 8),
+p AS (SELECT *, (size - kept + run - 1) // run AS made, depth > 2 AND size >= 8 AS active FROM (
+    SELECT *, greatest((size - kept) // 8, 1) AS run FROM (SELECT *, CAST(floor(size * 0.25) AS BIGINT) AS kept FROM r))),
+it AS (
+  SELECT 0 AS rnd, unnest(range((SELECT count(*) FROM orders))) AS id, unnest(range((SELECT count(*) FROM orders))) AS spot
+  UNION ALL
+  SELECT it.rnd + 1, CASE WHEN spot < kept THEN id ELSE next_id + made - 1 - (spot - kept) // run END,
+    CASE WHEN spot < kept THEN spot ELSE kept + made - 1 - (spot - kept) // run END
+  FROM it JOIN p ON it.rnd = p.rnd WHERE active AND (spot < kept OR (spot - kept) % run = 0)),
+e AS (
+  SELECT CASE WHEN active THEN next_id + made - 1 - (spot - kept) // run ELSE next_id END AS parent_id,
+    CASE WHEN active THEN (spot - kept) % run ELSE spot END AS place
+  FROM it JOIN p ON it.rnd = p.rnd WHERE NOT active OR spot >= kept
+  UNION ALL SELECT NULL, 0)
+SELECT CAST(parent_id AS BIGINT) AS parent_id, count(*) AS n_children, CAST(min(place) AS BIGINT) AS first,
+  CAST(max(place) AS BIGINT) AS last, count(*) AS total FROM e GROUP BY parent_id"""
     out["gen_trees_fold"] = _gen_sql("SELECT tree_id, n AS value FROM spec")
     return out

@@ -104,12 +104,7 @@ def _fold(plan: Callable, source: Callable, algebra: TreeAlgebra) -> Query:
 # ---- star schema ----
 
 
-def _star_depth() -> Column:
-    return F.expr(f"node_id div {tables.STAR_LEVEL}").cast("int")
-
-
-def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.star_nodes(spark, sf_dir).withColumn("depth", _star_depth())
+_star = tables.star_nodes
 
 
 def _star_fold(algebra: TreeAlgebra, value: Callable[[Column], Column]) -> Query:
@@ -138,7 +133,7 @@ def _forest_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_ops.tree_from_edges(tables.star_nodes(spark, sf_dir))
+    return edge_ops.tree_from_edges(_star(spark, sf_dir).drop("depth"))
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .contraction import fold_rounds
 
 BITS = 12
 #: Above this height one shuffle per level is a poor plan; contraction needs a logarithmic number.
-TALL = 64
+TALL = 30
 CUT_EVERY = 8
 
 

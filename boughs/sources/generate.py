@@ -50,7 +50,7 @@ def _random_tokens(specs: DataFrame, deepness: float, seed: int, matrices: bool)
         raise ValueError("deepness must be within 0..1")
     bad = F.raise_error("n_nodes must be positive")
     n = F.when(F.col("n_nodes") <= 0, bad).otherwise(F.col("n_nodes")).cast("bigint")
-    specs = specs.select(F.col("tree_id").cast("bigint").alias("tree_id"), n.alias("n"))
+    specs = materialize(specs.select(F.col("tree_id").cast("bigint").alias("tree_id"), n.alias("n")), "specs")
     seg = ["tree_id", "c"]
 
     up = _uniform(F.col("tree_id"), F.lit(seed), F.col("k")) < F.lit(deepness)

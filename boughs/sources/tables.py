@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ STAR_LEVEL = 10**16
 
 
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge table ``(tree_id, node_id, parent_id, value)``; a row's parent is the row it refers to."""
+    """Edge table ``(tree_id, node_id, parent_id, value, depth)``; a row's parent is the row it refers to."""
     region = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("r"))
     nation = load(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("n"), F.col("n_regionkey").cast("bigint").alias("r")
@@ -130,7 +132,7 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orr = orders.join(cr.select("c", "r"), "c")
     lr = lines.join(orr.select("o", "r"), lines.l_orderkey == orr.o)
     none = F.lit(None).cast("bigint")
-    parts = [
+    levels = [
         region.select(F.col("r").alias("tree_id"), node(0, F.col("r")), none, F.col("r")),
         nr.select("r", node(1, F.col("n")), node(0, F.col("r")), F.col("n")),
         cr.select("r", node(2, F.col("c")), node(1, F.col("n")), F.col("bal") % 100),
@@ -139,10 +141,9 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             "r", node(4, F.col("o") * 16 + F.col("l_linenumber")), node(3, F.col("o")), F.col("q")
         ),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.toDF("tree_id", "node_id", "parent_id", "value")
+    # a literal depth per branch: a filter on it drops the other tables from the plan
+    out = reduce(DataFrame.unionAll, [rows.select("*", F.lit(d)) for d, rows in enumerate(levels)])
+    return out.toDF("tree_id", "node_id", "parent_id", "value", "depth")
 
 
 def conversation_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
