@@ -238,9 +238,12 @@ def all_oracles() -> dict[str, str]:
         " SELECT tree_id, line, CAST(line AS VARCHAR) || chr(9) || body AS text FROM b"
     )
     out["serialize_depth"] = (
-        "SELECT conv_id AS tree_id, '0' || chr(9) ||"
-        " string_agg(CAST(turn AS VARCHAR) || ' ' || CAST(length(text) AS VARCHAR), ' ' ORDER BY turn) || ' ' ||"
-        " string_agg(CAST(turn AS VARCHAR) || ' /', ' ' ORDER BY turn DESC) AS text FROM conversations GROUP BY conv_id"
+        "WITH x AS (SELECT conv_id AS tree_id, turn, length(text) AS len, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),"
+        " k AS (SELECT tree_id, n, turn AS pos, turn, CAST(len AS VARCHAR) AS w FROM x"
+        " UNION ALL SELECT tree_id, n, 2 * n - 1 - turn, turn, '/' FROM x),"
+        " m AS (SELECT *, greatest(2 * n // CAST(ceil(2 * n / 4096.0) AS BIGINT), 1) AS m FROM k),"
+        " b AS (SELECT tree_id, pos // m AS line, string_agg(CAST(turn AS VARCHAR) || ' ' || w, ' ' ORDER BY pos) AS body FROM m GROUP BY ALL)"
+        " SELECT tree_id, line, CAST(line AS VARCHAR) || chr(9) || body AS text FROM b"
     )
     out["result_codec"] = parts + (
         "SELECT tree_id, chunk_id, part, i, coalesce(CAST(v AS VARCHAR), '_') AS t, v FROM flat"
@@ -327,7 +330,8 @@ def all_oracles() -> dict[str, str]:
     for name in ("gen_trees", "gen_trees_path", "gen_trees_matrix"):
         out[name] = _GEN_FACTS
     out["gen_chunks"] = _gen_sql(
-        ", p AS (SELECT tree_id, n, 2 * n // 4 + 1 AS m, unnest(range((2 * n + 2 * n // 4) // (2 * n // 4 + 1))) AS chunk_id FROM spec)"
+        ", m AS (SELECT tree_id, n, 2 * n // CAST(ceil(n / 256.0) AS BIGINT) + 1 AS m FROM spec),"
+        " p AS (SELECT tree_id, n, m, unnest(range((2 * n + m - 1) // m)) AS chunk_id FROM m)"
         " SELECT tree_id, chunk_id, least(m, 2 * n - chunk_id * m) AS n_tokens FROM p"
     )
     out["gen_branching"] = """

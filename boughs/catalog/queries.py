@@ -209,14 +209,14 @@ def _depth_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _depth_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as one line of depth-annotated text."""
+    """Each conversation as depth-annotated text: one line, more for those above 4096 tokens."""
     nodes = tables.conversation_nodes(spark, sf_dir).withColumn("c", F.shiftright("node_id", shape.SEGMENT_BITS))
     last = nodes.groupBy("tree_id").agg((2 * F.max("node_id") + 1).alias("last"))
     # reaches the turns through their segments, so that a long conversation is not joined in one task
     per_segment = nodes.select("tree_id", "c").distinct().join(last, "tree_id")
     placed = nodes.join(per_segment, ["tree_id", "c"]).withColumn("depth", F.col("node_id"))
     tokens = shape.serialize_tree(placed.withColumn("close_pos", F.col("last") - F.col("node_id"))).drop("depth")
-    return text.serialize_depth(tokens, 1).select("tree_id", "text")
+    return text.serialize_depth(tokens, lambda n: F.ceil(n / 4096))
 
 
 def _serialized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,13 +284,13 @@ def _generated(deepness: float, matrices: bool = False) -> Query:
 
 
 def _generated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = generate.gen_chunks(_specs(spark, sf_dir), parts=4, deepness=0.5, seed=7)
+    chunks = generate.gen_chunks(_specs(spark, sf_dir), parts=lambda n: F.ceil(n / 256), deepness=0.5, seed=7)
     return chunks.select("tree_id", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 def _generated_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With unit elements the value sum of a random tree is its number of nodes."""
-    return fold_chunks(generate.gen_chunks(_specs(spark, sf_dir), parts=8, deepness=0.6, seed=3), value_sum)
+    return fold_chunks(generate.gen_chunks(_specs(spark, sf_dir), parts=lambda n: F.ceil(n / 512), deepness=0.6, seed=3), value_sum)
 
 
 def _branching(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +110,23 @@ def gen_trees(specs: DataFrame, deepness: float = 0.7, seed: int = 0, matrices:
 
 
 def gen_chunks(
-    specs: DataFrame, parts: int, deepness: float = 0.7, seed: int = 0, matrices: bool = False
+    specs: DataFrame,
+    parts: int | Callable[[Column], Column],
+    deepness: float = 0.7,
+    seed: int = 0,
+    matrices: bool = False,
 ) -> DataFrame:
-    """Chunk tables of random trees: each tree is cut after every ``2 * n_nodes div parts + 1`` tokens."""
-    if parts <= 0:
+    """Chunk tables of random trees: each tree is cut after every ``2 * n_nodes div parts + 1`` tokens.
+
+    A chunk is one row, so let ``parts`` grow with large trees: it may be a function of the node count.
+    """
+    if not callable(parts) and parts <= 0:
         raise ValueError("parts must be positive")
-    tokens = _random_tokens(specs, deepness, seed, matrices)
+    ways = parts(F.col("n")) if callable(parts) else F.lit(parts)
+    tokens = _random_tokens(specs, deepness, seed, matrices).withColumn("ways", ways.cast("bigint"))
     algebra = path_automaton if matrices else max_path_sum
     word = token_text(F.col("value"), algebra)
-    chunk = F.expr(f"pos div (2 * n div {int(parts)} + 1)").alias("chunk_id")
+    chunk = F.expr("pos div (2 * n div ways + 1)").alias("chunk_id")
     pieces = tokens.groupBy("tree_id", chunk).agg(F.array_sort(F.collect_list(F.struct("pos", word.alias("t")))).alias("ts"))
     return pieces.select("tree_id", "chunk_id", F.col("ts.t").alias("tokens"))
 
