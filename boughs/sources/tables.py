@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.scan import exclusive_scan
 from ..operators.shape import SEGMENT_BITS
+from ..operators.skew import spread_join
 
 WALK_TREES = 5
 
@@ -129,7 +130,8 @@ def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     nr = nation
     cr = customer.join(nr, "n")
-    orr = orders.join(cr.select("c", "r"), "c")
+    # a customer may hold a large part of all orders
+    orr = spread_join(orders, cr.select("c", "r"), ["c"], F.col("o")).filter(F.col("r").isNotNull())
     lr = lines.join(orr.select("o", "r"), lines.l_orderkey == orr.o)
     none = F.lit(None).cast("bigint")
     levels = [
