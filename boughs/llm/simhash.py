@@ -198,6 +198,8 @@ def simhash_groups(
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     named = linked.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
     named = fps.join(named, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id"))
+    # written, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
+    named = materialize(named, "components")
     return rows.join(named, "fp", "left").select(*keys, "fp", "component_id")
 
 
