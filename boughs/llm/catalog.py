@@ -126,6 +126,3 @@ def llm_queries() -> dict[str, Query]:
         )
     }
 
-
-def llm_oracles() -> dict[str, str]:
-    return {}
