@@ -69,23 +69,14 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The site of a document is its source."""
     out = line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"), "source")
-    return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "source", "__cut.n_lines", "__cut.n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.bucket_weights(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
-    return quality.quality_rules(docs, weights).select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        "kept",
-        "score",
-    )
+    facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return quality.quality_rules(docs, weights).select("doc_id", *[f"__quality.{f}" for f in facts])
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

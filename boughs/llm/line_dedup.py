@@ -52,11 +52,12 @@ def drop_boilerplate(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """``pages`` with boilerplate lines removed from ``text``, and ``n_lines, n_dropped``.
+    """``pages`` with boilerplate lines removed from ``text``, and the struct ``__cut`` of ``n_lines, n_dropped``.
 
     A NULL host is a host of its own. A NULL text stays NULL and has no lines; blank lines are never dropped.
     A line that a page repeats counts once for the page and is dropped everywhere in it. Repeated rows are
-    pages of their own. A page that loses all lines stays, with an empty text.
+    pages of their own. A page that loses all lines stays, with an empty text. Other columns pass through; names
+    that begin with ``__`` are reserved. An empty table gives an empty result.
     """
     found = materialize(boilerplate_lines(pages, host, text, max_ratio, min_pages), "boilerplate")
     joined = pages.join(found, same(F.col(host), F.col("__host")), "left")
@@ -67,9 +68,10 @@ def drop_boilerplate(
         F.filter(split, lambda s: _blank(s) | ~F.array_contains("__lines", _line_key(s))),
     ).otherwise(split)
     out = joined.withColumn("__kept", kept)
-    n_lines = F.coalesce(F.size(split), F.lit(0))
-    return out.select(
-        *[F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in pages.columns],
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines - F.size("__kept")).cast("bigint").alias("n_dropped"),
+    none, n_lines = F.col(text).isNull(), F.size(split)
+    cut = F.struct(
+        F.when(none, 0).otherwise(n_lines).cast("bigint").alias("n_lines"),
+        F.when(none, 0).otherwise(n_lines - F.size("__kept")).cast("bigint").alias("n_dropped"),
     )
+    cleaned = [F.array_join("__kept", "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
+    return out.select(*cleaned, cut.alias("__cut"))

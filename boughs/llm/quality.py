@@ -118,10 +118,12 @@ def repeated_words(hashes: str, window: int = WINDOW) -> tuple[dict[str, Column]
 def quality_rules(
     docs: DataFrame, weights: list[int], threshold: float = THRESHOLD, buckets: int = BUCKETS
 ) -> DataFrame:
-    """Add ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept`` to each row.
+    """Add the struct ``__quality`` of ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, score,
+    base_failed, kept`` to each row.
 
-    NULL and empty texts have no words and fail the base rules. Repeated rows are judged alike, row by row;
-    other columns, also with clashing names other than the added ones, pass through. An empty table gives none.
+    NULL and empty texts have no words and fail the base rules. Repeated rows are judged alike, row by row. Other
+    columns pass through, also if they are named like a fact; names that begin with ``__`` are reserved.
+    An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD))
@@ -132,9 +134,8 @@ def quality_rules(
         out = out.withColumn(name, column)
     weight = _literal(weights)
     total = F.aggregate("__b", F.lit(0).cast("bigint"), lambda a, b: a + F.element_at(weight, b + 1))
-    n = F.size("__h").cast("bigint")
     facts = F.struct(
-        n.alias("n_words"),
+        F.size("__h").cast("bigint").alias("n_words"),
         F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
@@ -142,8 +143,10 @@ def quality_rules(
         F.when(F.size("__b") > 0, total / F.size("__b") / MICRO).otherwise(F.lit(0.0)).alias("score"),
     )
     # a filter on a generated column is not pushed below it, where it would compute all facts again
-    measured = out.select(*docs.columns, F.explode(F.array(facts)).alias("__facts")).select(*docs.columns, "__facts.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= threshold)
+    measured = out.select(*docs.columns, F.explode(F.array(facts)).alias("__facts"))
+    failed = (F.col("__facts.n_words") < MIN_WORDS) | (
+        100 * F.col("__facts.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("__facts.n_words")
     )
+    kept = ~failed & (F.col("__facts.score") >= threshold)
+    judged = F.struct("__facts.*", failed.alias("base_failed"), kept.alias("kept"))
+    return measured.withColumn("__quality", judged).drop("__facts")

@@ -29,13 +29,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
     weights = bucket_weights(docs, trusted_ids(_table(spark, sf_dir, "labels")))
-    return quality_rules(docs, weights).filter("kept").select(*docs.columns)
+    return quality_rules(docs, weights).filter("__quality.kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; ``n_chars`` follows the text."""
     out = drop_boilerplate(docs, "source")
-    out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
+    out = out.withColumn("n_chars", F.when(F.col("__cut.n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
