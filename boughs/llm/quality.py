@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACES, WORD, words
+from .words import SPACE, WORD, words
 
 BUCKETS = 10_000
 #: trusted documents that the target is counted over, at most: those with the smallest hash of their id
@@ -32,17 +32,15 @@ def word_hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def ngram_buckets(hashes: Column, buckets: int) -> Column:
-    """Bucket of each unigram, then of each bigram, from the hashes of a document's words."""
-    pairs = F.greatest(F.size(hashes) - 1, F.lit(0))
-    return F.concat(
-        F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")),
-        F.zip_with(
-            F.slice(hashes, F.lit(1), pairs),
-            F.slice(hashes, F.lit(2), pairs),
-            lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"),
-        ),
-    )
+def paired(hashes: Column, apart: int) -> Column:
+    """Hash of each element with the one that is ``apart`` places later: runs of twice the length."""
+    n = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(apart + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def ngram_buckets(hashes: Column, pairs: Column, buckets: int) -> Column:
+    """Bucket of each unigram, then of each bigram, from the hashes of a document's words and word pairs."""
+    return F.transform(F.concat(hashes, pairs), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
@@ -59,9 +57,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     flagged = docs.select("doc_id", "text").join(
         F.broadcast(trusted.select("doc_id", F.lit(1).alias("__target"))), "doc_id", "left"
     )
-    grams = flagged.select("__target", word_hashes(words(F.col("text"))).alias("__h")).select(
-        "__target", F.explode(ngram_buckets(F.col("__h"), buckets)).alias("bucket")
-    )
+    grams = flagged.select("__target", word_hashes(words(F.col("text"))).alias("__h"))
+    grams = grams.select("__target", F.explode(ngram_buckets(F.col("__h"), paired(F.col("__h"), 1), buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__target").alias("target")).collect()
     raw, target = [1] * buckets, [1] * buckets
     for r in counts:
@@ -78,31 +75,23 @@ def _literal(weights: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
 
 
-def repeated_words(hashes: str, window: int = WINDOW) -> tuple[dict[str, Column], Column]:
+def repeated_words(pairs: str) -> tuple[dict[str, Column], Column]:
     """Helper columns, to be added in order, and the count of words inside windows that occur twice or more.
 
-    Windows are compared by the hash of their words. Sorting happens only for texts that repeat one.
+    Windows of eight words are compared by hash: pairs make fours, fours make eights. Sorting happens only for
+    texts that repeat a window.
     """
-    n = F.size(hashes)
-    grams = F.when(
-        n >= window,
-        F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(F.col(hashes), i, window))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    window, fours, grams = WINDOW, paired(F.col(pairs), 2), paired(F.col("__fours"), 4)
     sorted_grams = F.when(
         F.size(F.array_distinct("__grams")) < F.size("__grams"),
         F.array_sort(F.transform("__grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))),
     ).otherwise(F.array().cast("array<struct<g:bigint,i:int>>"))
-    g = F.col("__sorted.g")
-    twice = F.filter(
-        F.transform(
-            "__sorted",
-            lambda x, k: F.when(
-                F.coalesce(F.get(g, k - 1) == x["g"], F.lit(False)) | F.coalesce(F.get(g, k + 1) == x["g"], F.lit(False)),
-                x["i"],
-            ),
-        ),
-        lambda i: i.isNotNull(),
-    )
+
+    def beside(x: Column, k: Column) -> Column:
+        return F.coalesce(F.get(F.col("__sorted"), k)["g"] == x["g"], F.lit(False))
+
+    found = F.transform("__sorted", lambda x, k: F.when(beside(x, k - 1) | beside(x, k + 1), x["i"]))
+    twice = F.filter(found, lambda i: i.isNotNull())
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("covered"))
     covered = F.aggregate(
         F.array_sort("__twice"),
@@ -112,7 +101,7 @@ def repeated_words(hashes: str, window: int = WINDOW) -> tuple[dict[str, Column]
         ),
         lambda a: a["covered"],
     )
-    return {"__grams": grams, "__sorted": sorted_grams, "__twice": twice}, covered
+    return {"__fours": fours, "__grams": grams, "__sorted": sorted_grams, "__twice": twice}, covered
 
 
 def quality_rules(
@@ -127,17 +116,17 @@ def quality_rules(
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(WORD))
-    helpers, repeated = repeated_words("__h")
-    out = docs.withColumn("__h", word_hashes(words(F.col("text"))))
-    out = out.withColumn("__b", ngram_buckets(F.col("__h"), buckets)).withColumn("__lines", lines)
+    helpers, repeated = repeated_words("__pairs")
+    out = docs.withColumn("__h", word_hashes(words(F.col("text")))).withColumn("__pairs", paired(F.col("__h"), 1))
+    out = out.withColumn("__b", ngram_buckets(F.col("__h"), F.col("__pairs"), buckets)).withColumn("__lines", lines)
     for name, column in helpers.items():
         out = out.withColumn(name, column)
     weight = _literal(weights)
     total = F.aggregate("__b", F.lit(0).cast("bigint"), lambda a, b: a + F.element_at(weight, b + 1))
     facts = F.struct(
         F.size("__h").cast("bigint").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace(text, SPACE, "")).cast("bigint").alias("word_chars"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
         repeated.alias("n_repeat_words"),
         F.when(F.size("__b") > 0, total / F.size("__b") / MICRO).otherwise(F.lit(0.0)).alias("score"),
