@@ -19,36 +19,36 @@ w2 AS (SELECT *, sum(CASE WHEN i = 0 THEN 0 WHEN h < 4 THEN 1 WHEN h < 7 THEN 0
          OVER (PARTITION BY tree_id ORDER BY i) AS s FROM w1),
 w3 AS (SELECT tree_id, i, k, price, CAST(CASE WHEN i = 0 THEN 0 ELSE 1 + s - min(CASE WHEN i > 0 THEN s END)
          OVER (PARTITION BY tree_id ORDER BY i) END AS BIGINT) AS depth FROM w2),
-w4 AS (SELECT tree_id, i, depth, 2 * i - depth AS pos, CAST(floor(price) AS BIGINT) % 41 - 20 AS value,
+w4 AS MATERIALIZED (SELECT tree_id, i, depth, 2 * i - depth AS pos, CAST(floor(price) AS BIGINT) % 41 - 20 AS value,
          CAST(floor(price) AS BIGINT) % 3 - 1 AS small, k % 4 AS tag,
          lead(depth) OVER (PARTITION BY tree_id ORDER BY i) AS next_depth FROM w3),
-w5 AS (SELECT a.*, b.i AS parent FROM w4 a ASOF LEFT JOIN (SELECT tree_id, depth + 1 AS depth, i FROM w4) b
+w5 AS MATERIALIZED (SELECT a.*, b.i AS parent FROM w4 a ASOF LEFT JOIN (SELECT tree_id, depth + 1 AS depth, i FROM w4) b
          ON a.tree_id = b.tree_id AND a.depth = b.depth AND a.i > b.i),
-up AS (SELECT tree_id, i AS node, i AS anc FROM w5
+up AS MATERIALIZED (SELECT tree_id, i AS node, i AS anc FROM w5
        UNION ALL SELECT up.tree_id, up.node, w5.parent FROM up JOIN w5 ON up.tree_id = w5.tree_id AND up.anc = w5.i
        WHERE w5.parent IS NOT NULL),
 sz AS (SELECT tree_id, anc AS i, count(*) AS size FROM up GROUP BY ALL),
-n AS (SELECT w5.tree_id, w5.i, depth, pos, pos + 2 * size - 1 AS close_pos, parent, 
+n AS MATERIALIZED (SELECT w5.tree_id, w5.i, depth, pos, pos + 2 * size - 1 AS close_pos, parent, 
         coalesce(next_depth, 0) <= depth AS is_leaf, value, small, tag, size,
         max(pos + 2 * size - 1) OVER (PARTITION BY w5.tree_id) AS last
       FROM w5 JOIN sz ON w5.tree_id = sz.tree_id AND w5.i = sz.i),
-np AS (SELECT n.*, p.pos AS parent_pos, p.close_pos AS parent_close FROM n
+np AS MATERIALIZED (SELECT n.*, p.pos AS parent_pos, p.close_pos AS parent_close FROM n
        LEFT JOIN n p ON n.tree_id = p.tree_id AND n.parent = p.i)
 """
 
 #: fold value of every node for max_path_sum: best path sum from the node to a leaf below it
 VALUES = """
-pre AS (SELECT up.tree_id, up.node, sum(n.value) AS s FROM up JOIN n ON up.tree_id = n.tree_id AND up.anc = n.i GROUP BY ALL),
-val AS (SELECT up.tree_id, up.anc AS i, CAST(max(CASE WHEN l.is_leaf THEN pre.s END) AS BIGINT) AS best
+pre AS MATERIALIZED (SELECT up.tree_id, up.node, sum(n.value) AS s FROM up JOIN n ON up.tree_id = n.tree_id AND up.anc = n.i GROUP BY ALL),
+val AS MATERIALIZED (SELECT up.tree_id, up.anc AS i, CAST(max(CASE WHEN l.is_leaf THEN pre.s END) AS BIGINT) AS best
         FROM up JOIN n l ON up.tree_id = l.tree_id AND up.node = l.i
         JOIN pre ON pre.tree_id = up.tree_id AND pre.node = up.node GROUP BY ALL),
-v AS (SELECT np.*, CAST(val.best - pre.s + np.value AS BIGINT) AS fold FROM np JOIN val ON np.tree_id = val.tree_id AND np.i = val.i
+v AS MATERIALIZED (SELECT np.*, CAST(val.best - pre.s + np.value AS BIGINT) AS fold FROM np JOIN val ON np.tree_id = val.tree_id AND np.i = val.i
       JOIN pre ON pre.tree_id = np.tree_id AND pre.node = np.i)
 """
 
 #: tokens t(tree_id, pos, depth, value)
 TOKENS = """
-t AS (SELECT tree_id, pos, depth, value, small FROM n UNION ALL SELECT tree_id, close_pos, depth, NULL, NULL FROM n)
+t AS MATERIALIZED (SELECT tree_id, pos, depth, value, small FROM n UNION ALL SELECT tree_id, close_pos, depth, NULL, NULL FROM n)
 """
 
 
@@ -59,7 +59,7 @@ def _with(*parts: str) -> str:
 def _chunk_parts(size: int) -> str:
     """Partials of max_path_sum: chunk summaries, left-open nodes and results finished outside any of them."""
     return f"""
-c AS (SELECT v.*, pos // {size} AS oc, close_pos // {size} AS cc, parent_pos // {size} AS poc,
+c AS MATERIALIZED (SELECT v.*, pos // {size} AS oc, close_pos // {size} AS cc, parent_pos // {size} AS poc,
         parent_close // {size} AS pcc FROM v),
 tk AS (SELECT tree_id, pos // {size} AS chunk_id, pos, CASE WHEN value IS NULL THEN -1 ELSE 1 END AS e FROM t),
 run AS (SELECT tree_id, chunk_id, e, sum(e) OVER (PARTITION BY tree_id ORDER BY pos) AS after FROM tk),
@@ -67,21 +67,22 @@ sh AS (SELECT tree_id, chunk_id, CAST(min(after) AS BIGINT) AS low,
         CAST(sum(e) AS BIGINT) AS net FROM run GROUP BY ALL),
 st AS (SELECT tree_id, chunk_id, net, coalesce(sum(net) OVER (PARTITION BY tree_id ORDER BY chunk_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sh),
-d AS (SELECT sh.tree_id, sh.chunk_id, CAST(start AS BIGINT) AS start, CAST(least(low, start) AS BIGINT) AS depth,
+d AS MATERIALIZED (SELECT sh.tree_id, sh.chunk_id, CAST(start AS BIGINT) AS start, CAST(least(low, start) AS BIGINT) AS depth,
         CAST(start - least(low, start) + 1 AS BIGINT) AS n_cs, CAST(start + st.net - least(low, start) AS BIGINT) AS n_abs
       FROM sh JOIN st ON sh.tree_id = st.tree_id AND sh.chunk_id = st.chunk_id),
-opens AS (SELECT c.tree_id, c.oc AS chunk_id, c.i AS node, c.depth - d.depth AS at, c.value AS a
+opens AS MATERIALIZED (SELECT c.tree_id, c.oc AS chunk_id, c.i AS node, c.depth - d.depth AS at, c.value AS a
           FROM c JOIN d ON c.tree_id = d.tree_id AND c.oc = d.chunk_id WHERE c.cc <> c.oc),
-kids AS (SELECT tree_id, oc AS chunk_id, depth, parent, poc, pcc, max(fold) AS best FROM c
+kids AS MATERIALIZED (SELECT tree_id, oc AS chunk_id, depth, parent, poc, pcc, max(fold) AS best FROM c
          WHERE oc = cc AND (parent IS NULL OR poc <> oc OR pcc <> oc) GROUP BY ALL),
-slots AS (SELECT tree_id, chunk_id, depth, n_cs, unnest(range(n_cs)) AS at FROM d),
-flat AS (
+kids_out AS MATERIALIZED (SELECT tree_id, chunk_id, depth, parent, best FROM kids WHERE poc IS DISTINCT FROM chunk_id),
+kids_in AS MATERIALIZED (SELECT tree_id, chunk_id, parent, best FROM kids WHERE poc = chunk_id),
+slots AS MATERIALIZED (SELECT tree_id, chunk_id, unnest(range(n_cs)) AS at, depth + unnest(range(n_cs)) AS level FROM d),
+flat AS MATERIALIZED (
   SELECT s.tree_id, s.chunk_id, 'cs' AS part, CAST(s.at AS INTEGER) AS i, CAST(NULL AS BIGINT) AS a, k.best AS v, k.best IS NOT NULL AS has
-  FROM slots s LEFT JOIN kids k ON s.tree_id = k.tree_id AND s.chunk_id = k.chunk_id AND k.depth = s.depth + s.at
-    AND (k.parent IS NULL OR k.poc <> k.chunk_id)
+  FROM slots s LEFT JOIN kids_out k ON s.tree_id = k.tree_id AND s.chunk_id = k.chunk_id AND s.level = k.depth
   UNION ALL
   SELECT o.tree_id, o.chunk_id, 'abs', CAST(o.at AS INTEGER), o.a, k.best, k.best IS NOT NULL
-  FROM opens o LEFT JOIN kids k ON o.tree_id = k.tree_id AND o.chunk_id = k.chunk_id AND k.parent = o.node AND k.poc = k.chunk_id)
+  FROM opens o LEFT JOIN kids_in k ON o.tree_id = k.tree_id AND o.chunk_id = k.chunk_id AND o.node = k.parent)
 """
 
 
@@ -94,17 +95,21 @@ mates AS (
 """
 
 #: finished children of the nodes that span chunks, by the chunk they lie in
-PIECES = """
-lefts AS (SELECT c.tree_id, 'left' AS side, c.oc AS node_c, c.depth AS level, c.oc AS chunk_id, c.value AS a, k.best AS v
-  FROM c LEFT JOIN kids k ON k.tree_id = c.tree_id AND k.parent = c.i AND k.chunk_id = c.oc WHERE c.cc <> c.oc),
-rights AS (SELECT c.tree_id, 'right', c.oc, c.depth, c.cc, NULL, k.best
-  FROM c LEFT JOIN kids k ON k.tree_id = c.tree_id AND k.parent = c.i AND k.chunk_id = c.cc WHERE c.cc <> c.oc),
-middles AS (SELECT d.tree_id, 'middle', c.oc, d.depth - 1, d.chunk_id, NULL, k.best
-  FROM d LEFT JOIN c ON c.tree_id = d.tree_id AND c.depth = d.depth - 1 AND c.oc < d.chunk_id AND c.cc > d.chunk_id
-  LEFT JOIN kids k ON k.tree_id = d.tree_id AND k.chunk_id = d.chunk_id AND k.depth = d.depth AND (k.parent IS NULL OR k.poc <> k.chunk_id)),
+PIECES = f"""
+wide AS MATERIALIZED (SELECT tree_id, i, depth, pos, oc, cc, value FROM c WHERE cc <> oc),
+lefts AS (SELECT w.tree_id, 'left' AS side, w.oc AS node_c, w.depth AS level, w.oc AS chunk_id, w.value AS a, k.best AS v
+  FROM wide w LEFT JOIN kids k ON w.tree_id = k.tree_id AND w.i = k.parent AND w.oc = k.chunk_id),
+rights AS (SELECT w.tree_id, 'right', w.oc, w.depth, w.cc, NULL, k.best
+  FROM wide w LEFT JOIN kids k ON w.tree_id = k.tree_id AND w.i = k.parent AND w.cc = k.chunk_id),
+whole AS MATERIALIZED (SELECT tree_id, chunk_id, depth, depth - 1 AS level, chunk_id * {CHUNK} AS at FROM d),
+around AS MATERIALIZED (SELECT w.tree_id, w.chunk_id, w.depth, w.level, CASE WHEN c.cc > w.chunk_id THEN c.oc END AS oc
+  FROM whole w ASOF LEFT JOIN c ON w.tree_id = c.tree_id AND w.level = c.depth AND w.at > c.pos),
+middles AS (SELECT w.tree_id, 'middle', w.oc, w.level, w.chunk_id, NULL, k.best
+  FROM around w LEFT JOIN kids_out k ON w.tree_id = k.tree_id AND w.chunk_id = k.chunk_id AND w.depth = k.depth),
 pieces AS (SELECT * FROM lefts UNION ALL SELECT * FROM rights UNION ALL SELECT * FROM middles),
-trip AS (SELECT c.tree_id, c.oc AS node_c, c.depth AS level, c.cc AS close_c, c.value AS a,
-    (SELECT max(k.best) FROM kids k WHERE k.tree_id = c.tree_id AND k.parent = c.i) AS s FROM c WHERE c.oc <> c.cc)
+best AS (SELECT tree_id, parent, max(best) AS s FROM kids GROUP BY ALL),
+trip AS MATERIALIZED (SELECT w.tree_id, w.oc AS node_c, w.depth AS level, w.cc AS close_c, w.value AS a, best.s
+  FROM wide w LEFT JOIN best ON w.tree_id = best.tree_id AND w.i = best.parent)
 """
 
 
@@ -275,7 +280,7 @@ def all_oracles() -> dict[str, str]:
     edge = star.rstrip().rstrip(",")
     out["tree_from_edges"] = edge + (
         " SELECT tree_id, node_id, parent_id, value, CAST(depth AS INTEGER) AS depth,"
-        " node_id NOT IN (SELECT parent_id FROM e WHERE parent_id IS NOT NULL) AS is_leaf FROM e"
+        " inner_.id IS NULL AS is_leaf FROM e LEFT JOIN (SELECT DISTINCT parent_id AS id FROM e) inner_ ON e.node_id = inner_.id"
     )
     # token positions from the pre-order rank of the path of node ids: open = 2 * rank - depth
     out["number_edges"] = edge.replace("WITH ", "WITH RECURSIVE ", 1) + (
