@@ -1,8 +1,8 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models are compared: a target model of trusted documents and a background model of
-all documents. They are matched: one vocabulary (the most frequent words of the target sample, every other
-word is ``<unk>``), one inventory of bigrams (the most frequent ones of the target sample), one smoothing:
+all documents. They are matched: one vocabulary (the most frequent words of the target, every other word is
+``<unk>``), one inventory of bigrams (the most frequent ones of the target), one smoothing:
 
     p(w)     = (c(w) + 1) / (N + V)
     p(w | h) = (c(h w) + (t(h) + r(h)) p(w)) / (c(h) + t(h))
@@ -11,9 +11,9 @@ word is ``<unk>``), one inventory of bigrams (the most frequent ones of the targ
 ``r(h)`` the occurrences outside the inventory, so probabilities sum to one in either model. The score of a
 document is the mean over its words of ``loss_target - loss_background``: the lower, the closer to the target.
 
-The target sample is bounded by ``TARGET_ROWS``; vocabulary and inventory are bounded model sizes. The
-background counts cover every word of every document: each task counts its own part, and the partial counts
-are shuffled and added up.
+Vocabulary and inventory are bounded model sizes; the counts are not sampled. The target counts cover all
+trusted documents and the background counts every word of every document: each task counts its own part, and
+the partial counts are shuffled and added up.
 """
 
 from __future__ import annotations
@@ -26,10 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialize, ship_package
 
-#: trusted documents the target model is fitted on, at most: those with the smallest hash of their id
-TARGET_ROWS = 20_000
 VOCABULARY, INVENTORY = 50_000, 1_000_000
 
 
@@ -111,7 +109,7 @@ def _lower(text: Column) -> Column:
 
 
 def fit_inventory(target: DataFrame, text: str, vocabulary: int = VOCABULARY, inventory: int = INVENTORY) -> Inventory:
-    """Most frequent words and bigrams of the target sample, ties in order of the words."""
+    """Most frequent words and bigrams of the target, ties in order of the words."""
     from .words import words
 
     listed = target.select(words(_lower(F.col(text))).alias("w"))
@@ -193,7 +191,7 @@ def cross_entropy_difference(
 ) -> DataFrame:
     """``keys, n_tokens, target_loss, background_loss, score`` for every row of ``docs``.
 
-    ``target`` is the sample of trusted documents. NULL and empty texts have no tokens and all values 0. An
+    ``target`` holds the trusted documents. NULL and empty texts have no tokens and all values 0. An
     empty target gives a model in which every word is unknown, hence scores of 0. Rows that repeat are scored
     and counted as often as they come.
     """
@@ -209,9 +207,8 @@ def cross_entropy_difference(
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
-def trusted_documents(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Documents that every label calls good and not toxic; at most ``rows`` ids, chosen by a hash of the id."""
+def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All documents that every label calls good and not toxic, written once, since the model reads them thrice."""
     good = labels.filter("doc_id is not null").groupBy("doc_id")
     good = good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0")
-    ids = good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return materialize(docs.join(good.select("doc_id"), "doc_id", "left_semi"), "target")

@@ -3,7 +3,7 @@
 import glob
 import os
 
-import brute
+from llm import brute
 import duckdb
 import pytest
 

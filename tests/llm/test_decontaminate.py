@@ -1,5 +1,5 @@
-import brute
-from conftest import BASE, rows_of
+from llm import brute
+from llm.conftest import BASE, rows_of
 
 from boughs.llm import decontaminate
 

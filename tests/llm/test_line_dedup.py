@@ -1,4 +1,4 @@
-import brute
+from llm import brute
 
 from boughs.llm import line_dedup
 

@@ -1,6 +1,6 @@
 from collections import defaultdict
 
-import brute
+from llm import brute
 import pytest
 from pyspark.sql import functions as F
 

@@ -1,7 +1,7 @@
-import brute
+from llm import brute
 import corpus_pipeline
 import pytest
-from test_quality import _buckets
+from llm.test_quality import _buckets
 
 from boughs.llm import quality
 

@@ -1,7 +1,7 @@
 import math
 import struct
 
-import brute
+from llm import brute
 import xxhash
 
 from boughs.llm import quality

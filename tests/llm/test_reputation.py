@@ -2,7 +2,7 @@ import math
 from collections import defaultdict
 
 from boughs.llm import reputation
-from conftest import rows_of
+from llm.conftest import rows_of
 
 URLS = [
     ("http://a.Example.ORG/es/1?q=/x#y", "a.example.org", "/es/1", "example.org/es/", "block"),

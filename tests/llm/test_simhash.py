@@ -1,7 +1,7 @@
 import random
 
-import brute
-from conftest import rows_of
+from llm import brute
+from llm.conftest import rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

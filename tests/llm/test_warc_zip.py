@@ -6,7 +6,7 @@ import zipfile
 
 import pyarrow as pa
 import pytest
-from conftest import rows_of
+from llm.conftest import rows_of
 
 from boughs.llm import warc_zip
 
