@@ -146,8 +146,15 @@ p AS (SELECT tree_id, i, is_leaf, {", ".join(f"m{i} AS r{i}" for i in range(10))
 
 # ---- star schema: nodes e(tree_id, node_id, parent_id, value, depth) ----
 
+LINE_ORDER = ", ".join(
+    f"l_{c} NULLS FIRST"
+    for c in "linenumber partkey suppkey quantity extendedprice discount tax returnflag linestatus shipdate".split()
+)
+
 STAR = f"""
-ln AS (SELECT l_orderkey AS o, l_linenumber AS l, CAST(max(floor(l_quantity)) AS BIGINT) AS q FROM lineitem GROUP BY ALL),
+lm AS MATERIALIZED (SELECT max(n) + 1 AS step FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)),
+ln AS MATERIALIZED (SELECT l_orderkey AS o, CAST(floor(l_quantity) AS BIGINT) AS q, l_orderkey * step + row_number() OVER (
+        PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS key FROM lineitem CROSS JOIN lm),
 nr AS (SELECT CAST(n_nationkey AS BIGINT) AS n, CAST(n_regionkey AS BIGINT) AS r FROM nation),
 cr AS (SELECT c_custkey AS c, nr.n, nr.r, CAST(floor(c_acctbal) AS BIGINT) AS bal FROM customer JOIN nr ON c_nationkey = nr.n),
 orr AS (SELECT o_orderkey AS o, c, r, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders JOIN cr ON o_custkey = c),
@@ -156,7 +163,7 @@ e AS (SELECT CAST(r_regionkey AS BIGINT) AS tree_id, CAST(r_regionkey AS BIGINT)
       UNION ALL SELECT r, {STAR_LEVEL} + n, r, n, 1 FROM nr
       UNION ALL SELECT r, 2 * {STAR_LEVEL} + c, {STAR_LEVEL} + n, bal % 100, 2 FROM cr
       UNION ALL SELECT r, 3 * {STAR_LEVEL} + o, 2 * {STAR_LEVEL} + c, price % 1000, 3 FROM orr
-      UNION ALL SELECT r, 4 * {STAR_LEVEL} + ln.o * 16 + l, 3 * {STAR_LEVEL} + ln.o, q, 4 FROM ln JOIN orr ON ln.o = orr.o)
+      UNION ALL SELECT r, 4 * {STAR_LEVEL} + ln.key, 3 * {STAR_LEVEL} + ln.o, q, 4 FROM ln JOIN orr ON ln.o = orr.o)
 """
 
 
@@ -206,6 +213,7 @@ def all_oracles() -> dict[str, str]:
     out["fold_rounds_value_sum"] = walk + "SELECT tree_id, CAST(sum(value) AS BIGINT) AS value FROM n GROUP BY tree_id"
     star = "WITH " + STAR.strip() + ",\n"
     out["fold_levels_star_max_path_sum"] = star + _star_fold_sql("value", "max") + "SELECT tree_id, CAST(x AS BIGINT) AS value FROM s0"
+    out["fold_levels_star_nodes"] = out["fold_levels_star_max_path_sum"]
     out["fold_levels_star_sum_product"] = star + _star_fold_sql("value % 2", "product") + "SELECT tree_id, CAST(x AS BIGINT) AS value FROM s0"
     out["fold_levels_star_value_sum"] = star.rstrip().rstrip(",") + " SELECT tree_id, CAST(sum(value) AS BIGINT) AS value FROM e GROUP BY tree_id"
     out["fold_forest_star"] = star + _star_fold_sql("value", "max", 4, 1) + "SELECT tree_id, CAST(max(x) AS BIGINT) AS value FROM s1 GROUP BY tree_id"

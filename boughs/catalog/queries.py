@@ -24,7 +24,7 @@ from ..plans import pairs as pair_ops
 from ..plans.chunks import fold_chunks
 from ..plans.contraction import fold_rounds
 from ..plans.fold import fold_tree
-from ..plans.levels import fold_forest, fold_levels
+from ..plans.levels import fold_forest, fold_levels, fold_star
 from ..plans.pairs import fold_pairs
 from ..session import materialize, new_path
 from ..sources import generate, tables, text
@@ -109,17 +109,21 @@ _star = tables.star_nodes
 
 def _star_fold(algebra: TreeAlgebra, value: Callable[[Column], Column]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = _star(spark, sf_dir).withColumn("value", value(F.col("value")))
-        return _result(fold_levels(nodes, algebra, height=4), algebra)
+        levels = [rows.toDF("node_id", "parent_id", "value") for rows in tables.star_levels(spark, sf_dir)]
+        levels = [rows.withColumn("value", value(F.col("value"))) for rows in levels]
+        return _result(fold_star(levels, algebra), algebra)
 
     return run
 
 
+def _star_nodes_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same trees as one node table with depths."""
+    return fold_levels(_star(spark, sf_dir), max_path_sum, height=4)
+
+
 def _star_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nations of a region as a forest: the region itself is left out."""
-    nodes = _star(spark, sf_dir).filter("depth > 0").withColumn("depth", F.col("depth") - 1)
-    none = F.when(F.col("depth") > 0, F.col("parent_id"))
-    return fold_levels(nodes.withColumn("parent_id", none), max_path_sum, height=3)
+    return fold_star(tables.star_levels(spark, sf_dir)[:-1], max_path_sum, forest=True)
 
 
 def _forest_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,6 +365,7 @@ def all_queries() -> dict[str, Query]:
     out["fold_rounds_value_sum"] = _fold(fold_rounds, _nodes, value_sum)
     out["fold_levels_star_max_path_sum"] = _star_fold(max_path_sum, lambda v: v)
     out["fold_levels_star_sum_product"] = _star_fold(sum_product, lambda v: v % 2)
+    out["fold_levels_star_nodes"] = _star_nodes_fold
     out["fold_levels_star_value_sum"] = _star_fold(value_sum, lambda v: v)
     out["fold_forest_star"] = _star_forest
     out["fold_forest"] = _forest_of_customers

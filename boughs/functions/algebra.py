@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from . import matrix
 
-#: Results of ``sum_product`` must stay below this, where DOUBLE is exact; otherwise the fold raises.
+#: Node values of ``sum_product`` stay below this, where DOUBLE is exact; any other value is OVERFLOW.
 EXACT_LIMIT = 1 << 53
+OVERFLOW = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -81,6 +82,10 @@ class BatchForm:
     def to_arrow(self, values: np.ndarray, valid: np.ndarray) -> pa.Array:
         return pa.array(values.astype(np.int64, copy=False), mask=~valid)
 
+    def scalars(self, values: np.ndarray) -> list:
+        """Values for the scalar functions."""
+        return values.astype(np.int64).tolist()
+
     def hom(self, a: np.ndarray) -> np.ndarray:
         return a
 
@@ -107,6 +112,8 @@ class TreeAlgebra:
     column: ColumnForm | None = None
     affine: AffineForm | None = None
     batch: BatchForm | None = None
+    #: result of a whole tree -> answer; may raise for results that stand for an error
+    answer: Callable[[Column], Column] = lambda value: value
 
     def need_column(self, what: str) -> ColumnForm:
         if self.column is None:
@@ -164,68 +171,200 @@ max_path_sum = TreeAlgebra(
 # ---- value + product of the children ------------------------------------------------------------
 
 
-def _exact(x: Column) -> Column:
-    """DOUBLE that must be a whole number within the exact range -> BIGINT."""
-    bad = (F.abs(x) >= F.lit(float(EXACT_LIMIT))) | F.isnan(x)
-    return F.when(bad, F.raise_error("sum_product left the exact range of 2**53")).otherwise(x.cast("bigint"))
+#
+# One rule for all forms: a node whose value or whose children's product leaves the exact range has the value
+# OVERFLOW. A product with a zero factor is 0, also beside an OVERFLOW; everything else with OVERFLOW is OVERFLOW.
+# So partial products may be formed in any order, and only the answer of a tree raises.
+
+
+def _within(x: int) -> int:
+    return x if -EXACT_LIMIT < x < EXACT_LIMIT else OVERFLOW
+
+
+def _sum_value(a: int, s: int) -> int:
+    return OVERFLOW if OVERFLOW in (_within(a), s) else _within(a + s)
+
+
+def _product_value(x: int, y: int) -> int:
+    if x == 0 or y == 0:
+        return 0
+    return OVERFLOW if OVERFLOW in (x, y) else _within(x * y)
+
+
+_TOP = EXACT_LIMIT - 1
+
+
+def _over() -> Column:
+    return F.lit(OVERFLOW).cast("bigint")
+
+
+def _out(x: Column) -> Column:
+    return x.isNull() | (x <= -EXACT_LIMIT) | (x >= EXACT_LIMIT)
+
+
+def _guard(x: Column) -> Column:
+    """BIGINT, NULL if the operation left its range."""
+    return F.when(_out(x), _over()).otherwise(x)
+
+
+def _sum_column(a: Column, s: Column) -> Column:
+    return F.when(_out(a) | (s == _over()), _over()).otherwise(_guard(F.try_add(a, s)))
+
+
+def _product_column(x: Column, y: Column) -> Column:
+    zero, over = (x == 0) | (y == 0), (x == _over()) | (y == _over())
+    return F.when(zero, F.lit(0).cast("bigint")).when(over, _over()).otherwise(_guard(F.try_multiply(x, y)))
 
 
 def _product_agg(v: Column) -> Column:
-    """Exact BIGINT product with map-side combine.
+    """Product with map-side combine.
 
     Partial products of non-zero whole numbers never exceed the final one, so DOUBLE partials are exact
-    whenever the result is within 2**53. Zeros are taken out first: a product with a zero is 0.
+    whenever the result is in range. Zeros are taken out first.
     """
     nonzero = F.product(F.when(v != 0, v.cast("double")))
-    return F.when(F.bool_or(v == 0), F.lit(0).cast("bigint")).otherwise(_exact(nonzero))
+    over = F.abs(nonzero) >= F.lit(float(EXACT_LIMIT))
+    return F.when(F.bool_or(v == 0), F.lit(0).cast("bigint")).when(over, _over()).otherwise(nonzero.cast("bigint"))
+
+
+# A context is the function of a missing child's value: ``k + p (x - lo)`` for x in ``lo..hi``, where every value
+# inside the context is in range, and OVERFLOW elsewhere; with ``any`` it is ``k`` for every x, since a zero sibling
+# hides it. Anchored at ``lo``, all numbers stay below 2 * EXACT_LIMIT however many nodes are composed.
+
+
+def _context(k: Column, lo: Column, hi: Column, p: Column, any_: Column) -> tuple[Column, Column]:
+    fields = [c.cast("bigint").alias(n) for c, n in ((lo, "lo"), (hi, "hi"), (p, "p"))]
+    return k, F.struct(*fields, any_.alias("any"))
+
+
+def _pick(cases: list[tuple[Column, tuple[Column, Column]]], default: tuple[Column, Column]) -> tuple[Column, Column]:
+    """First case whose condition holds, for both parts of a context."""
+    k, p = default
+    for condition, (ck, cp) in reversed(cases):
+        k, p = F.when(condition, ck).otherwise(k), F.when(condition, cp).otherwise(p)
+    return k, p
+
+
+def _never() -> tuple[Column, Column]:
+    return _context(_over(), F.lit(1), F.lit(0), F.lit(0), F.lit(False))
+
 
+def _product_context(a: Column, s: Column) -> tuple[Column, Column]:
+    s = F.coalesce(s, F.lit(1).cast("bigint"))
+    by = F.abs(F.when((s == 0) | (s == _over()), F.lit(1).cast("bigint")).otherwise(s))
+    # room of s * x below and above zero: the product itself and its sum with a must be in range
+    down, up = _TOP + F.least(a, F.lit(0)), _TOP - F.greatest(a, F.lit(0))
+    low = F.when(s > 0, -_div(down, by)).otherwise(-_div(up, by))
+    high = F.when(s > 0, _div(up, by)).otherwise(_div(down, by))
+    return _pick(
+        [
+            (_out(a), _never()),
+            (s == 0, _context(a, F.lit(0), F.lit(0), F.lit(0), F.lit(True))),
+            (s == _over(), _context(a, F.lit(0), F.lit(0), F.lit(0), F.lit(False))),
+        ],
+        _context(a + s * low, low, high, s, F.lit(False)),
+    )
 
-def _exact_value(x: int) -> int:
-    if abs(x) >= EXACT_LIMIT:
-        raise OverflowError("sum_product left the exact range of 2**53")
-    return x
+
+def _div(x: Column, y: Column) -> Column:
+    """Whole quotient of a non-negative number by a positive one; exact, unlike DOUBLE division."""
+    return F.call_function("div", x, y)
+
+
+def _at(k: Column, p: Column, x: Column) -> Column:
+    return F.try_add(k, F.try_multiply(p["p"], F.try_subtract(x, p["lo"])))
+
+
+def _compose_product(ku: Column, pu: Column, kl: Column, pl: Column) -> tuple[Column, Column]:
+    fits = (kl >= pu["lo"]) & (kl <= pu["hi"])
+    top = _at(ku, pu, kl)
+    # steps t from pl.lo for which the lower value kl + pl.p * t lies within the upper context
+    rate = F.greatest(F.abs(pl["p"]), F.lit(1))
+    rising = pl["p"] > 0
+    ahead = F.when(rising, F.try_subtract(pu["lo"], kl)).otherwise(F.try_subtract(kl, pu["hi"]))
+    room = F.when(rising, F.try_subtract(pu["hi"], kl)).otherwise(F.try_subtract(kl, pu["lo"]))
+    first = F.when(ahead > 0, _div(ahead + rate - 1, rate)).otherwise(F.lit(0).cast("bigint"))
+    last = F.when(room < 0, F.lit(-1).cast("bigint")).otherwise(F.least(_div(room, rate), pl["hi"] - pl["lo"]))
+    value = F.try_add(kl, F.try_multiply(pl["p"], first))
+    both = F.when(first < last, F.try_multiply(pu["p"], pl["p"])).otherwise(F.lit(0))
+    flat = (pl["p"] == 0) | (pl["lo"] == pl["hi"])
+    return _pick(
+        [
+            (pu["any"], (ku, pu)),
+            (~pl["any"] & (pl["lo"] > pl["hi"]) | (pu["lo"] > pu["hi"]), _never()),
+            ((pl["any"] | flat) & ~fits, _never()),
+            (pl["any"] | flat, _context(top, pl["lo"], pl["hi"], F.lit(0), pl["any"])),
+            (first > last, _never()),
+        ],
+        _context(_at(ku, pu, value), F.try_add(pl["lo"], first), F.try_add(pl["lo"], last), both, F.lit(False)),
+    )
+
+
+def _apply_product(k: Column, p: Column, x: Column) -> Column:
+    outside = (x < p["lo"]) | (x > p["hi"])
+    return F.when(p["any"], k).when(outside, _over()).otherwise(_at(k, p, x))
+
+
+def _apply_product_value(k: int, p: dict, x: int) -> int:
+    if p["any"]:
+        return k
+    return k + p["p"] * (x - p["lo"]) if p["lo"] <= x <= p["hi"] else OVERFLOW
 
 
 class _SumProductBatch(BatchForm):
+    """Values are DOUBLE; infinity stands for OVERFLOW."""
+
     @staticmethod
-    def _check(x: np.ndarray) -> np.ndarray:
-        if not (np.abs(x) < EXACT_LIMIT).all():  # also catches NaN
-            raise OverflowError("sum_product left the exact range of 2**53")
-        return x
+    def _guard(x: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(x) < EXACT_LIMIT, x, np.inf)
 
     def _parse(self, texts):
-        return self._check(super()._parse(texts).astype(np.float64))
+        return self._guard(super()._parse(texts).astype(np.float64))
 
     def from_arrow(self, values):
-        return super().from_arrow(values).astype(np.float64)
+        return self._guard(super().from_arrow(values).astype(np.float64))
+
+    @staticmethod
+    def _whole(values: np.ndarray) -> np.ndarray:
+        fine = np.isfinite(values)
+        return np.where(fine, np.where(fine, values, 0).astype(np.int64), OVERFLOW)
+
+    def to_arrow(self, values, valid):
+        return super().to_arrow(self._whole(values), valid)
+
+    def scalars(self, values):
+        return self._whole(values).tolist()
 
     def plus(self, a, s):
-        return self._check(a + s)
+        return self._guard(a + s)
 
     def mult_runs(self, values, starts):
         zero = np.add.reduceat((values == 0).astype(np.int64), starts) > 0
         with np.errstate(over="ignore"):
             out = np.multiply.reduceat(np.where(values == 0, 1.0, values), starts)
-        return self._check(np.where(zero, 0.0, out))
+        return np.where(zero, 0.0, self._guard(out))
 
 
 sum_product = TreeAlgebra(
     name="sum_product",
     value_type=T.LongType(),
     result_type=T.LongType(),
-    hom=lambda a: a,
-    plus=lambda a, s: _exact_value(a + s),
-    mult=lambda x, y: _exact_value(x * y),
+    hom=_within,
+    plus=_sum_value,
+    mult=_product_value,
     commutative=True,
-    column=ColumnForm(hom=lambda a: a, plus=lambda a, s: a + s, mult=lambda x, y: x * y, agg=_product_agg),
+    column=ColumnForm(hom=_guard, plus=_sum_column, mult=_product_column, agg=_product_agg),
     affine=AffineForm(
-        p_type=T.LongType(),
-        of_node=lambda a, s: (a, F.coalesce(s, F.lit(1).cast("bigint"))),
-        compose=lambda ku, pu, kl, pl: (ku + pu * kl, pu * pl),
-        apply=lambda k, p, x: k + p * x,
-        apply_value=lambda k, p, x: _exact_value(k + p * x),
+        p_type=T.StructType(
+            [*[T.StructField(n, T.LongType()) for n in ("lo", "hi", "p")], T.StructField("any", T.BooleanType())]
+        ),
+        of_node=_product_context,
+        compose=_compose_product,
+        apply=_apply_product,
+        apply_value=_apply_product_value,
     ),
     batch=_SumProductBatch(),
+    answer=lambda v: F.when(v == _over(), F.raise_error("sum_product left the exact range of 2**53")).otherwise(v),
 )
 
 
@@ -286,6 +425,23 @@ path_automaton = TreeAlgebra(
 
 # ---- sum of all values --------------------------------------------------------------------------
 
+
+class _ValueSumBatch(BatchForm):
+    def plus(self, a, s):
+        out = a + s
+        if (((a ^ out) & (s ^ out)) < 0).any():
+            raise OverflowError("value_sum left the BIGINT range")
+        return out
+
+    def mult_runs(self, values, starts):
+        out = np.add.reduceat(values, starts)
+        with np.errstate(over="ignore"):
+            rough = np.add.reduceat(values.astype(np.float64), starts)
+        if (np.abs(rough - out.astype(np.float64)) > 2.0**62).any():  # a wrapped sum is off by 2**64
+            raise OverflowError("value_sum left the BIGINT range")
+        return out
+
+
 value_sum = TreeAlgebra(
     name="value_sum",
     value_type=T.LongType(),
@@ -302,6 +458,7 @@ value_sum = TreeAlgebra(
         apply=lambda k, p, x: k + x,
         apply_value=lambda k, p, x: k + x,
     ),
+    batch=_ValueSumBatch(),
 )
 
 ALGEBRAS = {a.name: a for a in (max_path_sum, sum_product, path_automaton)}

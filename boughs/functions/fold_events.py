@@ -186,9 +186,6 @@ def fold_events(ev: Events, algebra: TreeAlgebra, a_type: pa.DataType, v_type: p
     depth = _running_depth(ev)
     if len(depth) == 0 or int(depth.max() - depth.min()) * 64 < len(depth) + 4096:
         return fold_by_level(ev, algebra.batch)
-    rows = Events(ev.kind, _scalars(ev.values), ev.offsets)
+    rows = Events(ev.kind, algebra.batch.scalars(ev.values), ev.offsets)
     return fold_by_stack(rows, algebra, a_type, v_type)
 
-
-def _scalars(values: np.ndarray) -> list:
-    return values.astype(np.int64).tolist()

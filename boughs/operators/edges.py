@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import value_sum
+from ..plans.contraction import check_parents
 from ..plans.levels import combine_children
 from ..session import materialize
 from .skew import spread_join
@@ -21,14 +22,10 @@ def tree_from_edges(edges: DataFrame) -> DataFrame:
     roots = nodes.groupBy("tree_id").agg(F.count_if(F.col("parent_id").isNull()).alias("n"))
     if not roots.filter("n = 0").isEmpty():
         raise ValueError("root not found")
-    ids = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    # distinct parents first: a wide family is one row of the check
-    parents = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", "parent_id").distinct()
-    if not parents.join(ids, ["tree_id", "parent_id"], "left_anti").isEmpty():
-        raise ValueError("parent not found")
+    check_parents(nodes)
 
     # inner nodes are the only ancestors, so only they are doubled; leaves hang below them in one last join
-    inner = parents.withColumnRenamed("parent_id", "node_id")
+    inner = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", F.col("parent_id").alias("node_id")).distinct()
     jump = nodes.join(inner, ["tree_id", "node_id"], "left_semi").select(
         "tree_id", "node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("d")
     )
@@ -73,8 +70,10 @@ def number_edges(nodes: DataFrame, height: int | None = None) -> DataFrame:
     ``open = parent's open + 1 + 2 * (sizes of earlier siblings)`` top-down. Roots of a forest follow each other.
     """
     nodes = materialize(nodes, "edges")
-    if height is None:
-        height = nodes.agg(F.max("depth")).first()[0] or 0
+    found = nodes.agg(F.max("depth")).first()[0] or 0
+    if height is not None and found > height:
+        raise ValueError(f"a node lies deeper than height {height}")
+    height = found
     sized: list[DataFrame] = []
     below: DataFrame | None = None
     for depth in range(height, -1, -1):

@@ -42,6 +42,12 @@ def _types(algebra: TreeAlgebra) -> tuple[pa.DataType, pa.DataType]:
     return to_arrow_type(algebra.value_type), to_arrow_type(algebra.result_type)
 
 
+def _list_array(offsets: np.ndarray, items: pa.Array) -> pa.ListArray:
+    if offsets[-1] >= 1 << 31:
+        raise OverflowError("a batch holds 2**31 entries; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items)
+
+
 def _batch(tree_id: pa.Array, chunk_id: pa.Array, p: Partials) -> pa.RecordBatch:
     cs = pa.StructArray.from_arrays([p.cs_v, pa.array(p.cs_has)], ["v", "has"])
     opens = pa.StructArray.from_arrays([p.open_a, p.open_v, pa.array(p.open_has)], ["a", "v", "has"])
@@ -49,8 +55,8 @@ def _batch(tree_id: pa.Array, chunk_id: pa.Array, p: Partials) -> pa.RecordBatch
         [
             tree_id,
             chunk_id,
-            pa.ListArray.from_arrays(pa.array(p.cs_offsets.astype(np.int32)), cs),
-            pa.ListArray.from_arrays(pa.array(p.open_offsets.astype(np.int32)), opens),
+            _list_array(p.cs_offsets, cs),
+            _list_array(p.open_offsets, opens),
         ],
         ["tree_id", "chunk_id", "cs", "abs"],
     )
@@ -165,7 +171,8 @@ def chunk_shape(partials: DataFrame) -> DataFrame:
     return partials.select("tree_id", "chunk_id", F.size("cs").alias("n_cs"), F.size("abs").alias("n_abs"))
 
 
-def partial_value() -> Column:
+def partial_value(algebra: TreeAlgebra) -> Column:
     """Answer held by the only partial of a tree; raises for unbalanced input."""
     bad = (F.size("cs") != 1) | (F.size("abs") != 0)
-    return F.when(bad, F.raise_error("unbalanced tree: extra close or unclosed open")).otherwise(F.col("cs")[0]["v"])
+    unbalanced = F.raise_error("unbalanced tree: extra close or unclosed open")
+    return F.when(bad, unbalanced).otherwise(algebra.answer(F.col("cs")[0]["v"]))

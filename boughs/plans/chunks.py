@@ -24,4 +24,4 @@ def fold_chunks(chunks: DataFrame, algebra: TreeAlgebra, fan_in: int = FAN_IN) -
 def fold_partials(partials: DataFrame, algebra: TreeAlgebra, fan_in: int = FAN_IN) -> DataFrame:
     top = partials.agg(F.max("chunk_id")).first()[0] or 0
     merged = merge_partials(partials, algebra, top, fan_in)
-    return merged.select("tree_id", partial_value().alias("value"))
+    return merged.select("tree_id", partial_value(algebra).alias("value"))

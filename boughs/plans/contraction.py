@@ -32,9 +32,21 @@ SMALL = 50_000
 _STATE = ["tree_id", "id", "parent", "k", "p", "wrapped", "a", "s", "has"]
 
 
+def check_parents(nodes: DataFrame) -> None:
+    """Raise if a node names a parent that its tree does not have. Wide families are one row of the check."""
+    parents = nodes.filter(F.col("parent_id").isNotNull()).select("tree_id", "parent_id").distinct()
+    ids = nodes.select("tree_id", F.col("node_id").alias("parent_id"))
+    if not parents.join(ids, ["tree_id", "parent_id"], "left_anti").isEmpty():
+        raise ValueError("parent not found")
+
+
 def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> DataFrame:
-    """Flat node set ``(tree_id, node_id, parent_id, value)`` -> ``(tree_id, value)``, any height."""
+    """Flat node set ``(tree_id, node_id, parent_id, value)`` -> ``(tree_id, value)``, any height.
+
+    Raises for a missing parent and for a cycle, whatever the size of the tree.
+    """
     affine = algebra.need_affine("fold_rounds")
+    check_parents(nodes)
     state = nodes.select(
         "tree_id",
         F.col("node_id").alias("id"),
@@ -47,7 +59,8 @@ def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> D
         F.lit(False).alias("has"),
     )
     roots = contract(state, algebra, small)
-    return roots.groupBy("tree_id").agg(algebra.column.agg(F.col("v")).alias("value"))
+    value = algebra.column.agg(F.col("v")).alias("value")
+    return roots.groupBy("tree_id").agg(value).select("tree_id", algebra.answer(F.col("value")).alias("value"))
 
 
 def _value(algebra: TreeAlgebra) -> Column:
@@ -76,7 +89,7 @@ def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> Data
         if (largest or 0) <= small:
             break
         if total == before:
-            raise ValueError("no node without children: the input has a cycle or a missing parent")
+            raise ValueError("the input has a cycle")
         before, turn = total, turn + 1
         leaves = state.filter("n = 0").select("tree_id", "parent", _value(algebra).alias("v"))
         done.append(leaves.filter("parent is null").select("tree_id", "v"))

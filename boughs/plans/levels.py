@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
 from ..session import materialize
-from .contraction import fold_rounds
+from .contraction import check_parents, fold_rounds
 
 BITS = 12
 #: Above this height one shuffle per level is a poor plan; contraction needs a logarithmic number.
@@ -46,23 +46,52 @@ def combine_children(rows: DataFrame, keys: list[str], algebra: TreeAlgebra, top
 
 def fold_forest(roots: DataFrame, algebra: TreeAlgebra, top: int = 0) -> DataFrame:
     """Root results ``(tree_id, pos, v)`` -> ``(tree_id, value)``."""
-    return combine_children(roots, ["tree_id"], algebra, top).withColumnRenamed("v", "value")
+    return combine_children(roots, ["tree_id"], algebra, top).select("tree_id", algebra.answer(F.col("v")).alias("value"))
+
+
+def fold_star(levels: list[DataFrame], algebra: TreeAlgebra, forest: bool = False) -> DataFrame:
+    """Levels ``(node_id, parent_id, value)`` of a star schema, deepest first -> ``(tree_id, value)``.
+
+    Every level is keyed by its own keys. A level is combined per parent before it is joined, so only one row
+    per parent goes up, and nothing about the tree comes down: a tree is named by the key of its root, or, for a
+    ``forest``, by the parent key of the last level. Leaves need no key. Rows without a parent row are no part of
+    any tree.
+    """
+    form = algebra.need_column("fold_star")
+    if form.agg is None:
+        raise ValueError(f"fold_star combines children in any order, which {algebra.name!r} does not allow; use fold_levels")
+    below: DataFrame | None = None
+    for i, rows in enumerate(levels):
+        rows = rows.toDF("node_id", "parent_id", "value")
+        if below is None:
+            value = form.hom(F.col("value"))
+        else:
+            rows = rows.join(below.withColumnRenamed("parent_id", "node_id"), "node_id", "left")
+            value = algebra.node_value(F.col("value"), F.col("v"), F.coalesce("has", F.lit(False)))
+        rows = rows.select("node_id", "parent_id", value.alias("v"))
+        if i == len(levels) - 1 and not forest:
+            return fold_forest(rows.select(F.col("node_id").alias("tree_id"), "v"), algebra)
+        below = rows.groupBy("parent_id").agg(form.agg(F.col("v")).alias("v"), F.lit(True).alias("has"))
+    return below.select(F.col("parent_id").alias("tree_id"), algebra.answer(F.col("v")).alias("value"))
 
 
 def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = None) -> DataFrame:
     """``(tree_id, node_id, parent_id, depth, value)`` -> ``(tree_id, value)``.
 
-    With a known ``height`` of a few levels (a star schema) this is one lazy plan. Otherwise the nodes are
-    written once, ordered by depth: each level then reads only its own row groups.
+    With a known ``height`` of a few levels this is one lazy plan, which raises when it meets a deeper node.
+    Otherwise the nodes are written once, ordered by depth, and parents are checked: each level then reads
+    only its own row groups.
     """
     algebra.need_column("fold_levels")
     nodes = nodes.select("tree_id", "node_id", "parent_id", "depth", "value")
     top = 0
     if height is None or height > CUT_EVERY:
         nodes = materialize(nodes.repartitionByRange("depth", "tree_id", "node_id"), "levels")
-        height, top = nodes.agg(F.max("depth"), F.max("node_id")).first()
-        if height is None:
-            height, top = 0, 0
+        found, top = nodes.agg(F.max("depth"), F.max("node_id")).first()
+        if height is not None and (found or 0) > height:
+            raise ValueError(f"a node lies deeper than height {height}")
+        height, top = found or 0, top or 0
+        check_parents(nodes)
     elif algebra.column.agg is None:
         top = nodes.agg(F.max("node_id")).first()[0] or 0
     if height > TALL and algebra.affine is not None:
@@ -72,7 +101,10 @@ def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = Non
     for depth in range(height, -1, -1):
         level = nodes.filter(F.col("depth") == depth)
         if below is None:
-            value: Column = algebra.need_column("fold_levels").hom(F.col("value"))
+            level = nodes.filter(F.col("depth") >= depth)
+            deeper = F.raise_error(f"a node lies deeper than height {height}").cast(algebra.result_type)
+            leaf: Column = algebra.need_column("fold_levels").hom(F.col("value"))
+            value = F.when(F.col("depth") > depth, deeper).otherwise(leaf)
         else:
             level = level.join(below, ["tree_id", "node_id"], "left")
             value = algebra.node_value(F.col("value"), F.col("v"), F.coalesce("has", F.lit(False)))

@@ -220,4 +220,6 @@ def fold_pair_partials(partials: DataFrame, algebra: TreeAlgebra, small: int = S
     )
     roots = contract(state, algebra, small)
     loose = pieces.filter(F.col("node_c").isNull() & F.col("has")).select("tree_id", "v")
-    return roots.unionAll(loose).groupBy("tree_id").agg(algebra.column.agg(F.col("v")).alias("value"))
+    value = algebra.column.agg(F.col("v")).alias("value")
+    roots = roots.unionAll(loose).groupBy("tree_id").agg(value)
+    return roots.select("tree_id", algebra.answer(F.col("value")).alias("value"))

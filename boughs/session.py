@@ -8,28 +8,39 @@ its join strategy from.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_local_dirs: dict[str, str] = {}
+SCRATCH = "boughs-scratch"
+
+_scratch: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors can read; only a local session may fall back to a temporary one."""
+    """Folder that all executors can read: ``spark.checkpoint.dir``, or else a folder in the warehouse.
+
+    The warehouse is shared by all executors as well. What a local session writes there is removed when the
+    driver ends; on a cluster it stays, like checkpoint files.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="boughs-")
-    return _local_dirs[app]
+    if app not in _scratch:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _scratch[app] = f"{warehouse}/{SCRATCH}/{app}"
+        where = urlparse(_scratch[app])
+        if spark.sparkContext.master.split("[")[0] == "local" and where.scheme in ("", "file"):
+            atexit.register(shutil.rmtree, where.path, ignore_errors=True)
+    return _scratch[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -109,39 +109,60 @@ def walk_tokens(walk: DataFrame, value: Column) -> DataFrame:
 STAR_LEVEL = 10**16
 
 
+def star_levels(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Lines, orders, customers, nations and regions as ``(node_id, parent_id, value)``, keyed by their own keys.
+
+    Every line is a node. Lines have no key that is unique, and as leaves they need none: theirs is NULL.
+    """
+    none = F.lit(None).cast("bigint")
+    return [
+        load(spark, sf_dir, "lineitem").select(none, "l_orderkey", F.floor("l_quantity")),
+        load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.floor("o_totalprice") % 1000),
+        load(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint"), F.floor("c_acctbal") % 100),
+        load(spark, sf_dir, "nation").select(*[F.col(c).cast("bigint") for c in ("n_nationkey", "n_regionkey", "n_nationkey")]),
+        load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint"), none, F.col("r_regionkey").cast("bigint")),
+    ]
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(o, key, q)``: every line of an order with a key of its own.
+
+    Lines are numbered inside their order by line number and, where that repeats, by all other columns. The key is
+    ``order * step + number``, with a step above the largest number of lines of an order.
+    """
+    lines = load(spark, sf_dir, "lineitem")
+    facts = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.max("n"), F.max("l_orderkey")).first()
+    step = (facts[0] or 0) + 1
+    if (facts[1] or 0) * step + step >= STAR_LEVEL:
+        raise ValueError("order keys times lines per order do not fit the node keys of a level")
+    others = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
+    turn = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *others))
+    return lines.select(
+        F.col("l_orderkey").alias("o"), (F.col("l_orderkey") * step + turn).alias("key"), F.floor("l_quantity").alias("q")
+    )
+
+
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge table ``(tree_id, node_id, parent_id, value, depth)``; a row's parent is the row it refers to."""
-    region = load(spark, sf_dir, "region").select(F.col("r_regionkey").cast("bigint").alias("r"))
-    nation = load(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("bigint").alias("n"), F.col("n_regionkey").cast("bigint").alias("r")
-    )
-    customer = load(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("bigint").alias("n"), F.floor("c_acctbal").alias("bal")
-    )
-    orders = load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.floor("o_totalprice").alias("price")
-    )
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
-        F.max(F.floor("l_quantity")).alias("q")
-    )
+    _, orders, customer, nation, region = star_levels(spark, sf_dir)
 
     def node(level: int, key: Column) -> Column:
         return F.lit(level * STAR_LEVEL).cast("bigint") + key
 
-    nr = nation
-    cr = customer.join(nr, "n")
+    region = region.toDF("r", "none", "value")
+    nation = nation.toDF("n", "r", "value")
+    customer = customer.toDF("c", "n", "value").join(nation.select("n", "r"), "n")
     # a customer may hold a large part of all orders
-    orr = spread_join(orders, cr.select("c", "r"), ["c"], F.col("o")).filter(F.col("r").isNotNull())
-    lr = lines.join(orr.select("o", "r"), lines.l_orderkey == orr.o)
+    orders = spread_join(orders.toDF("o", "c", "value"), customer.select("c", "r"), ["c"], F.col("o"))
+    orders = orders.filter(F.col("r").isNotNull())
+    lines = numbered_lines(spark, sf_dir).join(orders.select("o", "r"), "o")
     none = F.lit(None).cast("bigint")
     levels = [
-        region.select(F.col("r").alias("tree_id"), node(0, F.col("r")), none, F.col("r")),
-        nr.select("r", node(1, F.col("n")), node(0, F.col("r")), F.col("n")),
-        cr.select("r", node(2, F.col("c")), node(1, F.col("n")), F.col("bal") % 100),
-        orr.select("r", node(3, F.col("o")), node(2, F.col("c")), F.col("price") % 1000),
-        lr.select(
-            "r", node(4, F.col("o") * 16 + F.col("l_linenumber")), node(3, F.col("o")), F.col("q")
-        ),
+        region.select(F.col("r").alias("tree_id"), node(0, F.col("r")), none, "value"),
+        nation.select("r", node(1, F.col("n")), node(0, F.col("r")), "value"),
+        customer.select("r", node(2, F.col("c")), node(1, F.col("n")), "value"),
+        orders.select("r", node(3, F.col("o")), node(2, F.col("c")), "value"),
+        lines.select("r", node(4, F.col("key")), node(3, F.col("o")), "q"),
     ]
     # a literal depth per branch: a filter on it drops the other tables from the plan
     out = reduce(DataFrame.unionAll, [rows.select("*", F.lit(d)) for d, rows in enumerate(levels)])

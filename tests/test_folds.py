@@ -9,12 +9,13 @@ from pyspark.sql import types as T
 
 from boughs.functions import matrix
 from boughs.functions.algebra import ColumnForm, TreeAlgebra, max_path_sum, path_automaton, sum_product, value_sum
+from boughs.operators.edges import number_edges
 from boughs.operators.partials import chunk_partial, chunk_shape
 from boughs.operators.shape import match_brackets
 from boughs.plans.chunks import fold_chunks
 from boughs.plans.contraction import fold_rounds
 from boughs.plans.fold import fold_tree
-from boughs.plans.levels import fold_levels
+from boughs.plans.levels import fold_levels, fold_star
 from boughs.plans.pairs import chunk_depth, fold_pairs, mating_pairs, pair_tree
 from boughs.session import materialize
 from boughs.sources.text import tokenize
@@ -51,6 +52,57 @@ def test_fixture_values(fixture_chunks, fixture_nodes, algebra, plan):
     assert answers(plan(source, algebra)) == want
 
 
+def test_every_plan_has_one_overflow_rule(spark):
+    """A chain of nodes valued 0 with a leaf 2 each; a zero at the bottom clears what the factors above would be."""
+    n = 70
+    chain = [0] * n + [0, None] + [x for _ in range(n) for x in (2, None, None)]
+    flat = {0: chain, 1: [t if t != 0 else 5 for t in chain], 2: [3, None], 3: [1 << 60, 0, None, None], 4: [1, 1 << 60, None, 0, None, None]}
+    chunks = materialize(spark.createDataFrame(chunk_rows({t: random_cuts(random.Random(t), x, 6) for t, x in flat.items()}), CHUNKS), "over")
+    nodes = materialize(match_brackets(tokenize(chunks, sum_product)), "over")
+    plans = {
+        "chunks": (fold_chunks, chunks, {}), "pairs": (fold_pairs, chunks, {}), "pairs, rounds": (fold_pairs, chunks, {"small": 1}),
+        "tree": (fold_tree, chunks, {"entry_limit": 4}), "levels": (fold_levels, nodes, {}), "rounds": (fold_rounds, nodes, {}),
+        "rounds, small": (fold_rounds, nodes, {"small": 4}),
+    }
+    for name, (plan, source, options) in plans.items():
+        good = source.filter("tree_id in (0, 2, 4)")
+        assert answers(plan(good, sum_product, **options)) == {0: 0, 2: 3, 4: 1}, name
+        for bad in (1, 3):
+            with pytest.raises(Exception, match="exact range"):
+                plan(source.filter(f"tree_id = {bad}"), sum_product, **options).collect()
+
+
+def test_missing_parents_cycles_and_deeper_nodes_raise(spark):
+    kind = "tree_id bigint, node_id bigint, parent_id bigint, depth int, value bigint"
+    orphan = spark.createDataFrame([(0, 0, None, 0, 1), (0, 1, 0, 1, 1), (0, 2, 9, 1, 1)], kind)
+    cycle = spark.createDataFrame([(0, 0, None, 0, 1), (0, 1, 2, 1, 1), (0, 2, 1, 1, 1)], kind)
+    for small in (1, 100):
+        for rows, match in ((orphan, "parent not found"), (cycle, "cycle")):
+            with pytest.raises(Exception, match=match):
+                fold_rounds(rows, max_path_sum, small=small).collect()
+    with pytest.raises(ValueError, match="parent not found"):
+        fold_levels(orphan, max_path_sum)
+    deep = spark.createDataFrame([(0, 0, None, 0, 1), (0, 1, 0, 1, 1), (0, 2, 1, 2, 1)], kind)
+    for height in (0, 1):
+        with pytest.raises(Exception, match="deeper than height"):
+            fold_levels(deep, max_path_sum, height=height).collect()
+        with pytest.raises(ValueError, match="deeper than height"):
+            number_edges(deep, height=height)
+    assert answers(fold_levels(deep, max_path_sum, height=2)) == {0: 3}
+
+
+def test_star_levels(spark):
+    top = spark.createDataFrame([(1, None, 10), (2, None, 20)], "k bigint, p bigint, v bigint")
+    middle = spark.createDataFrame([(1, 1, 5), (2, 1, 6), (3, 9, 7)], "k bigint, p bigint, v bigint")
+    leaves = spark.createDataFrame([(None, 1, 4), (None, 1, 4), (None, 1, 3), (None, 3, 9), (None, 8, 1)], "k bigint, p bigint, v bigint")
+    assert answers(fold_star([leaves, middle, top], value_sum)) == {1: 32, 2: 20}
+    assert answers(fold_star([leaves, middle, top], max_path_sum)) == {1: 19, 2: 20}
+    assert answers(fold_star([leaves, middle, top], sum_product)) == {1: 10 + (5 + 48) * 6, 2: 20}
+    assert answers(fold_star([leaves, middle], max_path_sum, forest=True)) == {1: 9, 9: 16}
+    with pytest.raises(ValueError, match="order"):
+        fold_star([leaves, middle, top], spell)
+
+
 def test_small_fan_in_and_forced_contraction(fixture_chunks, fixture_nodes):
     want = {t: v[1] for t, v in FIXTURES.items()}
     assert answers(fold_chunks(fixture_chunks, max_path_sum, fan_in=2)) == want
@@ -83,8 +135,8 @@ def test_random_trees_under_random_cuts(spark, algebra, value):
     assert answers(fold_pairs(chunks, algebra)) == want
     nodes = materialize(match_brackets(tokenize(chunks, algebra), segment_bits=4), "random")
     assert answers(fold_rounds(nodes, algebra)) == want
-    if algebra in (max_path_sum, path_automaton):
-        assert answers(fold_rounds(nodes, algebra, small=8)) == want
+    assert answers(fold_rounds(nodes, algebra, small=8)) == want
+    if algebra is not sum_product:
         assert answers(fold_levels(nodes.filter("tree_id % 4 < 3"), algebra)) == {
             t: v for t, v in want.items() if t % 4 < 3
         }
