@@ -235,10 +235,36 @@ def all_oracles() -> dict[str, str]:
     for plan in ("chunks", "levels", "pairs"):
         out[f"tree_algebra_custom_{plan}"] = custom
 
+    total = walk + "SELECT tree_id, CAST(sum(value) AS BIGINT) AS value FROM n GROUP BY tree_id"
+    for name, sql in (("max_path_sum", best), ("sum_product", prod), ("path_automaton", auto), ("value_sum", total)):
+        for plan in ("rounds", "pairs"):
+            out[f"fold_{plan}_{name}_contract"] = sql
+    out["fold_chunks_merge_rounds"] = best
+    # on a path the best path sum is the sum of all values
+    for name in ("fold_rounds_path_max_path_sum", "fold_rounds_path_value_sum", "fold_levels_path_tall", "fold_tree_tall"):
+        out[name] = total
+
+    def ordered(codes: str) -> str:
+        return walk + (
+            f", x AS ({codes}), y AS (SELECT tree_id, list(code ORDER BY pos) AS codes FROM x GROUP BY tree_id)"
+            " SELECT tree_id, CAST(list_reduce(list_prepend(0, codes), lambda h, code : (((h * 31 + code) % 1000003) + 1000003) % 1000003)"
+            " AS BIGINT) AS value FROM y"
+        )
+
+    opens = "SELECT tree_id, {pos} AS pos, 2 * value + CASE WHEN {leaf} THEN 1 ELSE 0 END AS code FROM {source}"
+    closes = " UNION ALL SELECT tree_id, {close}, 7 FROM {source} WHERE NOT ({leaf})"
+    parts_of = {"pos": "pos", "close": "close_pos", "leaf": "is_leaf", "source": "n"}
+    out["fold_ordered_walk"] = out["fold_ordered_levels"] = ordered((opens + closes).format(**parts_of))
+    last = "(SELECT *, count(*) OVER (PARTITION BY tree_id) AS total FROM n)"
+    parts_of = {"pos": "i", "close": "2 * total - 1 - i", "leaf": "i = total - 1", "source": last}
+    out["fold_ordered_path"] = ordered((opens + closes).format(**parts_of))
+
     token_text = "coalesce(CAST(value AS VARCHAR), '/')"
     lines = f"SELECT tree_id, pos // {CHUNK} AS chunk_id, string_agg({token_text}, ' ' ORDER BY pos) AS line FROM t GROUP BY ALL"
     out["read_tree_text"] = toks + lines
     out["split_chunks"] = toks + lines
+    out["read_numbered_text"] = toks + lines
+    out["read_depth_text"] = toks + "SELECT tree_id, pos, value, CAST(depth AS INTEGER) AS depth FROM t"
     out["tokenize"] = toks + "SELECT tree_id, pos, value FROM t"
     out["index_tokens"] = toks + f"SELECT tree_id, pos, {token_text} AS token FROM t"
     out["chunk_starts"] = toks + (
@@ -270,6 +296,8 @@ def all_oracles() -> dict[str, str]:
     out["match_brackets"] = walk + (
         "SELECT tree_id, pos AS node_id, close_pos, parent_pos AS parent_id, CAST(depth AS INTEGER) AS depth, is_leaf, value FROM np"
     )
+    out["match_brackets_segments"] = out["match_brackets"]
+    out["token_depth_segments"] = out["token_depth"]
     out["tree_edges"] = walk + "SELECT tree_id, parent_pos AS parent_id, pos AS node_id FROM np WHERE parent IS NOT NULL"
     out["validate_tokens"] = (
         "WITH x AS (SELECT event_id % 7 AS tree_id, CASE WHEN event_id % 5 < 2 THEN 1 ELSE -1 END AS e, event_id FROM events),"

@@ -12,6 +12,7 @@ from ..functions.algebra import (
     AffineForm,
     ColumnForm,
     TreeAlgebra,
+    WrapForm,
     max_path_sum,
     path_automaton,
     sum_product,
@@ -24,7 +25,7 @@ from ..plans import pairs as pair_ops
 from ..plans.chunks import fold_chunks
 from ..plans.contraction import fold_rounds
 from ..plans.fold import fold_tree
-from ..plans.levels import fold_forest, fold_levels, fold_star
+from ..plans.levels import fold_forest, fold_levels, fold_ordered, fold_star
 from ..plans.pairs import fold_pairs
 from ..session import materialize, new_path
 from ..sources import generate, tables, text
@@ -343,6 +344,76 @@ def _custom(plan: Callable, source: Callable) -> Query:
     return run
 
 
+_BASE = 31
+
+
+def _pair(h: Column, w: Column) -> Column:
+    return F.struct(F.pmod(h, F.lit(_PRIME)).cast("bigint").alias("h"), F.pmod(w, F.lit(_PRIME)).cast("bigint").alias("w"))
+
+
+def _symbol(code: Column) -> Column:
+    return _pair(code, F.lit(_BASE))
+
+
+#: hash of a tree's bracket sequence in order: ``mult`` joins two sequences and is not commutative
+order_hash = TreeAlgebra(
+    name="order_hash",
+    value_type=T.LongType(),
+    result_type=T.StructType([T.StructField("h", T.LongType()), T.StructField("w", T.LongType())]),
+    hom=lambda a: ((2 * a + 1) % _PRIME, _BASE),
+    plus=None,
+    mult=lambda x, y: ((x[0] * y[1] + y[0]) % _PRIME, x[1] * y[1] % _PRIME),
+    column=ColumnForm(
+        hom=lambda a: _symbol(2 * a + 1),
+        plus=lambda a, s: _join(_join(_symbol(2 * a), s), _symbol(F.lit(7))),
+        mult=lambda x, y: _join(x, y),
+        agg=None,
+    ),
+    wrap=WrapForm(leaf=lambda a: _symbol(2 * a + 1), open=lambda a: _symbol(2 * a), close=lambda a: _symbol(F.lit(7))),
+)
+
+
+def _join(x: Column, y: Column) -> Column:
+    return _pair(x["h"] * y["w"] + y["h"], x["w"] * y["w"])
+
+
+def _ordered(plan: Callable, source: Callable) -> Query:
+    return lambda spark, sf_dir: plan(source(spark, sf_dir), order_hash).select("tree_id", F.col("value.h").alias("value"))
+
+
+def _path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def build() -> DataFrame:
+        return tables.orders_path(tables.orders_walk(spark, sf_dir), tables.walk_value(F.col("price")))
+
+    return _once(spark, sf_dir, "path-nodes", build)
+
+
+def _path_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _path_nodes(spark, sf_dir)
+    return _once(spark, sf_dir, "path-chunks", lambda: text.split_chunks(shape.serialize_tree(nodes).drop("depth"), CHUNK))
+
+
+def _forced(plan: Callable, source: Callable, algebra: TreeAlgebra, **options: int) -> Query:
+    """A plan with a small bound, so that the steps for large trees run on these tables too."""
+    return lambda spark, sf_dir: _result(plan(source(spark, sf_dir), algebra, **options), algebra)
+
+
+def _source(source: Callable, algebra: TreeAlgebra) -> Callable:
+    return lambda spark, sf_dir: source(spark, sf_dir, algebra)
+
+
+def _depth_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "depth-text")
+    text.write_depth_text(_depth_lines(spark, sf_dir), path, compression="gzip")
+    return text.read_depth_text(spark, path, max_path_sum)
+
+
+def _numbered_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "numbered")
+    text.write_numbered_text(_chunks(spark, sf_dir, max_path_sum), path, compression="gzip")
+    return text.chunk_lines(text.read_numbered_text(spark, path)).withColumnRenamed("value", "line")
+
+
 def _select(fn: Callable[[DataFrame], DataFrame], source: Callable) -> Query:
     return lambda spark, sf_dir: fn(source(spark, sf_dir))
 
@@ -374,6 +445,23 @@ def all_queries() -> dict[str, Query]:
     out["tree_algebra_custom_levels"] = _custom(fold_levels, _nodes)
     out["tree_algebra_custom_pairs"] = _custom(fold_pairs, _chunks)
 
+    for algebra in (max_path_sum, sum_product, path_automaton, value_sum):
+        nodes, chunks = _source(_nodes, algebra), _source(_chunks, algebra)
+        out[f"fold_rounds_{algebra.name}_contract"] = _forced(fold_rounds, nodes, algebra, small=64)
+        out[f"fold_pairs_{algebra.name}_contract"] = _forced(fold_pairs, chunks, algebra, small=4)
+    out["fold_chunks_merge_rounds"] = _forced(fold_chunks, _source(_chunks, max_path_sum), max_path_sum, fan_in=3)
+    for algebra in (max_path_sum, value_sum):
+        out[f"fold_rounds_path_{algebra.name}"] = _forced(fold_rounds, _path_nodes, algebra, small=64)
+    out["fold_levels_path_tall"] = _forced(fold_levels, _path_nodes, max_path_sum)
+    out["fold_tree_tall"] = _forced(fold_tree, _path_chunks, max_path_sum, entry_limit=256)
+    out["fold_ordered_walk"] = _ordered(fold_ordered, _walk_nodes)
+    out["fold_ordered_levels"] = _ordered(fold_levels, _walk_nodes)
+    out["fold_ordered_path"] = _ordered(fold_ordered, _path_nodes)
+    out["match_brackets_segments"] = _select(lambda t: shape.match_brackets(t, segment_bits=5), path_tokens)
+    out["token_depth_segments"] = _select(lambda t: shape.token_depth(t, segment_bits=5), path_tokens)
+
+    out["read_depth_text"] = _depth_round_trip
+    out["read_numbered_text"] = _numbered_round_trip
     out["read_tree_text"] = _text_round_trip
     out["tokenize"] = _tokenized
     out["index_tokens"] = lambda s, d: shape.index_tokens(_chunks(s, d, max_path_sum))

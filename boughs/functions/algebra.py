@@ -61,6 +61,18 @@ class AffineForm:
     apply_value: Callable[[Any, Any, Any], Any]
 
 
+@dataclass(frozen=True)
+class WrapForm:
+    """``plus(a, s) = mult(mult(open(a), s), close(a))``: a tree is one ordered product over its brackets.
+
+    For algebras whose ``mult`` is only associative: such a product is formed in ranges, at any height.
+    """
+
+    leaf: Callable[[Column], Column]
+    open: Callable[[Column], Column]
+    close: Callable[[Column], Column]
+
+
 class BatchForm:
     """Numpy form over aligned arrays of values; node values and results share one dtype."""
 
@@ -112,6 +124,7 @@ class TreeAlgebra:
     column: ColumnForm | None = None
     affine: AffineForm | None = None
     batch: BatchForm | None = None
+    wrap: WrapForm | None = None
     #: result of a whole tree -> answer; may raise for results that stand for an error
     answer: Callable[[Column], Column] = lambda value: value
 

@@ -49,6 +49,28 @@ def fold_forest(roots: DataFrame, algebra: TreeAlgebra, top: int = 0) -> DataFra
     return combine_children(roots, ["tree_id"], algebra, top).select("tree_id", algebra.answer(F.col("v")).alias("value"))
 
 
+def fold_ordered(nodes: DataFrame, algebra: TreeAlgebra) -> DataFrame:
+    """Node table of ``match_brackets`` -> ``(tree_id, value)`` for an ordered algebra, at any height.
+
+    Every node becomes its opening and its closing factor at their positions, a leaf one factor, and the factors
+    of a tree are multiplied in ranges of 2**BITS positions: a number of shuffles that is logarithmic in the size.
+    """
+    form = algebra.wrap
+    if form is None:
+        raise ValueError(f"fold_ordered needs the wrap form of algebra {algebra.name!r}")
+    nodes = nodes.select("tree_id", "node_id", "close_pos", "is_leaf", "value")
+    top = nodes.agg(F.max("close_pos")).first()[0] or 0
+    a, kind = F.col("value"), algebra.result_type
+    leaf = F.array(F.struct(F.col("node_id").alias("pos"), form.leaf(a).cast(kind).alias("v")))
+    inner = F.array(
+        F.struct(F.col("node_id").alias("pos"), form.open(a).cast(kind).alias("v")),
+        F.struct(F.col("close_pos").alias("pos"), form.close(a).cast(kind).alias("v")),
+    )
+    factors = nodes.select("tree_id", F.inline(F.when(F.col("is_leaf"), leaf).otherwise(inner)))
+    out = ordered_reduce(factors, ["tree_id"], algebra, top)
+    return out.select("tree_id", algebra.answer(F.col("v")).alias("value"))
+
+
 def fold_star(levels: list[DataFrame], algebra: TreeAlgebra, forest: bool = False) -> DataFrame:
     """Levels ``(node_id, parent_id, value)`` of a star schema, deepest first -> ``(tree_id, value)``.
 

@@ -81,6 +81,23 @@ def orders_walk(spark: SparkSession, sf_dir: str, n_trees: int = WALK_TREES) ->
     return walked.select("tree_id", "i", depth.cast("bigint").alias("depth"), "key", "price")
 
 
+def orders_path(walk: DataFrame, value: Column) -> DataFrame:
+    """Node table of the deepest trees: the nodes of ``orders_walk`` in a row, each the child of the one before."""
+    n = walk.groupBy("tree_id").agg(F.count("*").alias("n"))
+    # the size reaches the nodes through their segments, so that no tree is joined in one task
+    rows = walk.withColumn("c", F.shiftright("i", SEGMENT_BITS))
+    segments = rows.select("tree_id", "c").distinct().join(n, "tree_id")
+    return rows.join(segments, ["tree_id", "c"]).select(
+        "tree_id",
+        F.col("i").alias("node_id"),
+        (2 * F.col("n") - 1 - F.col("i")).alias("close_pos"),
+        F.when(F.col("i") > 0, F.col("i") - 1).alias("parent_id"),
+        F.col("i").cast("int").alias("depth"),
+        (F.col("i") == F.col("n") - 1).alias("is_leaf"),
+        value.alias("value"),
+    )
+
+
 def walk_tokens(walk: DataFrame, value: Column) -> DataFrame:
     """Token table of pre-order node rows ``(tree_id, i, depth, ...)``.
 

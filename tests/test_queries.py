@@ -9,6 +9,8 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as contract
+from boughs.catalog.oracles import all_oracles
+from boughs.catalog.queries import all_queries
 
 NAMES = [
     "fold_chunks_max_path_sum",
@@ -33,7 +35,8 @@ NAMES = [
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(contract.queries()) and set(all_oracles()) <= set(contract.oracle_sql())
 
 
 @pytest.fixture(scope="module")
