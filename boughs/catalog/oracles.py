@@ -189,9 +189,32 @@ WITH spec AS (SELECT CAST(c_nationkey AS BIGINT) AS tree_id, count(*) AS n FROM
 {extra}"""
 
 
-_GEN_FACTS = _gen_sql(
-    "SELECT tree_id, n AS n_nodes, 2 * n AS n_tokens, 2 * n - 1 AS last_pos, 2 * n AS n_positions, 0 AS min_depth, 1 AS n_roots FROM spec"
-)
+def _mix_sql(x: str) -> str:
+    """The 32-bit mixing of the generator."""
+    for shift, factor in ((16, 0x045D9F3B), (15, 0x2545F491)):
+        x = f"(xor({x}, ({x}) >> {shift}) * {factor} % 4294967296)"
+    return f"xor({x}, ({x}) >> 16)"
+
+
+def _draw_sql(place: str, more: int = 0) -> str:
+    return _mix_sql(f"((tree_id * {0x2545F491} % 4294967296 + {7 * 0x045D9F3B % 2**32} + {place} + {more}) % 4294967296)")
+
+
+def _grown_sql(deepness: float) -> str:
+    """Trees token by token: forced opens at depth 1, then coins, then closes."""
+    return f"""WITH RECURSIVE spec AS MATERIALIZED (
+  SELECT CAST(c_nationkey AS BIGINT) AS tree_id, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+coins AS MATERIALIZED (SELECT tree_id, k, {_draw_sql("k")} < {int(deepness * 2**32)} AS up
+  FROM (SELECT tree_id, unnest(range(1, 2 * n + 1)) AS k FROM spec)),
+g AS (
+  SELECT tree_id, n, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS depth, CAST(1 AS BIGINT) AS opens, CAST(0 AS BIGINT) AS k,
+    true AS is_open FROM spec
+  UNION ALL
+  SELECT tree_id, n, pos + 1, depth + CASE WHEN o THEN 1 ELSE -1 END, opens + CASE WHEN o THEN 1 ELSE 0 END, next_k, o
+  FROM (SELECT g.*, CASE WHEN opens = g.n THEN false WHEN depth = 1 THEN true ELSE up END AS o,
+          CASE WHEN opens = g.n OR depth = 1 THEN g.k ELSE g.k + 1 END AS next_k
+        FROM g LEFT JOIN coins ON g.tree_id = coins.tree_id AND g.k + 1 = coins.k WHERE pos < 2 * g.n - 1))
+"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -368,12 +391,15 @@ def all_oracles() -> dict[str, str]:
         " min(pos) FILTER (WHERE bad) AS first_mismatch FROM j GROUP BY tree_id"
     )
 
-    for name in ("gen_trees", "gen_trees_path", "gen_trees_matrix"):
-        out[name] = _GEN_FACTS
-    out["gen_chunks"] = _gen_sql(
-        ", m AS (SELECT tree_id, n, 2 * n // CAST(ceil(n / 256.0) AS BIGINT) + 1 AS m FROM spec),"
-        " p AS (SELECT tree_id, n, m, unnest(range((2 * n + m - 1) // m)) AS chunk_id FROM m)"
-        " SELECT tree_id, chunk_id, least(m, 2 * n - chunk_id * m) AS n_tokens FROM p"
+    for name, deepness in (("gen_trees", 0.5), ("gen_trees_path", 1.0)):
+        out[name] = _grown_sql(deepness) + "SELECT tree_id, pos, CAST(CASE WHEN is_open THEN 1 END AS BIGINT) AS value FROM g"
+    masks = ", ".join(
+        f"CAST(CASE WHEN is_open THEN {_draw_sql('pos', (i + 1) * 0x1B873593)} % 1024 END AS INTEGER) AS r{i}" for i in range(10)
+    )
+    out["gen_trees_matrix"] = _grown_sql(0.7) + f"SELECT tree_id, pos, is_open, {masks} FROM g"
+    out["gen_chunks"] = _grown_sql(0.5) + (
+        "SELECT tree_id, pos // (2 * n // CAST(ceil(n / 256.0) AS BIGINT) + 1) AS chunk_id,"
+        " string_agg(CASE WHEN is_open THEN '1' ELSE '/' END, ' ' ORDER BY pos) AS line FROM g GROUP BY ALL"
     )
     out["gen_branching"] = """
 WITH RECURSIVE r AS (

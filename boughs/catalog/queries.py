@@ -275,23 +275,21 @@ def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _generated(deepness: float, matrices: bool = False) -> Query:
-    """Facts that hold for every random tree of the given size."""
+    """Tokens of random trees, with the rows of the matrices."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tokens = materialize(generate.gen_trees(_specs(spark, sf_dir), deepness, seed=7, matrices=matrices), "gen")
-        rows = shape.token_depth(tokens)
-        return rows.groupBy("tree_id").agg(
-            F.count("value").alias("n_nodes"), F.count("*").alias("n_tokens"), F.max("pos").alias("last_pos"),
-            F.countDistinct("pos").alias("n_positions"), F.min("depth").alias("min_depth"),
-            F.count_if((F.col("depth") == 0) & F.col("value").isNotNull()).alias("n_roots"),
-        )
+        tokens = generate.gen_trees(_specs(spark, sf_dir), deepness, seed=7, matrices=matrices)
+        if not matrices:
+            return tokens.select("tree_id", "pos", "value")
+        rows = [F.get("value", F.lit(i)).alias(f"r{i}") for i in range(10)]
+        return tokens.select("tree_id", "pos", F.col("value").isNotNull().alias("is_open"), *rows)
 
     return run
 
 
 def _generated_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = generate.gen_chunks(_specs(spark, sf_dir), parts=lambda n: F.ceil(n / 256), deepness=0.5, seed=7)
-    return chunks.select("tree_id", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    return text.chunk_lines(chunks).withColumnRenamed("value", "line")
 
 
 def _generated_fold(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix
 from ..functions.algebra import max_path_sum, path_automaton
 from ..operators.scan import exclusive_scan
 from ..operators.shape import SEGMENT_BITS
-from ..session import materialize
+from ..session import materialize, ship_package
 from .text import token_text
 
-_COIN = 1 << 53
 _OUTER_BITS = 20
+#: 32-bit mixing of the coordinates of a random draw; small factors, so that 64-bit arithmetic never overflows
+_WORD = 1 << 32
+_FACTORS = (0x2545F491, 0x045D9F3B, 0x1B873593)
 
 
-def _uniform(*keys: Column) -> Column:
-    """Repeatable number in [0, 1): a hash of its keys, so a task that runs again gives the same tree."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(_COIN))
+def _mix(x):
+    """The same steps on a numpy array of UINT64 (below) and, as ``_mix_column``, on a BIGINT column."""
+    a, b, _ = map(np.uint64, _FACTORS)
+    mask, half, less = np.uint64(_WORD - 1), np.uint64(16), np.uint64(15)
+    x = x & mask
+    x = ((x ^ (x >> half)) * b) & mask
+    x = ((x ^ (x >> less)) * a) & mask
+    return x ^ (x >> half)
+
+
+def _mix_column(x: Column) -> Column:
+    a, b, _ = _FACTORS
+    x = F.pmod(x, F.lit(_WORD))
+    x = (x.bitwiseXOR(F.shiftright(x, 16)) * b) % _WORD
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * a) % _WORD
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def _coins(tree_id: int, seed: int, k: np.ndarray, deepness: float) -> np.ndarray:
+    """Repeatable coins: a task that runs again gives the same tree."""
+    a, b, c = _FACTORS
+    base = np.uint64((tree_id % (1 << 31)) * a % _WORD + (seed % _WORD) * b % _WORD)
+    k = k.astype(np.uint64)
+    return _mix(base + (k >> np.uint64(32)) * np.uint64(c) + k) < np.uint64(int(deepness * _WORD))
 
 
 def unit_element(*keys: Column) -> Column:
@@ -28,9 +53,13 @@ def unit_element(*keys: Column) -> Column:
 
 
 def matrix_element(*keys: Column) -> Column:
-    """Random boolean 10 x 10 matrix as ten row masks."""
+    """Random boolean 10 x 10 matrix as ten row masks, from ``(tree, seed, place)``."""
+    a, b, c = _FACTORS
+    tree, seed, place = keys
+    base = F.pmod(tree, F.lit(1 << 31)) * a % _WORD + F.pmod(seed, F.lit(_WORD)) * b % _WORD
+    base = base + F.shiftright(place, 32) * c + F.pmod(place, F.lit(_WORD))
     return F.array(
-        *[F.pmod(F.xxhash64(*keys, F.lit(f"row{i}")), F.lit(1 << matrix.SIZE)).cast("int") for i in range(matrix.SIZE)]
+        *[(_mix_column(base + F.lit((i + 1) * c)) % (1 << matrix.SIZE)).cast("int") for i in range(matrix.SIZE)]
     )
 
 
@@ -47,6 +76,54 @@ def _numbers(rows: DataFrame, first: Column, last: Column, name: str) -> DataFra
     return blocks.select("*", F.explode(F.sequence(low, high)).alias(name)).drop("__first", "__last", "__o")
 
 
+def _coin_range(n: int, c: int) -> np.ndarray:
+    return np.arange(max(1, c << SEGMENT_BITS), min(2 * n, ((c + 1) << SEGMENT_BITS) - 1) + 1)
+
+
+def _segment_sums(deepness: float, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = [batch.column(i).to_pylist() for i in range(3)], []
+            for tree, n, c in zip(*ids):
+                up = _coins(tree, seed, _coin_range(n, c), deepness)
+                walk = np.cumsum(np.where(up, 1, -1))
+                rows.append((int(walk[-1]), int(up.sum()), int(walk.min())) if len(walk) else (0, 0, 0))
+            columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], *columns], names=["tree_id", "n", "c", "net", "seg_ups", "seg_low"]
+            )
+
+    return run
+
+
+def _segment_tokens(deepness: float, seed: int):
+    """Tokens of the coins of a segment, given the walk before it.
+
+    Forced opens follow the coins that reach a new minimum; the root and one open come before all coins.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tree, n, c, base, ups, prior in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                k = _coin_range(n, c)
+                up = _coins(tree, seed, k, deepness)
+                walk = base + np.cumsum(np.where(up, 1, -1))
+                low = np.minimum.accumulate(np.concatenate([[min(0, prior)], walk]))
+                forced, forced_now = -low[:-1], -low[1:]
+                opened = 2 + ups + np.cumsum(up) - up + forced
+                kept = opened < n
+                pos = 1 + k + forced
+                extra = kept & (forced_now > forced)
+                places = np.concatenate([pos[kept], pos[extra] + 1])
+                kinds = np.concatenate([up[kept], np.ones(int(extra.sum()), bool)])
+                same = [pa.array(np.full(len(places), x, np.int64)) for x in (tree, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(places.astype(np.int64)), pa.array(kinds)], names=["tree_id", "n", "pos", "is_open"]
+                )
+
+    return run
+
+
 def _random_tokens(specs: DataFrame, deepness: float, seed: int, matrices: bool) -> DataFrame:
     if not 0.0 <= deepness <= 1.0:
         raise ValueError("deepness must be within 0..1")
@@ -54,34 +131,20 @@ def _random_tokens(specs: DataFrame, deepness: float, seed: int, matrices: bool)
     n = F.when(F.col("n_nodes") <= 0, bad).otherwise(F.col("n_nodes")).cast("bigint")
     specs = materialize(specs.select(F.col("tree_id").cast("bigint").alias("tree_id"), n.alias("n")), "specs")
     seg = ["tree_id", "c"]
+    ship_package(specs.sparkSession)
 
-    up = _uniform(F.col("tree_id"), F.lit(seed), F.col("k")) < F.lit(deepness)
-    coins = _numbers(specs, F.lit(1).cast("bigint"), 2 * F.col("n"), "k")
-    coins = coins.withColumn("c", F.shiftright("k", SEGMENT_BITS)).withColumn("e", F.when(up, 1).otherwise(-1))
-    ups = F.sum(F.when(F.col("e") > 0, 1).otherwise(0))
-    here = Window.partitionBy(*seg).orderBy("k")
-    upto, before = (here.rowsBetween(Window.unboundedPreceding, e) for e in (0, -1))
-    local = coins.select("*", F.sum("e").over(upto).alias("run"), ups.over(before).alias("ups"))
-    local = local.select("*", F.min("run").over(upto).alias("low"), F.min("run").over(before).alias("low_before"))
-    parts = local.groupBy(*seg).agg(
-        F.sum("e").alias("net"), ups.alias("seg_ups"), F.min("low").alias("seg_low")
+    # coins depend on (tree, k) only: each segment of them is one row, summed up and later walked inside its task
+    segments = _numbers(specs, F.lit(0).cast("bigint"), F.shiftright(2 * F.col("n"), SEGMENT_BITS), "c")
+    sums = segments.select("tree_id", "n", "c").mapInArrow(
+        _segment_sums(deepness, seed), "tree_id bigint, n bigint, c bigint, net bigint, seg_ups bigint, seg_low bigint"
     )
-    parts = exclusive_scan(parts, ["tree_id"], "c", {"base": ("net", "sum"), "ups_base": ("seg_ups", "sum")})
+    parts = exclusive_scan(sums, ["tree_id"], "c", {"base": ("net", "sum"), "ups_base": ("seg_ups", "sum")})
     parts = parts.withColumn("abs_low", F.col("base") + F.col("seg_low"))
     parts = exclusive_scan(parts, ["tree_id"], "c", {"prior": ("abs_low", "min")})
-    walk = local.join(parts.select(*seg, "base", "ups_base", "prior"), seg)
-
-    # forced opens follow the coins that reach a new minimum; the root and one open come before all coins
-    forced = -F.least(F.lit(0), "prior", F.col("base") + F.col("low_before"))
-    forced_now = -F.least(F.lit(0), "prior", F.col("base") + F.col("low"))
-    opened = 2 + F.col("ups_base") + F.coalesce("ups", F.lit(0)) + forced
-    walk = walk.filter(opened < F.col("n")).select(
-        "tree_id", "n", (1 + F.col("k") + forced).alias("pos"), (F.col("e") > 0).alias("is_open"),
-        (forced_now > forced).alias("then_open"),
-    )
-    token = F.struct("pos", "is_open")
-    extra = F.struct((F.col("pos") + 1).alias("pos"), F.lit(True).alias("is_open"))
-    drawn = walk.select("tree_id", "n", F.inline(F.when(F.col("then_open"), F.array(token, extra)).otherwise(F.array(token))))
+    parts = parts.select("tree_id", "n", "c", "base", "ups_base", F.coalesce("prior", F.lit(0)).alias("prior"))
+    # opens only grow: a segment that begins with all n opened has no token to give
+    parts = parts.filter(2 + F.col("ups_base") - F.least(F.lit(0), "prior") < F.col("n"))
+    drawn = parts.mapInArrow(_segment_tokens(deepness, seed), "tree_id bigint, n bigint, pos bigint, is_open boolean")
     first = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > 1, 1).otherwise(0).cast("bigint"))
     head = specs.select("tree_id", "n", F.explode(first).alias("pos"), F.lit(True).alias("is_open"))
     body = materialize(head.unionAll(drawn), "generated")
@@ -159,18 +222,17 @@ def gen_branching(
     for r, (first, count) in enumerate([(0, leaves), *((f, m) for _, _, m, f in rounds)]):
         # a node made in round r (leaves: 0) joins the list behind the nodes kept then
         at = F.col("id") - F.lit(first) + (rounds[r - 1][0] if r else 0)
-        parent, place = F.lit(None).cast("bigint"), at
-        for kept, run, made, ids in rounds[r:]:
-            fresh = parent.isNull() & (at >= kept)
-            turn = F.floor((at - kept) / run)
-            parent, place = (
-                F.when(fresh, ids + (made - 1) - turn).otherwise(parent),
-                F.when(fresh, F.pmod(at - kept, F.lit(run))).otherwise(place),
-            )
+        # the lists get shorter, so the first later round that keeps fewer takes the node: one case per round
+        parent, place = F.lit(root).cast("bigint"), at
+        for kept, run, made, ids in reversed(rounds[r:]):
+            taken = at >= kept
+            turn = F.call_function("div", at - kept, F.lit(run))
+            parent = F.when(taken, ids + (made - 1) - turn).otherwise(parent)
+            place = F.when(taken, F.pmod(at - kept, F.lit(run))).otherwise(place)
         nodes = spark.range(first, first + count).select(
-            "id", F.coalesce(parent, F.lit(root).cast("bigint")).alias("parent"), place.cast("bigint").alias("at")
+            "id", parent.cast("bigint").alias("parent"), place.cast("bigint").alias("at")
         )
         out = out.unionAll(nodes)
     element = matrix_element if matrices else unit_element
-    value = element(F.col("id"), F.lit(seed)).alias("value")
+    value = element(zero, F.lit(seed), F.col("id")).alias("value")
     return out.select(F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), F.col("at").alias("pos_in_parent"), value)
