@@ -1,6 +1,7 @@
 """Every fold strategy against fixture values and against the definition under random cuts."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from conftest import CHUNKS, FIXTURES, answers, chunk_rows, random_cuts, random_tokens, strict_fold
@@ -8,16 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boughs.functions import matrix
-from boughs.functions.algebra import ColumnForm, TreeAlgebra, max_path_sum, path_automaton, sum_product, value_sum
+from boughs.functions.algebra import (
+    ColumnForm,
+    TreeAlgebra,
+    WrapForm,
+    max_path_sum,
+    path_automaton,
+    sum_product,
+    value_sum,
+)
 from boughs.operators.edges import number_edges
 from boughs.operators.partials import chunk_partial, chunk_shape
 from boughs.operators.shape import match_brackets
 from boughs.plans.chunks import fold_chunks
 from boughs.plans.contraction import fold_rounds
 from boughs.plans.fold import fold_tree
-from boughs.plans.levels import fold_levels, fold_star
+from boughs.plans.levels import fold_levels, fold_ordered, fold_star
 from boughs.plans.pairs import chunk_depth, fold_pairs, mating_pairs, pair_tree
-from boughs.session import materialize
+from boughs.session import materialize, shared_dir
 from boughs.sources.text import tokenize
 
 spell = TreeAlgebra(
@@ -232,3 +241,39 @@ def test_deep_path_and_wide_star(spark):
     assert answers(fold_tree(chunks, max_path_sum, entry_limit=1000)) == want
     assert answers(fold_pairs(chunks, max_path_sum, small=20)) == want
     assert answers(fold_chunks(chunks, max_path_sum, fan_in=4)) == want
+
+
+def test_ordered_fold_at_any_height(spark):
+    """Not commutative: the text of a tree, on paths longer than a range and on random trees."""
+    wrapped = replace(
+        spell,
+        wrap=WrapForm(leaf=lambda a: a, open=lambda a: F.concat(a, F.lit("(")), close=lambda a: F.lit(")")),
+    )
+    rng = random.Random(12)
+    flat = {t: random_tokens(rng, rng.randint(1, 40), 0.5, lambda r: r.choice("abcd"), 1 + t % 2) for t in range(12)}
+    n = 5000
+    flat[99] = [rng.choice("abcd") for _ in range(n)] + [None] * n
+    trees = {t: [x[i : i + 500] for i in range(0, len(x), 500)] for t, x in flat.items()}
+    chunks = spark.createDataFrame(chunk_rows(trees), CHUNKS)
+    nodes = match_brackets(tokenize(chunks, spell))
+    assert answers(fold_ordered(nodes, wrapped)) == {t: strict_fold(x, spell) for t, x in flat.items()}
+    with pytest.raises(ValueError, match="wrap"):
+        fold_ordered(nodes, spell)
+
+
+def test_tables_go_to_the_warehouse_without_a_checkpoint_dir(spark):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.sql.warehouse.dir": "hdfs://store/warehouse/"}.get(key, default)
+
+    class Context:
+        applicationId, master = "app-1", "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    assert shared_dir(Session()) == "hdfs://store/warehouse/boughs-scratch/app-1"
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

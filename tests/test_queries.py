@@ -31,6 +31,18 @@ NAMES = [
     "gen_chunks",
     "gen_branching",
     "serialize_depth_split",
+    "read_depth_text",
+    "read_numbered_text",
+    "result_codec",
+    "tree_from_edges",
+    "pair_pieces",
+    "fold_ordered_path",
+    "fold_levels_path_tall",
+    "fold_tree_tall",
+    "fold_pairs_sum_product_contract",
+    "match_brackets_segments",
+    "gen_trees",
+    "gen_trees_matrix",
 ]
 
 

@@ -207,3 +207,48 @@ def brute_branching(leaves, branches, frac_up, depth):
 def test_branching(spark, args):
     rows = generate.gen_branching(spark, *args).collect()
     assert {r.node_id: (r.parent_id, r.pos_in_parent) for r in rows} == brute_branching(*args)
+
+
+def _depth_file(tmp_path, *lines):
+    path = tmp_path / f"depth-{abs(hash(lines))}.txt"
+    path.write_text("\n".join(lines) + "\n")
+    return str(path)
+
+
+def test_depth_text_round_trip(spark, tmp_path):
+    rng = random.Random(8)
+    flat = {t: random_tokens(rng, rng.randint(1, 60), 0.5, lambda r: r.randint(-9, 9), 1 + t % 3) for t in range(12)}
+    rows = [(t, i, x) for t, tokens in flat.items() for i, x in enumerate(tokens)]
+    tokens = spark.createDataFrame(rows, "tree_id bigint, pos bigint, value bigint")
+    path = str(tmp_path / "depth")
+    text.write_depth_text(text.serialize_depth(tokens, 5), path)
+    got = text.read_depth_text(spark, path, max_path_sum)
+    want = {tuple(r) for r in shape.token_depth(tokens).collect()}
+    assert {tuple(r) for r in got.select("tree_id", "pos", "value", "depth").collect()} == want
+    one = text.read_depth_text(spark, _depth_file(tmp_path, "1\t1 / 0 /", "", "0\t0 5 1 -2"), max_path_sum)
+    assert sorted(map(tuple, one.collect())) == [(0, 0, 5, 0), (0, 1, -2, 1), (0, 2, None, 1), (0, 3, None, 0)]
+
+
+@pytest.mark.parametrize(
+    "line", ["0\t0 1 0", "0\t0 1 2 2 2 / 0 /", "0\t0 1 0 / 0 /", "0\t0 1 1 2 1 /", "0\t0 1 1 /", "0\tx 1 0 /", "0\t1 1 1 /"]
+)
+def test_wrong_depth_text_raises(spark, tmp_path, line):
+    with pytest.raises(Exception):  # noqa: B017
+        text.read_depth_text(spark, _depth_file(tmp_path, line), max_path_sum).collect()
+
+
+def test_numbered_text_needs_no_order(spark, tmp_path):
+    rows = [(t, c, [str(t), str(c), "/"][: 1 + c % 3]) for t in range(5) for c in range(7)]
+    chunks = spark.createDataFrame(rows, "tree_id bigint, chunk_id bigint, tokens array<string>").repartition(4)
+    path = str(tmp_path / "numbered")
+    text.write_numbered_text(chunks, path)
+    assert sorted(map(tuple, text.read_numbered_text(spark, path).collect())) == rows
+
+
+def test_files_are_numbered_in_path_order(spark, tmp_path):
+    for i in (3, 1, 2):
+        (tmp_path / f"f{i}.in").write_text("".join(f"{i} {j} /\n" for j in range(i)))
+    got = text.read_tree_text(spark, str(tmp_path)).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.tokens[:2]) for r in got] == list(enumerate([["1", "0"], ["2", "0"], ["2", "1"], ["3", "0"], ["3", "1"], ["3", "2"]]))
+    got = text.read_tree_text(spark, str(tmp_path), per_file=True).collect()
+    assert sorted((r.tree_id, r.chunk_id) for r in got) == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
