@@ -211,4 +211,5 @@ def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents that every label calls good and not toxic, written once, since the model reads them thrice."""
     good = labels.filter("doc_id is not null").groupBy("doc_id")
     good = good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0")
-    return materialize(docs.join(good.select("doc_id"), "doc_id", "left_semi"), "target")
+    # labels grow with the corpus, so this is a shuffle join at every size
+    return materialize(docs.join(good.select("doc_id").hint("merge"), "doc_id", "left_semi"), "target")
