@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 
 
 def _to_smallest(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before, edges = mark, materialize(_round(edges), "edges")
+        before, longer = mark, edges
+        edges = materialize(_round(longer), "edges")
+        discard(longer)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
