@@ -40,7 +40,8 @@ def tree_from_edges(edges: DataFrame) -> DataFrame:
     depth_of = jump.select("tree_id", "node_id", "d")
     families = depth_of.select("tree_id", F.col("node_id").alias("parent_id"), (F.col("d") + 1).alias("depth"))
     inner_flag = depth_of.select("tree_id", "node_id", F.lit(False).alias("is_leaf"), F.col("d"))
-    out = nodes.join(inner_flag, ["tree_id", "node_id"], "left")
+    # written once: it is counted, joined to the parents, and read again for the inner nodes
+    out = materialize(nodes.join(inner_flag, ["tree_id", "node_id"], "left"), "flagged")
     leaf_depth = _by_parent(out.filter("is_leaf is null").drop("is_leaf", "d"), families)
     kept = out.filter("is_leaf is not null").withColumnRenamed("d", "depth")
     columns = [*edges.columns, "depth", "is_leaf"]
@@ -69,7 +70,7 @@ def number_edges(nodes: DataFrame, height: int | None = None) -> DataFrame:
     Siblings are in ``node_id`` order. Subtree sizes are summed bottom-up, level by level; then
     ``open = parent's open + 1 + 2 * (sizes of earlier siblings)`` top-down. Roots of a forest follow each other.
     """
-    nodes = materialize(nodes, "edges")
+    nodes = materialize(_ranged(nodes), "edges")
     found = nodes.agg(F.max("depth")).first()[0] or 0
     if height is not None and found > height:
         raise ValueError(f"a node lies deeper than height {height}")
@@ -104,20 +105,23 @@ def number_edges(nodes: DataFrame, height: int | None = None) -> DataFrame:
     return out.withColumn("close_pos", close).drop("earlier", "size")
 
 
-def _earlier_siblings(level: DataFrame) -> DataFrame:
-    """Add ``earlier``: the sum of ``size`` over the siblings with smaller ``node_id``.
+def _ranged(nodes: DataFrame) -> DataFrame:
+    """Add ``fam`` (the parent) and ``part``: ranges of about equal row counts over families and their members.
 
-    Ids are sparse, so ranges of equal row counts come from range partitioning. They are written with
-    their number, which makes it a fixed fact of the row; a wide family is spread over its ranges.
+    Ids are sparse, so the ranges come from range partitioning. They are written with their number, which makes
+    it a fixed fact of the row; a wide family is spread over its ranges.
     """
-    rows = level.withColumn("fam", F.coalesce("parent_id", F.lit(-1)))
-    rows = rows.repartitionByRange("tree_id", "fam", "node_id").withColumn("part", F.spark_partition_id())
-    rows = materialize(rows, "ranged")
+    rows = nodes.withColumn("fam", F.coalesce("parent_id", F.lit(-1)))
+    return rows.repartitionByRange("tree_id", "fam", "node_id").withColumn("part", F.spark_partition_id())
+
+
+def _earlier_siblings(level: DataFrame) -> DataFrame:
+    """Add ``earlier``: the sum of ``size`` over the siblings with smaller ``node_id``."""
     key = ["tree_id", "fam"]
     before = (Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*key, "part").agg(F.sum("size").alias("t"))
+    totals = level.groupBy(*key, "part").agg(F.sum("size").alias("t"))
     across = Window.partitionBy(*key).orderBy("part").rowsBetween(*before)
     totals = totals.select(*key, "part", F.coalesce(F.sum("t").over(across), F.lit(0)).alias("base"))
     inside = Window.partitionBy(*key, "part").orderBy("node_id").rowsBetween(*before)
-    rows = rows.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, [*key, "part"])
+    rows = level.withColumn("run", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, [*key, "part"])
     return rows.withColumn("earlier", F.col("base") + F.col("run")).drop("fam", "part", "run", "base")

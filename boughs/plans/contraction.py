@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.algebra import TreeAlgebra
 from ..functions.grouped import whole_groups
 from ..operators.skew import spread_join
-from ..session import materialize, ship_package
+from ..session import discard, materialize, ship_package
 
 SMALL = 50_000
 
@@ -92,8 +92,12 @@ def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> Data
             raise ValueError("the input has a cycle")
         before, turn = total, turn + 1
         leaves = state.filter("n = 0").select("tree_id", "parent", _value(algebra).alias("v"))
-        done.append(leaves.filter("parent is null").select("tree_id", "v"))
-        state = _compress(_rake(state, leaves, algebra), algebra, turn)
+        # finished roots are written, so that no earlier state is needed
+        done.append(materialize(leaves.filter("parent is null").select("tree_id", "v"), "roots"))
+        earlier, raked = state, _rake(state, leaves, algebra)
+        discard(earlier)
+        state = _compress(raked, algebra, turn)
+        discard(raked)
     done.append(_finish(state.select(*_STATE), algebra))
     return reduce(DataFrame.unionAll, done)
 
@@ -155,7 +159,9 @@ def _compress(state: DataFrame, algebra: TreeAlgebra, turn: int) -> DataFrame:
     )
     rows = materialize(rows, "joined")
     taken = rows.filter("taken is not null").select("tree_id", F.col("taken").alias("id"))
-    return materialize(rows.drop("taken").join(taken, ["tree_id", "id"], "left_anti"), "state")
+    state = materialize(rows.drop("taken").join(taken, ["tree_id", "id"], "left_anti"), "state")
+    discard(rows)
+    return state
 
 
 def _finish(state: DataFrame, algebra: TreeAlgebra) -> DataFrame:

@@ -58,6 +58,18 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove a table of ``materialize`` that nothing reads any more."""
+    path = table.inputFiles()
+    if not path:
+        return
+    spark = table.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
+    if not folder.getName().startswith("boughs-"):
+        raise ValueError("only intermediate tables are discarded")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 _shipped: set[str] = set()
 
 
