@@ -74,15 +74,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = quality.bucket_weights(docs, quality.trusted_ids(_table(spark, sf_dir, "labels")))
+    weights = quality.bucket_weights(docs, quality.clean_ids(_table(spark, sf_dir, "labels")))
     facts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
     return quality.quality_rules(docs, weights).select("doc_id", *[f"__quality.{f}" for f in facts])
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    target = lm_score.trusted_documents(docs, _table(spark, sf_dir, "labels"))
-    out = lm_score.cross_entropy_difference(docs, target, ["doc_id"])
+    out = lm_score.score_by_labels(docs, _table(spark, sf_dir, "labels"), ["doc_id"])
     losses = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")]
     return out.select("doc_id", "n_tokens", *losses)
 

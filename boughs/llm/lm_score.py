@@ -1,8 +1,7 @@
 """Language-model scoring by cross-entropy difference.
 
 Two interpolated bigram models are compared: a target model of trusted documents and a background model of
-all documents. They are matched: one vocabulary (the most frequent words of the target, every other word is
-``<unk>``), one inventory of bigrams (the most frequent ones of the target), one smoothing:
+all documents. They are matched: one vocabulary, one inventory of bigrams, one smoothing:
 
     p(w)     = (c(w) + 1) / (N + V)
     p(w | h) = (c(h w) + (t(h) + r(h)) p(w)) / (c(h) + t(h))
@@ -11,9 +10,9 @@ all documents. They are matched: one vocabulary (the most frequent words of the
 ``r(h)`` the occurrences outside the inventory, so probabilities sum to one in either model. The score of a
 document is the mean over its words of ``loss_target - loss_background``: the lower, the closer to the target.
 
-Vocabulary and inventory are bounded model sizes; the counts are not sampled. The target counts cover all
-trusted documents and the background counts every word of every document: each task counts its own part, and
-the partial counts are shuffled and added up.
+Vocabulary and inventory are all words and bigrams of the documents and the target, and ``<unk>`` (see
+``lm_tables``). A caller can ask for a model of a given size instead: then the vocabulary holds the most frequent words of
+the target, every other word is ``<unk>``, and the inventory its most frequent bigrams. The counts are never sampled.
 """
 
 from __future__ import annotations
@@ -27,8 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-
-VOCABULARY, INVENTORY = 50_000, 1_000_000
+from .lm_tables import losses_by_tables
 
 
 class Inventory:
@@ -108,7 +106,7 @@ def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fit_inventory(target: DataFrame, text: str, vocabulary: int = VOCABULARY, inventory: int = INVENTORY) -> Inventory:
+def fit_inventory(target: DataFrame, text: str, vocabulary: int, inventory: int) -> Inventory:
     """Most frequent words and bigrams of the target, ties in order of the words."""
     from .words import words
 
@@ -186,16 +184,21 @@ def cross_entropy_difference(
     target: DataFrame,
     keys: list[str],
     text: str = "text",
-    vocabulary: int = VOCABULARY,
-    inventory: int = INVENTORY,
+    vocabulary: int | None = None,
+    inventory: int | None = None,
 ) -> DataFrame:
     """``keys, n_tokens, target_loss, background_loss, score`` for every row of ``docs``.
 
-    ``target`` holds the trusted documents. NULL and empty texts have no tokens and all values 0. An
-    empty target gives a model in which every word is unknown, hence scores of 0. Rows that repeat are scored
-    and counted as often as they come.
+    ``target`` holds the trusted documents. NULL and empty texts have no tokens and all values 0. With an
+    empty target all scores are 0. Rows that repeat are scored and counted as often as they come. Without
+    ``vocabulary`` and ``inventory`` the models hold every word and bigram.
     """
     spark = docs.sparkSession
+    if vocabulary is None and inventory is None:
+        out = losses_by_tables(docs, target, keys, text)
+        return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    if vocabulary is None or inventory is None:
+        raise ValueError("a model of a given size needs vocabulary and inventory")
     model = fit_inventory(target, text, vocabulary, inventory)
     shared = spark.sparkContext.broadcast(model)
     near, far = (Model(model, *_counts(rows, text, model, shared)) for rows in (target, docs))
@@ -207,9 +210,20 @@ def cross_entropy_difference(
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
+def score_by_labels(docs: DataFrame, labels: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """``cross_entropy_difference`` against the trusted documents; the first key is the ``doc_id`` of the labels."""
+    out = losses_by_tables(docs, None, keys, text, trusted_labels(labels))
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def trusted_labels(labels: DataFrame) -> DataFrame:
+    """Ids of the documents that every label calls good and not toxic."""
+    good = labels.filter("doc_id is not null").groupBy("doc_id")
+    return good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0").select("doc_id")
+
+
 def trusted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents that every label calls good and not toxic, written once, since the model reads them thrice."""
-    good = labels.filter("doc_id is not null").groupBy("doc_id")
-    good = good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and t = 0")
+    good = trusted_labels(labels)
     # labels grow with the corpus, so this is a shuffle join at every size
-    return materialize(docs.join(good.select("doc_id").hint("merge"), "doc_id", "left_semi"), "target")
+    return materialize(docs.join(good.hint("merge"), "doc_id", "left_semi"), "target")

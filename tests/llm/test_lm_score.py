@@ -3,8 +3,9 @@ from collections import Counter
 
 from llm import brute
 import numpy as np
+import pyarrow as pa
 
-from boughs.llm import lm_score
+from boughs.llm import lm_score, lm_tables
 from llm.conftest import BASE
 
 
@@ -96,3 +97,33 @@ def test_long_text_in_blocks():
     model = lm_score.Inventory([b"a", b"b"], np.array([1 * 3 + 2]))
     uni, first, bi = model.count(iter([b"a b " * 600_000, b"b a", None]))
     assert uni.tolist() == [0, 600_001, 600_001] and first.tolist() == [0, 600_000, 600_000] and bi.tolist() == [600_000]
+
+
+def test_every_word_and_bigram_counts(spark, monkeypatch):
+    """No word is unknown and no bigram is left out, however the blocks, buckets and hot words are cut."""
+    texts = [*TEXTS, TEXTS[2], " Caf\u00e9\u00a0x\x1cy \t CAF\u00c9 ", *[f"one w{i} two w{i % 7} one" for i in range(40)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    trusted = [0, 2, 6, 12, 13]
+    target = docs.filter(docs.doc_id.isin(trusted))
+    words = [_tokens(t, {*brute.words((t or "").translate(brute.UPPER))}) for t in texts]
+    vocabulary, inventory = {w for t in words for w in t}, {p for t in words for p in zip(t, t[1:])}
+    want = _plain(texts, [texts[i] for i in trusted], vocabulary, inventory)
+    for bucket, part in ((1 << 21, 8), (20, 8), (20, 1)):
+        monkeypatch.setattr(lm_tables, "BUCKET", bucket)
+        monkeypatch.setattr(lm_tables, "HOT_PART", part)
+        got = sorted(lm_score.cross_entropy_difference(docs, target, ["doc_id"]).collect())
+        labels = spark.createDataFrame([(i, 1, 0) for i in trusted] + [(1, 1, 1), (3, 0, 0)], "doc_id bigint, quality int, toxic int")
+        assert sorted(lm_score.score_by_labels(docs, labels, ["doc_id"]).collect()) == got
+        assert [r.doc_id for r in got] == list(range(len(texts)))
+        for r, (near, far) in zip(got, want):
+            assert math.isclose(r.target_loss, near, abs_tol=1e-9) and math.isclose(r.background_loss, far, abs_tol=1e-9)
+            assert r.n_tokens == len(words[r.doc_id])
+
+
+def test_words_of_a_slice():
+    texts = pa.array([f"Word{i} \x0b\x1cÉ\u00a0b\u0085 " * (i % 5) for i in range(100)])
+    want = [t.as_py().translate(brute.UPPER).encode().split() for t in texts]
+    for start in (0, 3, 50):
+        found, sizes = lm_tables.split_words(texts.slice(start))
+        assert sizes.tolist() == [len(w) for w in want[start:]]
+        assert [w.encode() for w in found.to_pylist()] == [w for t in want[start:] for w in t]
