@@ -49,6 +49,12 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
+def clean_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
+    """``trusted_ids`` without documents that any label calls toxic."""
+    toxic = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("t"), F.min("quality").alias("quality"))
+    return trusted_ids(toxic.filter("t = 0"), rows)
+
+
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Micro-nats per bucket; ``trusted`` has at most ``TARGET_ROWS`` rows, so it is broadcast.
 

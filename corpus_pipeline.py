@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from boughs.llm.decontaminate import drop_contaminated  # noqa: E402
 from boughs.llm.line_dedup import drop_boilerplate  # noqa: E402
 from boughs.llm.mixing import mix_sources, text_size  # noqa: E402
-from boughs.llm.quality import bucket_weights, quality_rules, trusted_ids  # noqa: E402
+from boughs.llm.quality import bucket_weights, clean_ids, quality_rules  # noqa: E402
 from boughs.llm.simhash import drop_near_copies  # noqa: E402
 from boughs.session import new_path  # noqa: E402
 
@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    weights = bucket_weights(docs, trusted_ids(_table(spark, sf_dir, "labels")))
+    weights = bucket_weights(docs, clean_ids(_table(spark, sf_dir, "labels")))
     return quality_rules(docs, weights).filter("__quality.kept").select(*docs.columns)
 
 

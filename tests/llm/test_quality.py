@@ -67,3 +67,8 @@ def test_no_labels_and_no_documents(spark, docs, nothing):
 def test_no_python_in_the_plan(spark, docs):
     plan = quality.quality_rules(docs, [0] * quality.BUCKETS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_toxic_documents_are_not_a_target(spark):
+    rows = [(0, 1, 0), (1, 1, 1), (2, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, 0), (4, 0, 0), (None, 1, 0), (5, 1, 0), (5, 1, 0)]
+    assert sorted(r.doc_id for r in quality.clean_ids(_labels(spark, rows)).collect()) == [0, 5]
