@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, lm_score, mixing, pii, quality, reputation, simhash, warc_zip
+from . import (
+    centroids,
+    chat,
+    decontaminate,
+    line_dedup,
+    lm_score,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    ranked_search,
+    reputation,
+    simhash,
+    warc_zip,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +113,21 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reputation.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), outcomes)
 
 
+def op11_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(_table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, _table(spark, sf_dir, "benchmark"))
+
+
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"), ["vec_id"])
+    measures = ["cluster", "distance", "cluster_inertia", "inertia"]
+    return out.select("vec_id", *measures, centroids.centroid_digest().alias("centroid_sha256"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -113,6 +142,9 @@ def llm_queries() -> dict[str, Query]:
             op8_lm_score,
             op9_mixing,
             op10_url_reputation,
+            op11_block_max_search,
+            op12_ngram_jaccard,
+            op13_centroid_clustering,
         )
     }
 

@@ -180,6 +180,87 @@ FROM p LEFT JOIN judged ON p.host = judged.host
 """.replace("(host = ", "(p.host = ").replace("ends_with(host", "ends_with(p.host")
 
 
+OP11 = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+    translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term
+  FROM documents
+), lengths AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY r),
+corpus AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths),
+norms AS MATERIALIZED (SELECT r, doc_id, 100 - 75 + (75 * n * nn) // l AS m FROM lengths, corpus),
+i AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+asked AS (
+  SELECT i, translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term
+  FROM i
+), asks AS MATERIALIZED (SELECT i, term, count(*) AS times FROM asked GROUP BY i, term),
+tfs AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM asks) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, corpus GROUP BY term
+), scored AS (
+  SELECT i, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score, any_value(doc_id) AS doc_id
+  FROM asks JOIN weights USING (term) JOIN tfs USING (term) JOIN norms USING (r) GROUP BY i, r
+), ranked AS (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (i) WHERE rank <= 10
+"""
+
+OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[pos:pos + 3], ' ') AS gram
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS pos FROM d WHERE len(w) > 0)
+), sizes AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS common FROM s x JOIN s y ON x.gram = y.gram AND x.r <> y.r GROUP BY x.r, y.r),
+links AS MATERIALIZED (
+  SELECT a, b FROM pairs JOIN sizes p ON pairs.a = p.r JOIN sizes q ON pairs.b = q.r
+  WHERE 100 * common >= 85 * (p.n + q.n - common)
+), reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a AS a, links.b AS b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT any_value(d.doc_id) AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(e.doc_id) AS component_id
+FROM reach JOIN d ON reach.a = d.r JOIN d e ON reach.b = e.r LEFT JOIN sizes ON sizes.r = d.r GROUP BY reach.a
+"""
+
+
+def _op13(clusters: int = 16, rounds: int = 3) -> str:
+    """One pair of CTEs per round: nearest centroids, then moved centroids."""
+    far = "CAST(list_sum(list_transform(range(1, 65), lambda i: (q[i] - m[i]) * (q[i] - m[i]))) AS BIGINT)"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, any_value(q) AS q, min(struct_pack(d := {far}, c := c)) AS best "
+            f"FROM kept CROSS JOIN c{n} GROUP BY r)"
+        )
+        if n < rounds:
+            steps.append(
+                f"e{n} AS (SELECT best.c AS c, q, unnest(range(1, 65)) AS i FROM a{n}), "
+                f"f{n} AS (SELECT c, i, CAST(floor(CAST(sum(q[i]) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM e{n} GROUP BY c, i), "
+                f"g{n} AS (SELECT c, list(x ORDER BY i) AS m FROM f{n} GROUP BY c), "
+                f"c{n + 1} AS MATERIALIZED (SELECT c{n}.c AS c, coalesce(g{n}.m, c{n}.m) AS m FROM c{n} LEFT JOIN g{n} ON c{n}.c = g{n}.c)"
+            )
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) ASC NULLS LAST, q) - 1 AS c, q AS m FROM kept
+  ORDER BY c LIMIT {clusters}
+),
+{", ".join(steps)},
+s AS (SELECT best.c AS c, sum(best.d) AS inertia FROM a{rounds} GROUP BY best.c)
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(s.inertia AS BIGINT) AS cluster_inertia,
+  CAST((SELECT sum(inertia) FROM s) AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN a{rounds} ON kept.r = a{rounds}.r JOIN s ON best.c = s.c JOIN c{rounds} ON best.c = c{rounds}.c
+"""
+
+
 def llm_oracles() -> dict[str, str]:
     return {
         "op2_warc_zip": OP2,
@@ -188,4 +269,7 @@ def llm_oracles() -> dict[str, str]:
         "op6_line_dedup": OP6,
         "op9_mixing": OP9,
         "op10_url_reputation": _op10(),
+        "op11_block_max_search": OP11,
+        "op12_ngram_jaccard": OP12,
+        "op13_centroid_clustering": _op13(),
     }

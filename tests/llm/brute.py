@@ -1,6 +1,7 @@
 """Plain definitions of the corpus operators, for comparison on small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -106,3 +107,70 @@ def line_dedup(pages, ratio=0.1, least=5):
                 kept.append(x)
         out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
+
+
+def ranked(docs, items, k):
+    """(item, rank, doc, score) rows; ``docs`` and ``items`` are (id, text)."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(UPPER))
+    counts = [(i, Counter(split(t))) for i, t in docs]
+    counts = [(i, c, sum(c.values())) for i, c in counts if c]
+    n_docs, length = len(counts), sum(n for _, _, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c, n in counts:
+            m = 25 + 75 * n * n_docs // length
+            s = 0
+            for t, times in Counter(split(text)).items():
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    s += times * w * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m))
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, rank, i, -s) for rank, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def jaccard_groups(docs, percent=85, gram=4):
+    sets = []
+    for i, text in docs:
+        w = words((text or "").translate(UPPER))
+        sets.append((i, {tuple(w[j : j + gram]) for j in range(max(len(w) - gram, 0) + 1)} if w else set()))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (_, x) in enumerate(sets):
+        for b in range(a):
+            y = sets[b][1]
+            common = len(x & y)
+            if common and 100 * common >= percent * (len(x) + len(y) - common):
+                root[find(a)] = find(b)
+    least = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            least[find(a)] = min(i, least.get(find(a), i))
+    return [(i, len(x), least.get(find(a)) if x else i) for a, (i, x) in enumerate(sets)]
+
+
+def clusters(vectors, dims=64, k=16, rounds=3):
+    """Rows (id, cluster, distance, cluster_inertia, inertia) and the final centroids."""
+    fine = lambda v: v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if fine(v)]
+    key = lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1])
+    centres = [q for _, q in sorted(kept, key=key)[:k]]
+    for turn in range(rounds + 1):
+        near = [min((sum((a - b) ** 2 for a, b in zip(q, c)), n) for n, c in enumerate(centres)) for _, q in kept]
+        if turn < rounds:
+            for n in range(len(centres)):
+                own = [q for (_, q), (_, m) in zip(kept, near) if m == n]
+                if own:
+                    centres[n] = [sum(x) // len(own) for x in zip(*own)]
+    inertia = Counter()
+    for d, n in near:
+        inertia[n] += d
+    return [(i, n, d, inertia[n], sum(inertia.values())) for (i, _), (d, n) in zip(kept, near)], [tuple(c) for c in centres]

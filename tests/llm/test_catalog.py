@@ -21,8 +21,8 @@ def tables():
     return con
 
 
-def test_ten_queries():
-    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 11)]
+def test_queries():
+    assert [n.split("_")[0] for n in llm_queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(llm_oracles()))
