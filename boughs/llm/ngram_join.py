@@ -28,6 +28,7 @@ resolved (below 1e-9 for sets of 100,000); set fingerprints are, by a second has
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -49,9 +50,11 @@ FREQUENT = 1 << 18
 GROUP = 8
 #: sets of a bucket that one task compares with as many others; sets fetched by a broadcast of their ids
 BLOCK, WANTED = 2048, 1 << 20
-#: texts cut into words at once, in words
+#: texts cut into words at once, in bytes; also tokens of the sets held at once
 CHUNK = 1 << 18
 
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
+
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -62,14 +65,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    """Hash of each word, kept while there are few of them."""
+@cache
+def _powers(size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For two hashes: a number for each byte, the powers of the base, and those of its inverse."""
+    numbers = np.random.default_rng(1).integers(0, 1 << 64, (2, 256), np.uint64)
+    out = []
+    for row, base in zip(numbers, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
+        up, down = (np.cumprod(np.full(size, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+        out.append((row, up, down))
+    return out
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CHUNK:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in ``data``, which ends with a blank, and a 64-bit hash of each: two polynomials over its bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = raw == 32
+    edge = np.flatnonzero(blank != np.append(True, blank[:-1]))
+    start, end = edge[::2], edge[1::2]
+    h = (end - start).astype(np.uint64)
+    for row, up, down in _powers(max(CHUNK, 1 << (len(data) - 1).bit_length())):
+        total = np.append(np.uint64(0), np.cumsum(row[raw] * up[: len(raw)]))
+        h = _mixed(h + (total[end] - total[start]) * down[start])
+    return start, h
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -79,32 +96,39 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 def token_sets(texts: pa.Array, gram: int = GRAM) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each UTF-8 text; fewer words than ``gram`` are one shingle."""
-
-    known = _WordHashes()
-
-    def flush(found: list[bytes], sizes: list[int]) -> Iterator[np.ndarray]:
-        h, at = np.fromiter(map(known.__getitem__, found), np.uint64, len(found)), 0
-        for n in sizes:
-            own, at = h[at : at + n], at + n
+    for start, h, ends in _words_of(texts):
+        first = np.searchsorted(start, np.append(0, ends))
+        for at, to in zip(first, first[1:]):
+            own, n = h[at:to], int(to - at)
             width = min(n, gram)
-            if not n:
-                yield own
-                continue
-            parts = [own[i : n - width + 1 + i] * _MIX[1 + i % 4] for i in range(width)]
-            total = np.full(n - width + 1, width, np.uint64)
-            for i, p in enumerate(parts):
-                total = total * _MIX[0] + p if i % 4 == 0 and i else total + p
+            total = np.full(n - width + 1 if n else 0, width, np.uint64)
+            for i in range(width):
+                total = total * _MIX[2] + own[i : n - width + 1 + i]
             yield _distinct(_mixed(total))
 
-    found, sizes = [], []
+
+def _words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word starts and hashes of some texts in a row, and where each of these texts ends."""
+
+    def hashed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, found, at = b" ".join([*parts, b""]).translate(_FOLD), [], 0
+        while at < len(data):  # a long text goes through in pieces that end with a blank
+            to = len(data) if len(data) - at <= CHUNK else data.find(b" ", at + CHUNK - 1) + 1
+            start, h = _word_hashes(data[at:to])
+            found.append((start + at, h))
+            at = to
+        starts, hashes = (np.concatenate(x) for x in zip(*found))
+        return starts, hashes, np.cumsum([len(p) + 1 for p in parts])
+
+    held, size = [], 0
     for text in texts:
-        own = (text.as_py() or b"").lower().split()  # bytes: only A-Z change, and only the six ASCII spaces part words
-        found += own
-        sizes.append(len(own))
-        if len(found) >= CHUNK:
-            yield from flush(found, sizes)
-            found, sizes = [], []
-    yield from flush(found, sizes)
+        held.append(text.as_py() or b"")
+        size += len(held[-1]) + 1
+        if size >= CHUNK:
+            yield hashed(held)
+            held, size = [], 0
+    if held:
+        yield hashed(held)
 
 
 def _class_of(tokens: np.ndarray, seed: int) -> int:

@@ -21,8 +21,7 @@ def found(spark, data, **options):
     return sorted((tuple(r) for r in out.drop("centroid").collect()), key=repr), {tuple(r.centroid) for r in out.collect()}
 
 
-@pytest.mark.parametrize("width", [1, 2, 3, 4])
-@pytest.mark.parametrize("limit", [1 << 18, 20, 0])
+@pytest.mark.parametrize("width, limit", [(1, 1 << 18), (2, 20), (3, 0)])
 def test_against_plain_rounds(spark, width, limit):
     data = rows()
     floats = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in data]
