@@ -16,7 +16,8 @@ there too. So the number of index rows is a fixed share of the tokens, and every
 
 Verification. In each bucket one set is the hub, and all others are checked against it, so a group of near copies costs
 one check each. Buckets whose sets are then in different components compare those that are, pruned by size and by a
-parity bitmap whose differing bits never outnumber the differing tokens. Surviving pairs are verified on the full sets.
+parity bitmap whose differing bits never outnumber the differing tokens; a pair known to share an earlier bucket is left
+to that one. Surviving pairs are verified on the full sets.
 Equal sets are one class from the start. No bucket is expanded into pairs, and buckets above ``BLOCK`` are cut into blocks.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing, so each is its own component;
@@ -50,6 +51,8 @@ FREQUENT = 1 << 18
 GROUP = 8
 #: sets of a bucket that one task compares with as many others; sets fetched by a broadcast of their ids
 BLOCK, WANTED = 2048, 1 << 20
+#: buckets of a set that others are told of, so that a pair with many common buckets is compared in one
+FIRST = 16
 #: texts cut into words at once, in bytes; also tokens of the sets held at once
 CHUNK = 1 << 18
 
@@ -393,10 +396,16 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: (F.col("blocks") == 1) | (j != F.col("mine")))
     members = members.withColumn("other", F.explode(others))
     x, y = F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
-    rows = members.select("sig", x, y, "cls", "root", "n", "bits").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    rows = members.select("sig", x, y, "cls", "root", "n", "bits", "first").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
     def pairs_of(group: pa.Table) -> list[np.ndarray]:
         cls, root, n = (group.column(c).to_numpy() for c in ("cls", "root", "n"))
+        sig, first = group.column("sig")[0].as_py(), group.column("first").combine_chunks()
+        # a set's first buckets below this one; a pair that shares one of them was compared there
+        before = np.full((len(cls), FIRST), sig)
+        lengths = np.diff(first.offsets.to_numpy())
+        before[np.arange(FIRST) < lengths[:, None]] = first.flatten().to_numpy()
+        before[before > sig] = sig
         maps = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
         words = min(map(len, maps))
         maps = np.array([_folded(m, words) for m in maps])
@@ -404,6 +413,9 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
         for i in range(len(cls) - 1):
             j = np.flatnonzero((root[i + 1 :] != root[i]) & (percent * np.maximum(n[i + 1 :], n[i]) <= 100 * np.minimum(n[i + 1 :], n[i]))) + i + 1
             j = j[_may_link(n[i], n[j], np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64), percent)]
+            own = before[i][before[i] < sig]
+            if len(j) and len(own):
+                j = j[~np.isin(before[j], own).any(axis=1)]
             if len(j):
                 out.append(np.column_stack([np.full(len(j), cls[i]), cls[j]]))
         return out
@@ -448,7 +460,10 @@ def jaccard_groups(
     mix = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mix")
     open_ = met.groupBy("sig").agg(mix, F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("top"))
     open_ = open_.filter("low <> top").groupBy("mix", "size").agg(F.min("sig").alias("sig")).select("sig", "size")
-    members = met.join(open_, "sig").join(classes.select("cls", "n", "bits"), "cls")
+    members = materialize(met.join(open_, "sig"), "open")
+    first = F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("first")
+    facts = classes.select("cls", "n", "bits").join(members.groupBy("cls").agg(first), "cls")
+    members = members.join(facts, "cls")
     rest = _across(members, percent, block).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     links = links.unionByName(_verified(rest, docs, text, gram, seed, percent))
