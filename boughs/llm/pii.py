@@ -14,6 +14,7 @@ A tagged stretch becomes a span if it touches no base span and every word in it
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +77,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
                 yield at, end
             at = end + 1
 
@@ -284,6 +285,23 @@ def _labels(run: Run, spans: list[Span]) -> list[int]:
     return out
 
 
+class _ByPlace:
+    """Base spans, of which those of one kind do not overlap, found by place in logarithmic time."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.kinds: list[tuple[list[Span], list[int], list[int]]] = []
+        for kind in KINDS:
+            own = [s for s in spans if s[0] == kind]
+            self.kinds.append((own, [s[1] for s in own], [s[2] for s in own]))
+
+    def within(self, start: int, end: int) -> list[Span]:
+        """Spans that share a place with ``start..end``, in order of kind and place."""
+        out: list[Span] = []
+        for own, starts, ends in self.kinds:
+            out += own[bisect_right(ends, start) : bisect_left(starts, end)]
+        return out
+
+
 def label_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     """Labelled table: ``features, labels`` of every run of at most ``TRAIN_LENGTH`` words in ``docs``."""
     ship_package(docs.sparkSession)
@@ -295,11 +313,11 @@ def label_runs(docs: DataFrame, text: str = "text") -> DataFrame:
                 text_ = value.as_py()
                 if not text_ or not _MARK.search(text_):
                     continue
-                spans = base_spans(text_)
+                spans = _ByPlace(base_spans(text_))
                 for found in find_runs(text_):
                     if len(found.spans) > TRAIN_LENGTH:
                         continue
-                    near = [s for s in spans if s[1] < found.spans[-1][1] and s[2] > found.spans[0][0]]
+                    near = spans.within(found.spans[0][0], found.spans[-1][1])
                     features.append([list(f) for f in run_features(text_, found)])
                     labels.append(_labels(found, near))
             columns = [pa.array(features, pa.list_(pa.list_(pa.string()))), pa.array(labels, pa.list_(pa.int32()))]
@@ -320,19 +338,20 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = TR
 
 def _added(texts: list[tuple[int, str, list[Span]]], chain: Chain) -> dict[int, list[Span]]:
     """Spans the field adds, per text number; all runs are decoded together."""
-    runs = [(i, text, spans, run) for i, text, spans in texts for run in find_runs(text)]
+    runs = [(i, text, run) for i, text, _ in texts for run in find_runs(text)]
     if not runs:
         return {}
     lengths = np.array([len(run.spans) for *_, run in runs], np.int64)
-    emissions = chain.emissions([f for _, text, _, run in runs for f in run_features(text, run)])
+    emissions = chain.emissions([f for _, text, run in runs for f in run_features(text, run)])
     labels = viterbi(emissions, lengths, chain.moves)
     ends = np.cumsum(lengths)
     out: dict[int, list[Span]] = {}
-    for (i, text, spans, run), end, n in zip(runs, ends, lengths):
+    placed = {i: _ByPlace(spans) for i, _, spans in texts}
+    for (i, text, run), end, n in zip(runs, ends, lengths):
         tags = labels[end - n : end]
         if not tags.any():
             continue
-        free = np.array([not any(s < b and e > a for _, s, e in spans) for a, b in run.spans])
+        free = np.array([not placed[i].within(a, b) for a, b in run.spans])
         if not (free & (tags > 0)).any():
             continue
         sure = marginals(emissions[end - n : end], np.array([n]), chain.moves)[0][np.arange(n), tags] >= CONFIDENCE

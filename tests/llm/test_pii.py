@@ -1,3 +1,4 @@
+import time
 import itertools
 import re
 
@@ -140,3 +141,21 @@ def test_documents(spark, docs, nothing):
 def test_training_is_repeatable(spark):
     a, b = (pii.fit(_corpus(spark, 40)) for _ in range(2))
     assert a.names == b.names and np.array_equal(a.weights, b.weights)
+
+
+def test_a_number_of_many_zeros_is_an_address():
+    text = "0" * 5000 + ".1.1.1"
+    assert [s[0] for s in pii.base_spans(text)] == ["ip"]
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows in proportion: a step per pair of span and run would take minutes."""
+    text = "\n".join(f"user{i}@host.org x{i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    start = time.time()
+    spans = pii.base_spans(text)
+    placed = pii._ByPlace(spans)
+    runs = pii.find_runs(text)
+    assert all(placed.within(*w) for run in runs for w in run.spans if "@" in text[w[0] : w[1]])
+    assert pii.label_runs(docs).count() == len(list(pii.find_runs(text)))
+    assert time.time() - start < 60
