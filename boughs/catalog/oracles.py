@@ -277,10 +277,11 @@ def all_oracles() -> dict[str, str]:
     opens = "SELECT tree_id, {pos} AS pos, 2 * value + CASE WHEN {leaf} THEN 1 ELSE 0 END AS code FROM {source}"
     closes = " UNION ALL SELECT tree_id, {close}, 7 FROM {source} WHERE NOT ({leaf})"
     parts_of = {"pos": "pos", "close": "close_pos", "leaf": "is_leaf", "source": "n"}
-    out["fold_ordered_walk"] = out["fold_ordered_levels"] = ordered((opens + closes).format(**parts_of))
+    for name in ("fold_ordered_walk", "fold_ordered_levels", "fold_chunks_ordered", "fold_ordered_chunks"):
+        out[name] = ordered((opens + closes).format(**parts_of))
     last = "(SELECT *, count(*) OVER (PARTITION BY tree_id) AS total FROM n)"
     parts_of = {"pos": "i", "close": "2 * total - 1 - i", "leaf": "i = total - 1", "source": last}
-    out["fold_ordered_path"] = ordered((opens + closes).format(**parts_of))
+    out["fold_ordered_path"] = out["fold_tree_ordered_tall"] = ordered((opens + closes).format(**parts_of))
 
     token_text = "coalesce(CAST(value AS VARCHAR), '/')"
     lines = f"SELECT tree_id, pos // {CHUNK} AS chunk_id, string_agg({token_text}, ' ' ORDER BY pos) AS line FROM t GROUP BY ALL"

@@ -26,6 +26,7 @@ from ..plans.chunks import fold_chunks
 from ..plans.contraction import fold_rounds
 from ..plans.fold import fold_tree
 from ..plans.levels import fold_forest, fold_levels, fold_ordered, fold_star
+from ..plans.ordered import fold_ordered_chunks
 from ..plans.pairs import fold_pairs
 from ..session import materialize, new_path
 from ..sources import generate, tables, text
@@ -353,14 +354,22 @@ def _symbol(code: Column) -> Column:
     return _pair(code, F.lit(_BASE))
 
 
+def _code(code: int) -> dict[str, int]:
+    return {"h": code % _PRIME, "w": _BASE}
+
+
+def _joined(x: dict[str, int], y: dict[str, int]) -> dict[str, int]:
+    return {"h": (x["h"] * y["w"] + y["h"]) % _PRIME, "w": x["w"] * y["w"] % _PRIME}
+
+
 #: hash of a tree's bracket sequence in order: ``mult`` joins two sequences and is not commutative
 order_hash = TreeAlgebra(
     name="order_hash",
     value_type=T.LongType(),
     result_type=T.StructType([T.StructField("h", T.LongType()), T.StructField("w", T.LongType())]),
-    hom=lambda a: ((2 * a + 1) % _PRIME, _BASE),
-    plus=None,
-    mult=lambda x, y: ((x[0] * y[1] + y[0]) % _PRIME, x[1] * y[1] % _PRIME),
+    hom=lambda a: _code(2 * a + 1),
+    plus=lambda a, s: _joined(_joined(_code(2 * a), s), _code(7)),
+    mult=lambda x, y: _joined(x, y),
     column=ColumnForm(
         hom=lambda a: _symbol(2 * a + 1),
         plus=lambda a, s: _join(_join(_symbol(2 * a), s), _symbol(F.lit(7))),
@@ -455,6 +464,10 @@ def all_queries() -> dict[str, Query]:
     out["fold_ordered_walk"] = _ordered(fold_ordered, _walk_nodes)
     out["fold_ordered_levels"] = _ordered(fold_levels, _walk_nodes)
     out["fold_ordered_path"] = _ordered(fold_ordered, _path_nodes)
+    value_chunks = _source(_chunks, max_path_sum)
+    out["fold_chunks_ordered"] = _ordered(fold_chunks, value_chunks)
+    out["fold_ordered_chunks"] = _ordered(fold_ordered_chunks, value_chunks)
+    out["fold_tree_ordered_tall"] = _ordered(lambda t, a: fold_tree(t, a, entry_limit=256), _path_chunks)
     out["match_brackets_segments"] = _select(lambda t: shape.match_brackets(t, segment_bits=5), path_tokens)
     out["token_depth_segments"] = _select(lambda t: shape.token_depth(t, segment_bits=5), path_tokens)
 

@@ -108,6 +108,10 @@ class BatchForm:
         """``mult`` over consecutive runs that begin at ``starts``."""
         raise NotImplementedError
 
+    def apply(self, k: pa.Array, p: pa.Array, x: np.ndarray) -> np.ndarray:
+        """Contexts ``k, p`` of the affine form, applied to one value each."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class TreeAlgebra:
@@ -141,6 +145,11 @@ class TreeAlgebra:
             )
         return self.affine
 
+    def need_wrap(self, what: str) -> WrapForm:
+        if self.wrap is None:
+            raise ValueError(f"{what} needs the wrap form of algebra {self.name!r}")
+        return self.wrap
+
     def node_value(self, a: Column, s: Column, has: Column) -> Column:
         """Value of a node whose children multiply to ``s``; a leaf if ``has`` is false."""
         form = self.need_column("node_value")
@@ -160,6 +169,9 @@ class _MaxPathBatch(BatchForm):
     def mult_runs(self, values, starts):
         return np.maximum.reduceat(values, starts)
 
+    def apply(self, k, p, x):
+        return np.maximum(k.fill_null(-(1 << 63)).to_numpy(), self.plus(p.to_numpy(), x))
+
 
 max_path_sum = TreeAlgebra(
     name="max_path_sum",
@@ -357,6 +369,13 @@ class _SumProductBatch(BatchForm):
             out = np.multiply.reduceat(np.where(values == 0, 1.0, values), starts)
         return np.where(zero, 0.0, self._guard(out))
 
+    def apply(self, k, p, x):
+        lo, hi, by = (p.field(f).to_numpy() for f in ("lo", "hi", "p"))
+        k, known, whole = k.to_numpy(), p.field("any").to_numpy(zero_copy_only=False), self._whole(x)
+        inside = np.isfinite(x) & (whole >= lo) & (whole <= hi)
+        out = np.where(inside, k + by * np.where(inside, whole - lo, 0), OVERFLOW)
+        return self._guard(np.where(known, k, out).astype(np.float64))
+
 
 sum_product = TreeAlgebra(
     name="sum_product",
@@ -411,6 +430,9 @@ class _AutomatonBatch(BatchForm):
     def mult_runs(self, values, starts):
         return np.bitwise_or.reduceat(values, starts, axis=0)
 
+    def apply(self, k, p, x):
+        return self.from_arrow(k) | matrix.product_batch(self.from_arrow(p), x)
+
 
 path_automaton = TreeAlgebra(
     name="path_automaton",
@@ -454,6 +476,9 @@ class _ValueSumBatch(BatchForm):
             raise OverflowError("value_sum left the BIGINT range")
         return out
 
+    def apply(self, k, p, x):
+        return self.plus(k.to_numpy(), x)
+
 
 value_sum = TreeAlgebra(
     name="value_sum",

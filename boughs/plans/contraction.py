@@ -16,13 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.algebra import TreeAlgebra
+from ..functions.algebra import BatchForm, TreeAlgebra
 from ..functions.grouped import whole_groups
 from ..operators.skew import spread_join
 from ..session import discard, materialize, ship_package
@@ -121,28 +122,34 @@ def _rake(state: DataFrame, leaves: DataFrame, algebra: TreeAlgebra) -> DataFram
 
 def _compress(state: DataFrame, algebra: TreeAlgebra, turn: int) -> DataFrame:
     affine = algebra.affine
-    heads = (F.col("n") == 1) & (F.pmod(F.xxhash64("tree_id", "id", F.lit(turn)), F.lit(2)) == 0)
-    k, p = affine.of_node(F.col("a"), F.when(F.col("has"), F.col("s")))
-    upper = state.filter(heads).select(
-        "tree_id", "id", "parent", "wrapped", F.col("k").alias("wk"), F.col("p").alias("wp"), k.alias("nk"), p.alias("np")
+
+    def head(tree: str, node: str, n: str) -> Column:
+        return (F.col(n) == 1) & (F.pmod(F.xxhash64(tree, node, F.lit(turn)), F.lit(2)) == 0)
+
+    # the only unfinished child, found by an aggregate: a join on the parent would gather wide families
+    only = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(
+        F.min("id").alias("child"), F.max("n").alias("child_n")
     )
+    k, p = affine.of_node(F.col("a"), F.when(F.col("has"), F.col("s")))
+    upper = state.filter(head("tree_id", "id", "n")).join(only, ["tree_id", "id"])
+    upper = upper.filter(~head("tree_id", "child", "child_n")).select(
+        "tree_id", "id", "parent", "child", "wrapped",
+        F.col("k").alias("wk"), F.col("p").alias("wp"), k.alias("nk"), p.alias("np"),
+    )
     wk, wp = affine.compose(F.col("wk"), F.col("wp"), F.col("nk"), F.col("np"))
     upper = upper.select(
         "tree_id",
-        "id",
+        F.col("child").alias("id"),
+        F.col("id").alias("u_id"),
         F.col("parent").alias("u_parent"),
         F.when(F.col("wrapped"), wk).otherwise(F.col("nk")).alias("uk"),
         F.when(F.col("wrapped"), wp).otherwise(F.col("np")).alias("up"),
     )
-    # the only unfinished child, found by an aggregate: a join on the parent would gather wide families
-    only = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(
-        F.min("id").alias("child")
-    )
-    upper = upper.join(only, ["tree_id", "id"]).select(
-        "tree_id", F.col("child").alias("id"), F.col("id").alias("u_id"), "u_parent", "uk", "up"
-    )
-    rows = state.join(upper, ["tree_id", "id"], "left")
-    takes = F.col("u_id").isNotNull() & ~heads
+    # nodes that go, at most a quarter of the state: written, since both their removal and their children read them
+    upper = materialize(upper, "upper")
+    gone = upper.select("tree_id", F.col("u_id").alias("id"))
+    rows = state.join(gone, ["tree_id", "id"], "left_anti").join(upper, ["tree_id", "id"], "left")
+    takes = F.col("u_id").isNotNull()
     ck, cp = affine.compose(F.col("uk"), F.col("up"), F.col("k"), F.col("p"))
     rows = rows.select(
         "tree_id",
@@ -155,50 +162,108 @@ def _compress(state: DataFrame, algebra: TreeAlgebra, turn: int) -> DataFrame:
         "s",
         "has",
         "n",
-        F.when(takes, F.col("u_id")).alias("taken"),
     )
-    rows = materialize(rows, "joined")
-    taken = rows.filter("taken is not null").select("tree_id", F.col("taken").alias("id"))
-    state = materialize(rows.drop("taken").join(taken, ["tree_id", "id"], "left_anti"), "state")
-    discard(rows)
-    return state
+    rows = materialize(rows, "state")
+    discard(upper)
+    return rows
+
+
+def parent_rows(tree: np.ndarray, ids: np.ndarray, parent: pa.ChunkedArray) -> np.ndarray:
+    """Row number of each row's parent, -1 for roots."""
+    has = parent.is_valid().to_numpy()
+    values, code = np.unique(ids, return_inverse=True)
+    groups, group = np.unique(tree, return_inverse=True)
+    key = group * len(values) + code
+    order = np.argsort(key)
+    wanted = parent.fill_null(0).to_numpy()
+    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+    place = np.minimum(np.searchsorted(key, group * len(values) + at, sorter=order), len(key) - 1)
+    found = order[place]
+    if (has & ((ids[found] != wanted) | (tree[found] != tree))).any():
+        raise ValueError("parent not found")
+    return np.where(has, found, -1)
+
+
+def levels_by_jumps(parent: np.ndarray) -> np.ndarray:
+    """Level of each row by pointer jumping: the distances double in every step. Raises for a cycle."""
+    root = parent < 0
+    jump = np.where(root, np.arange(len(parent)), parent)
+    level = (~root).astype(np.int64)
+    for _ in range(len(parent).bit_length() + 1):
+        if root[jump].all():
+            return level
+        level += level[jump]
+        jump = jump[jump]
+    raise ValueError("the input has a cycle")
+
+
+def _fold_by_level(table: pa.Table, parent: np.ndarray, level: np.ndarray, form: BatchForm) -> tuple[np.ndarray, pa.Array]:
+    """Rows of the roots and their values: one numpy step per level, deepest first, for all trees of the table."""
+    col = {c: table.column(c).combine_chunks() for c in ("k", "p", "a", "s")}
+    a, s = form.from_arrow(col["a"]), form.from_arrow(col["s"]).copy()
+    has, wrapped = (table.column(c).to_numpy().copy() for c in ("has", "wrapped"))
+    order = np.lexsort((parent, -level))
+    edges = np.append(np.flatnonzero(np.diff(level[order], prepend=-1)), len(order))
+    for lo, hi in zip(edges, edges[1:]):
+        rows = order[lo:hi]
+        x = form.hom(a[rows]).copy()
+        inner = np.flatnonzero(has[rows])
+        x[inner] = form.plus(a[rows[inner]], s[rows[inner]])
+        through = np.flatnonzero(wrapped[rows])
+        if len(through):
+            at = pa.array(rows[through])
+            x[through] = form.apply(col["k"].take(at), col["p"].take(at), x[through])
+        if level[rows[0]] == 0:
+            return rows, form.to_arrow(x, np.ones(len(x), bool))
+        starts = np.flatnonzero(np.diff(parent[rows], prepend=-1))
+        up, given = parent[rows[starts]], form.mult_runs(x, starts)
+        both = np.stack([s[up], given], axis=1).reshape(-1, *given.shape[1:])
+        s[up] = given
+        old = has[up]
+        if old.any():
+            s[up[old]] = form.mult_runs(both, np.arange(0, len(both), 2))[old]
+        has[up] = True
+    raise AssertionError("unreachable")
+
+
+def _fold_by_row(table: pa.Table, parent: np.ndarray, algebra: TreeAlgebra) -> tuple[np.ndarray, pa.Array]:
+    """The same with the scalar functions: user algebras, and trees about as tall as they have rows."""
+    hom, plus, mult, apply = algebra.hom, algebra.plus, algebra.mult, algebra.affine.apply_value
+    col = {c: table.column(c).to_pylist() for c in ("k", "p", "wrapped", "a", "s", "has")}
+    s, has = col["s"], col["has"]
+    waiting = np.bincount(parent[parent >= 0], minlength=len(parent)).tolist()
+    ready, up, roots, out = [i for i, w in enumerate(waiting) if w == 0], parent.tolist(), [], []
+    while ready:
+        i = ready.pop()
+        x = plus(col["a"][i], s[i]) if has[i] else hom(col["a"][i])
+        if col["wrapped"][i]:
+            x = apply(col["k"][i], col["p"][i], x)
+        p = up[i]
+        if p < 0:
+            roots.append(i)
+            out.append(x)
+            continue
+        s[p] = mult(s[p], x) if has[p] else x
+        has[p] = True
+        waiting[p] -= 1
+        if not waiting[p]:
+            ready.append(p)
+    return np.array(roots, np.int64), pa.array(out, to_arrow_type(algebra.result_type))
 
 
 def _finish(state: DataFrame, algebra: TreeAlgebra) -> DataFrame:
     """Fold trees of at most ``SMALL`` rows, whole trees per batch."""
-    v_type = to_arrow_type(algebra.result_type)
-    hom, plus, mult, apply = algebra.hom, algebra.plus, algebra.mult, algebra.affine.apply_value
 
     def fold(table: pa.Table) -> pa.RecordBatch:
-        col = {c: table.column(c).to_pylist() for c in _STATE}
-        tree, s, has = col["tree_id"], col["s"], col["has"]
-        row_of = {key: i for i, key in enumerate(zip(tree, col["id"]))}
-        parent = [None if p is None else row_of[(t, p)] for t, p in zip(tree, col["parent"])]
-        waiting = [0] * len(tree)
-        for p in parent:
-            if p is not None:
-                waiting[p] += 1
-        ready = [i for i, w in enumerate(waiting) if w == 0]
-        out_tree, out, seen = [], [], 0
-        while ready:
-            i = ready.pop()
-            seen += 1
-            x = plus(col["a"][i], s[i]) if has[i] else hom(col["a"][i])
-            if col["wrapped"][i]:
-                x = apply(col["k"][i], col["p"][i], x)
-            p = parent[i]
-            if p is None:
-                out_tree.append(tree[i])
-                out.append(x)
-                continue
-            s[p] = mult(s[p], x) if has[p] else x
-            has[p] = True
-            waiting[p] -= 1
-            if not waiting[p]:
-                ready.append(p)
-        if seen < len(tree):
-            raise ValueError("the input has a cycle")
-        return pa.RecordBatch.from_arrays([pa.array(out_tree, pa.int64()), pa.array(out, v_type)], ["tree_id", "v"])
+        tree = table.column("tree_id").to_numpy()
+        parent = parent_rows(tree, table.column("id").to_numpy(), table.column("parent"))
+        level = levels_by_jumps(parent)
+        # a numpy step costs about as much as 64 scalar ones
+        if algebra.batch is not None and int(level.max()) * 64 < len(level) + 4096:
+            rows, values = _fold_by_level(table, parent, level, algebra.batch)
+        else:
+            rows, values = _fold_by_row(table, parent, algebra)
+        return pa.RecordBatch.from_arrays([pa.array(tree[rows], pa.int64()), values], ["tree_id", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["tree_id"]):

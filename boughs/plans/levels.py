@@ -55,9 +55,7 @@ def fold_ordered(nodes: DataFrame, algebra: TreeAlgebra) -> DataFrame:
     Every node becomes its opening and its closing factor at their positions, a leaf one factor, and the factors
     of a tree are multiplied in ranges of 2**BITS positions: a number of shuffles that is logarithmic in the size.
     """
-    form = algebra.wrap
-    if form is None:
-        raise ValueError(f"fold_ordered needs the wrap form of algebra {algebra.name!r}")
+    form = algebra.need_wrap("fold_ordered")
     nodes = nodes.select("tree_id", "node_id", "close_pos", "is_leaf", "value")
     top = nodes.agg(F.max("close_pos")).first()[0] or 0
     a, kind = F.col("value"), algebra.result_type
