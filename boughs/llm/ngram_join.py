@@ -15,7 +15,8 @@ used as the last class. Sets meet within octaves of their size; a set that may l
 there too. So the number of index rows is a fixed share of the tokens, and every link is found for any data.
 
 Verification. In each bucket one set is the hub, and all others are checked against it, so a group of near copies costs
-one check each. Buckets whose sets are then in different components compare those that are, pruned by size and by a
+one check each; where components still meet, once more against a set drawn for the bucket. Buckets whose sets are then in
+different components compare those that are, pruned by size and by a
 parity bitmap whose differing bits never outnumber the differing tokens; a pair known to share an earlier bucket is left
 to that one. Surviving pairs are verified on the full sets.
 Equal sets are one class from the start. No bucket is expanded into pairs, and buckets above ``BLOCK`` are cut into blocks.
@@ -53,6 +54,8 @@ GROUP = 8
 BLOCK, WANTED = 2048, 1 << 20
 #: buckets of a set that others are told of, so that a pair with many common buckets is compared in one
 FIRST = 16
+#: sets of a bucket up to which plain numbers are quicker than arrays
+SMALL_BUCKET = 8
 #: texts cut into words at once, in bytes; also tokens of the sets held at once
 CHUNK = 1 << 18
 
@@ -156,13 +159,23 @@ def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return bitmap
 
 
+def _fold_number(bitmap: bytes, words: int) -> int:
+    """As ``_folded``, with a Python number for the bits."""
+    number, size = int.from_bytes(bitmap, "little"), len(bitmap)
+    while size > words:
+        size //= 2
+        number = (number >> 8 * size) ^ (number & ((1 << 8 * size) - 1))
+    return number
+
+
 def _least_overlap(n, m, percent: int):
     """Smallest intersection of sets of ``n`` and ``m`` tokens that link."""
     return -(-percent * (n + m) // (100 + percent))
 
 
 def _may_link(n, m, differing, percent: int):
-    return (percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (differing <= n + m - 2 * _least_overlap(n, m, percent))
+    close = (percent * n <= 100 * m) & (percent * m <= 100 * n)
+    return close & (differing <= n + m - 2 * _least_overlap(n, m, percent))
 
 
 def _part(octave: int) -> float:
@@ -373,14 +386,16 @@ def _sieve(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, text: str, gram: int, seed: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` that link, by their full sets."""
     wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "wanted")
+    n_wanted = wanted.count()
+    if not n_wanted:
+        return pairs
 
     def make(sets, ids):
         ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
         return [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _numbers(np.concatenate(sets) if sets else []))]
 
     sets = _per_set(docs, [], text, gram, seed, "cls bigint, tokens array<bigint>", make)
-    few = wanted.count() <= WANTED
-    sets = sets.join(F.broadcast(wanted) if few else wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    sets = sets.join(F.broadcast(wanted) if n_wanted <= WANTED else wanted, "cls", "left_semi").dropDuplicates(["cls"])
     sets = materialize(sets, "tokens")
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"t_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -398,17 +413,27 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     x, y = F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
     rows = members.select("sig", x, y, "cls", "root", "n", "bits", "first").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
-    def pairs_of(group: pa.Table) -> list[np.ndarray]:
-        cls, root, n = (group.column(c).to_numpy() for c in ("cls", "root", "n"))
-        sig, first = group.column("sig")[0].as_py(), group.column("first").combine_chunks()
-        # a set's first buckets below this one; a pair that shares one of them was compared there
-        before = np.full((len(cls), FIRST), sig)
-        lengths = np.diff(first.offsets.to_numpy())
-        before[np.arange(FIRST) < lengths[:, None]] = first.flatten().to_numpy()
-        before[before > sig] = sig
-        maps = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
+    def few(cls, root, n, bits, sig: int, first) -> list[tuple[int, int]]:
+        words = min(map(len, bits))
+        maps = [_fold_number(m, words) for m in bits]
+        before = [{s for s in f if s < sig} for f in first]
+        return [
+            (cls[i], cls[j])
+            for i, j in combinations(range(len(cls)), 2)
+            if root[i] != root[j]
+            and _may_link(n[i], n[j], (maps[i] ^ maps[j]).bit_count(), percent)
+            and before[i].isdisjoint(before[j])
+        ]
+
+    def many(cls, root, n, bits, sig: int, first) -> list[tuple[int, int]]:
+        cls, root, n = (np.array(x) for x in (cls, root, n))
+        maps = [np.frombuffer(b, np.uint64) for b in bits]
         words = min(map(len, maps))
         maps = np.array([_folded(m, words) for m in maps])
+        before = np.full((len(cls), FIRST), sig)
+        for i, f in enumerate(first):
+            before[i, : len(f)] = f
+        before[before > sig] = sig
         out = []
         for i in range(len(cls) - 1):
             j = np.flatnonzero((root[i + 1 :] != root[i]) & (percent * np.maximum(n[i + 1 :], n[i]) <= 100 * np.minimum(n[i + 1 :], n[i]))) + i + 1
@@ -416,20 +441,35 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
             own = before[i][before[i] < sig]
             if len(j) and len(own):
                 j = j[~np.isin(before[j], own).any(axis=1)]
-            if len(j):
-                out.append(np.column_stack([np.full(len(j), cls[i]), cls[j]]))
+            out += [(int(cls[i]), int(c)) for c in cls[j]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["sig", "x", "y"]):
             starts = group_heads(table, ["sig", "x", "y"]).tolist()
-            out = [p for a, b in zip(starts, [*starts[1:], table.num_rows]) for p in pairs_of(table.slice(a, b - a))]
-            both = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            # ``first``: a set's first buckets; a pair that shares one below this bucket was compared there
+            cls, root, n, bits, sig, first = (table.column(c).to_pylist() for c in ("cls", "root", "n", "bits", "sig", "first"))
+            out = []
+            for a, b in zip(starts, [*starts[1:], table.num_rows]):
+                pairs_of = few if b - a <= SMALL_BUCKET else many
+                out += pairs_of(cls[a:b], root[a:b], n[a:b], bits[a:b], sig[a], first[a:b])
+            both = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _open_buckets(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``sig, size, cls, root`` of buckets with more than one component; buckets of the same sets are kept once."""
+    roots = materialize(components(links).withColumnRenamed("node", "cls"), "roots")
+    met = met.join(roots, "cls", "left").select("sig", "cls", F.coalesce("root", "cls").alias("root"))
+    met = materialize(met, "met")
+    mix = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mix")
+    open_ = met.groupBy("sig").agg(mix, F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("top"))
+    open_ = open_.filter("low <> top").groupBy("mix", "size").agg(F.min("sig").alias("sig"))
+    return met.join(open_.select("sig", "size"), "sig")
+
+
 def jaccard_groups(
     docs: DataFrame,
     keys: list[str],
@@ -448,27 +488,29 @@ def jaccard_groups(
     classes = materialize(classes, "classes")
 
     # against the hub of each bucket first
-    pairs = met.filter("cls <> hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-    tried = materialize(_sieve(pairs, classes, percent), "hub-pairs")
+    hub = lambda rows: rows.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
+    tried = materialize(_sieve(hub(met.filter("cls <> hub")), classes, percent), "hub-pairs")
     links = _verified(tried, docs, text, gram, seed, percent)
-    roots = materialize(components(links), "roots")
-
-    # then across the components that still meet in a bucket; buckets of the same sets are looked at once
-    root = F.coalesce("root", "cls").alias("root")
-    met = met.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", root)
-    met = materialize(met, "met")
-    mix = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mix")
-    open_ = met.groupBy("sig").agg(mix, F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("top"))
-    open_ = open_.filter("low <> top").groupBy("mix", "size").agg(F.min("sig").alias("sig")).select("sig", "size")
-    members = materialize(met.join(open_, "sig"), "open")
+    members = materialize(_open_buckets(met.select("sig", "cls"), links), "open")
+
+    # where components still meet, against a set drawn for each bucket: near copies meet in many, so most of them join
+    drawn = members.groupBy("sig").agg(F.min(F.struct(F.xxhash64("sig", "cls"), "cls", "root")).alias("d"))
+    drawn = drawn.select("sig", F.col("d.cls").alias("hub"), F.col("d.root").alias("hub_root"))
+    pairs = hub(members.join(drawn, "sig").filter("root <> hub_root")).join(tried, ["a", "b"], "left_anti")
+    again = materialize(_sieve(pairs, classes, percent), "drawn-pairs")
+    links = links.unionByName(_verified(again, docs, text, gram, seed, percent))
+    tried = tried.unionByName(again)
+
+    # then the sets of different components that still meet
+    members = materialize(_open_buckets(members.select("sig", "cls"), links), "open")
     first = F.slice(F.sort_array(F.collect_list("sig")), 1, FIRST).alias("first")
     facts = classes.select("cls", "n", "bits").join(members.groupBy("cls").agg(first), "cls")
-    members = members.join(facts, "cls")
-    rest = _across(members, percent, block).join(tried, ["a", "b"], "left_anti")
+    rest = _across(members.join(facts, "cls"), percent, block).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
     links = links.unionByName(_verified(rest, docs, text, gram, seed, percent))
 
     linked = components(links).select(F.col("node").alias("cls"), "root")
+    root = F.coalesce("root", "cls").alias("root")
     named = classes.select("cls", "least").join(linked, "cls", "left").select("cls", root, "least")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(named.join(smallest, "root").select("cls", "component_id"), "components")
