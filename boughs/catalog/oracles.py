@@ -282,6 +282,13 @@ def all_oracles() -> dict[str, str]:
     last = "(SELECT *, count(*) OVER (PARTITION BY tree_id) AS total FROM n)"
     parts_of = {"pos": "i", "close": "2 * total - 1 - i", "leaf": "i = total - 1", "source": last}
     out["fold_ordered_path"] = out["fold_tree_ordered_tall"] = ordered((opens + closes).format(**parts_of))
+    out["rank_edges_path"] = walk + (
+        "SELECT tree_id, i AS node_id, i AS open_pos, 2 * total - 1 - i AS close_pos, CAST(i AS INTEGER) AS depth"
+        f" FROM {last} AS p"
+    )
+    out["rank_edges_walk"] = walk + (
+        "SELECT tree_id, pos AS node_id, pos AS open_pos, close_pos, CAST(depth AS INTEGER) AS depth FROM n"
+    )
 
     token_text = "coalesce(CAST(value AS VARCHAR), '/')"
     lines = f"SELECT tree_id, pos // {CHUNK} AS chunk_id, string_agg({token_text}, ' ' ORDER BY pos) AS line FROM t GROUP BY ALL"

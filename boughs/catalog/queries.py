@@ -21,6 +21,7 @@ from ..functions.algebra import (
 from ..operators import edges as edge_ops
 from ..operators import shape, zip as zip_ops
 from ..operators.partials import chunk_partial, chunk_shape, merge_partials
+from ..operators.tour import rank_edges
 from ..plans import pairs as pair_ops
 from ..plans.chunks import fold_chunks
 from ..plans.contraction import fold_rounds
@@ -147,6 +148,16 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tree_id", "node_id", "open_pos", "close_pos")
 
 
+def _ranked(source: Callable, small: int) -> Query:
+    """Positions of bracket lists; the bound is small, so that the rounds for long lists run on these tables too."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        edges = source(spark, sf_dir).select("tree_id", "node_id", "parent_id")
+        return rank_edges(edges, small).drop("parent_id")
+
+    return run
+
+
 def _conversation_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_rounds(tables.conversation_nodes(spark, sf_dir), max_path_sum)
 
@@ -498,6 +509,8 @@ def all_queries() -> dict[str, Query]:
     out["tree_max_depth"] = _select(shape.tree_max_depth, _walk_nodes)
     out["tree_from_edges"] = _edges
     out["number_edges"] = _numbered
+    out["rank_edges_path"] = _ranked(_path_nodes, 1024)
+    out["rank_edges_walk"] = _ranked(_walk_nodes, 1024)
 
     out["chunk_partial"] = lambda s, d: _flat(_partials(s, d))
     out["merge_partials"] = _merged_once

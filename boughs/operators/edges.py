@@ -10,6 +10,10 @@ from ..plans.contraction import check_parents
 from ..plans.levels import combine_children
 from ..session import materialize
 from .skew import spread_join
+from .tour import rank_edges
+
+#: trees with more levels are numbered by list ranking
+LEVELS = 16
 
 
 def tree_from_edges(edges: DataFrame) -> DataFrame:
@@ -67,13 +71,16 @@ def _double(jump: DataFrame) -> DataFrame:
 def number_edges(nodes: DataFrame, height: int | None = None) -> DataFrame:
     """Token positions for an edge table with ``depth``: adds ``open_pos`` and ``close_pos``.
 
-    Siblings are in ``node_id`` order. Subtree sizes are summed bottom-up, level by level; then
-    ``open = parent's open + 1 + 2 * (sizes of earlier siblings)`` top-down. Roots of a forest follow each other.
+    Siblings are in ``node_id`` order. Trees of at most ``LEVELS`` levels: subtree sizes are summed bottom-up, level by
+    level; then ``open = parent's open + 1 + 2 * (sizes of earlier siblings)`` top-down. Taller ones are ranked as
+    bracket lists, in logarithmic rounds. Roots of a forest follow each other.
     """
-    nodes = materialize(_ranged(nodes), "edges")
     found = nodes.agg(F.max("depth")).first()[0] or 0
     if height is not None and found > height:
         raise ValueError(f"a node lies deeper than height {height}")
+    if found >= LEVELS:
+        return rank_edges(nodes)
+    nodes = materialize(_ranged(nodes), "edges")
     height = found
     sized: list[DataFrame] = []
     below: DataFrame | None = None

@@ -35,6 +35,8 @@ NAMES = [
     "read_numbered_text",
     "result_codec",
     "tree_from_edges",
+    "rank_edges_path",
+    "rank_edges_walk",
     "pair_pieces",
     "fold_ordered_path",
     "fold_levels_path_tall",
