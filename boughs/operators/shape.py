@@ -2,7 +2,8 @@
 
 Every operator works in segments of ``2**SEGMENT_BITS`` positions. Windows run inside a segment, and only
 per-segment summaries and the few brackets that a segment leaves unmatched go into the second step. All
-in-segment windows share one hash partitioning on ``(tree_id, c)``, so the tokens are shuffled once.
+in-segment windows share one hash partitioning on ``(tree_id, c)``, so the tokens are shuffled once. Bracket matching
+packs each segment into one row in the same pass (``brackets.py``).
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .match import CLOSE, OPEN, QUERY, match_levels
+from .brackets import pack_segments
+from .match import CLOSE, QUERY, match_levels
 from .scan import exclusive_scan
 
 SEGMENT_BITS = 14
@@ -61,36 +63,17 @@ def match_brackets(tokens: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataF
     ``(tree_id, node_id, close_pos, parent_id, depth, is_leaf, value)``; ``node_id`` is the open position, so
     siblings are in ``node_id`` order. An unclosed node has a NULL ``close_pos``.
     """
-    t = _leveled(tokens, segment_bits)
-    lane = Window.partitionBy(*_SEG, "level").orderBy("pos")
-    t = t.select(
-        *_SEG,
-        "pos",
-        "value",
-        "level",
-        "start",
-        F.when(F.lead(~_is_open()).over(lane), F.lead("pos").over(lane)).alias("close_here"),
-        # the first child of a node follows its open directly; later siblings share the lane with it
-        F.last(F.when(_is_open() & F.col("behind_open"), F.col("pos") - 1), ignorenulls=True)
-        .over(lane.rowsBetween(Window.unboundedPreceding, 0))
-        .alias("parent_here"),
-        F.row_number().over(lane).alias("rn"),
-    )
-    is_open = _is_open()
-    loose = (~is_open & (F.col("rn") == 1)) | (is_open & F.col("close_here").isNull())
-    kind = F.when(is_open, OPEN).otherwise(CLOSE)
-    lowest = F.least(F.min("start"), F.min(F.when(~is_open, F.col("level"))))
+    packed = materialize(pack_segments(tokens, segment_bits), "segments")
+    starts = exclusive_scan(packed.select(*_SEG, "net"), ["tree_id"], "c", {"start": ("net", "sum")}).drop("net")
+    starts = materialize(starts, "starts")
     # one row per segment: its unmatched brackets and its lowest depth
-    segments = t.groupBy(*_SEG).agg(
-        lowest.alias("low"),
-        F.collect_list(F.when(loose, F.struct("level", kind.alias("kind"), "pos"))).alias("loose"),
-    )
-    segments = materialize(segments, "segments")
     query = F.struct(
         (F.col("low") - 1).alias("level"), F.lit(QUERY).alias("kind"), F.lit(None).cast("bigint").alias("pos")
     )
-    loose_rows = segments.select(*_SEG, F.explode(F.concat("loose", F.array(query))).alias("e"))
-    found = match_levels(loose_rows.select(*_SEG, "e.*"))
+    ends = packed.select(*_SEG, "low", "loose").join(starts, _SEG)
+    loose_rows = ends.select(*_SEG, "start", F.explode(F.concat("loose", F.array(query))).alias("e"))
+    loose_rows = loose_rows.select(*_SEG, (F.col("start") + F.col("e.level")).alias("level"), "e.kind", "e.pos")
+    found = match_levels(loose_rows)
 
     # back to the segments: the open above each level that the segment climbs down to, and the close of
     # each node that it leaves open; both are dense in the level, so an array index finds them
@@ -112,7 +95,10 @@ def match_brackets(tokens: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataF
         entries = F.col(name)
         return F.get(entries, (level - F.get(entries, F.lit(0))["level"]).cast("int"))["pos"]
 
-    nodes = t.filter(is_open).join(links, _SEG, "left")
+    # the facts of a segment meet its packed row, not its tokens
+    nodes = packed.select(*_SEG, "nodes").join(starts, _SEG).join(links, _SEG, "left")
+    nodes = nodes.select("tree_id", "start", "ups", "downs", F.inline("nodes"))
+    nodes = nodes.withColumn("level", F.col("start") + F.col("level"))
     close = F.coalesce("close_here", at("downs", F.col("level")))
     return nodes.select(
         "tree_id",
