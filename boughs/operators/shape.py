@@ -18,6 +18,9 @@ from .scan import exclusive_scan
 
 SEGMENT_BITS = 14
 
+#: chunk starts that are broadcast: three numbers each, about 64 MB in all
+HELD_STARTS = 1 << 20
+
 _SEG = ["tree_id", "c"]
 
 
@@ -32,8 +35,13 @@ def chunk_starts(chunks: DataFrame) -> DataFrame:
 
 
 def index_tokens(chunks: DataFrame) -> DataFrame:
-    """Chunks ``(tree_id, chunk_id, tokens)`` -> ``(tree_id, pos, token)`` with the global token position."""
-    located = chunks.join(chunk_starts(chunks).drop("n_tokens"), ["tree_id", "chunk_id"])
+    """Chunks ``(tree_id, chunk_id, tokens)`` -> ``(tree_id, pos, token)`` with the global token position.
+
+    Up to ``HELD_STARTS`` chunks the starts are broadcast and the tokens stay where they are read; beyond that they
+    are joined by a shuffle.
+    """
+    starts = materialize(chunk_starts(chunks).drop("n_tokens"), "starts")
+    located = chunks.join(F.broadcast(starts) if starts.count() <= HELD_STARTS else starts, ["tree_id", "chunk_id"])
     return located.select("tree_id", "start", F.posexplode("tokens").alias("i", "token")).select(
         "tree_id", (F.col("start") + F.col("i")).alias("pos"), "token"
     )
@@ -65,20 +73,19 @@ def match_brackets(tokens: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataF
     """
     packed = materialize(pack_segments(tokens, segment_bits), "segments")
     starts = exclusive_scan(packed.select(*_SEG, "net"), ["tree_id"], "c", {"start": ("net", "sum")}).drop("net")
-    starts = materialize(starts, "starts")
     # one row per segment: its unmatched brackets and its lowest depth
     query = F.struct(
         (F.col("low") - 1).alias("level"), F.lit(QUERY).alias("kind"), F.lit(None).cast("bigint").alias("pos")
     )
     ends = packed.select(*_SEG, "low", "loose").join(starts, _SEG)
     loose_rows = ends.select(*_SEG, "start", F.explode(F.concat("loose", F.array(query))).alias("e"))
-    loose_rows = loose_rows.select(*_SEG, (F.col("start") + F.col("e.level")).alias("level"), "e.kind", "e.pos")
+    loose_rows = loose_rows.select(*_SEG, "start", (F.col("start") + F.col("e.level")).alias("level"), "e.kind", "e.pos")
     found = match_levels(loose_rows)
 
     # back to the segments: the open above each level that the segment climbs down to, and the close of
     # each node that it leaves open; both are dense in the level, so an array index finds them
-    inward = F.struct("c", F.lit(0).alias("side"), F.col("ref.pos").alias("pos"))
-    outward = F.struct(F.col("ref.c").alias("c"), F.lit(1).alias("side"), "pos")
+    inward = F.struct("c", F.lit(0).alias("side"), F.col("ref.pos").alias("pos"), "start")
+    outward = F.struct(F.col("ref.c").alias("c"), F.lit(1).alias("side"), "pos", F.lit(None).cast("bigint").alias("start"))
     both = F.when((F.col("kind") == CLOSE) & F.col("ref").isNotNull(), F.array(inward, outward))
     both = both.otherwise(F.array(inward))
 
@@ -88,15 +95,15 @@ def match_brackets(tokens: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataF
     links = (
         found.select("tree_id", "level", F.inline(both))
         .groupBy(*_SEG)
-        .agg(dense(0).alias("ups"), dense(1).alias("downs"))
+        .agg(dense(0).alias("ups"), dense(1).alias("downs"), F.max("start").alias("start"))
     )
 
     def at(name: str, level: Column) -> Column:
         entries = F.col(name)
         return F.get(entries, (level - F.get(entries, F.lit(0))["level"]).cast("int"))["pos"]
 
-    # the facts of a segment meet its packed row, not its tokens
-    nodes = packed.select(*_SEG, "nodes").join(starts, _SEG).join(links, _SEG, "left")
+    # the facts of a segment meet its packed row, not its tokens; its query gives every segment a row of facts
+    nodes = packed.select(*_SEG, "nodes").join(links, _SEG)
     nodes = nodes.select("tree_id", "start", "ups", "downs", F.inline("nodes"))
     nodes = nodes.withColumn("level", F.col("start") + F.col("level"))
     close = F.coalesce("close_here", at("downs", F.col("level")))

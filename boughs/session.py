@@ -27,8 +27,8 @@ _scratch: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can read: ``spark.checkpoint.dir``, or else a folder in the warehouse.
 
-    The warehouse is shared by all executors as well. What a local session writes there is removed when the
-    driver ends; on a cluster it stays, like checkpoint files.
+    What a local session writes to the warehouse is removed when the driver ends; on a cluster it stays, like
+    checkpoint files. Raises on a cluster whose warehouse is a plain path: each executor may have its own disk there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
@@ -38,7 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         _scratch[app] = f"{warehouse}/{SCRATCH}/{app}"
         where = urlparse(_scratch[app])
-        if spark.sparkContext.master.split("[")[0] == "local" and where.scheme in ("", "file"):
+        if where.scheme in ("", "file"):
+            if spark.sparkContext.master.split("[")[0] != "local":
+                del _scratch[app]
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             atexit.register(shutil.rmtree, where.path, ignore_errors=True)
     return _scratch[app]
 

@@ -252,3 +252,38 @@ def test_files_are_numbered_in_path_order(spark, tmp_path):
     assert [(r.chunk_id, r.tokens[:2]) for r in got] == list(enumerate([["1", "0"], ["2", "0"], ["2", "1"], ["3", "0"], ["3", "1"], ["3", "2"]]))
     got = text.read_tree_text(spark, str(tmp_path), per_file=True).collect()
     assert sorted((r.tree_id, r.chunk_id) for r in got) == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+
+
+def test_indexed_tokens_stay_in_place(spark, sample, monkeypatch):
+    """No exchange holds the tokens while the starts fit a broadcast; with more chunks the join gives the same rows."""
+    chunks = materialize(text.split_chunks(sample.select("tree_id", "pos", "value"), 5), "five")
+    want = sorted(tuple(r) for r in chunks.select("tree_id", F.posexplode(F.flatten(F.array("tokens"))), "chunk_id").select(
+        "tree_id", F.col("chunk_id") * 5 + F.col("pos"), "col").collect())
+    for bound, moved in ((1 << 20, False), (1, True)):
+        monkeypatch.setattr(shape, "HELD_STARTS", bound)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = shape.index_tokens(chunks)
+        rows = sorted(tuple(r) for r in got.collect())
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert rows == want
+        assert ("SortMergeJoin" in plan or "ShuffledHashJoin" in plan) == moved
+
+
+def test_shared_folder_on_a_cluster(monkeypatch):
+    """A cluster without a shared folder is refused, since its executors would write to their own disks."""
+    from types import SimpleNamespace
+
+    from boughs import session
+
+    def fake(master, warehouse):
+        conf = {"spark.sql.warehouse.dir": warehouse}
+        context = SimpleNamespace(master=master, applicationId=f"app-{master}-{warehouse}", getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=context)
+
+    monkeypatch.setattr(session.atexit, "register", lambda *a, **k: None)
+    for _ in range(2):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(fake("spark://host:7077", "file:/tmp/w"))
+    assert session.shared_dir(fake("local[8]", "file:/tmp/w")).startswith("file:/tmp/w/")
+    assert session.shared_dir(fake("spark://host:7077", "hdfs://name/w")).startswith("hdfs://name/w/")
