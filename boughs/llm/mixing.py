@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import deque
 from fractions import Fraction
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,19 +56,31 @@ def source_targets(sizes: dict, total: int, weights: tuple[int, ...] = WEIGHTS,
     return targets
 
 
+def _by_name(source: str | None) -> tuple[bool, str]:
+    """Sources by code point, null last."""
+    return source is None, source or ""
+
+
 def route(patterns: dict[tuple, int], quotas: dict, most: int = MAX_REPEATS) -> dict[tuple, dict]:
     """Words that each pattern gives to each of its sources, by successive cheapest paths.
 
     Costs are convex: the n-th use of a pattern's size costs n - 1 a word. A quota that cannot be filled is
-    filled as far as the patterns reach.
+    filled as far as the patterns reach. Equal costs go by the order of the patterns' names, so the flow does not
+    depend on the order of ``patterns``. Each source keeps its patterns in a heap by cost, and only patterns of
+    several sources are searched for detours.
     """
+    names = sorted(patterns, key=lambda p: [_by_name(s) for s in p])
+    rank = {p: i for i, p in enumerate(names)}
     flow = {p: dict.fromkeys(p, 0) for p in patterns}
     used = dict.fromkeys(patterns, 0)
     need = {s: int(q) for s, q in quotas.items()}
-    giving: dict = {}
-    for p in patterns:
+    heaps: dict = {}
+    shared: dict = {}
+    for p in names:
         for s in p:
-            giving.setdefault(s, []).append(p)
+            heaps.setdefault(s, []).append((0, rank[p]))
+            if len(p) > 1:
+                shared.setdefault(s, []).append(p)
 
     def step(p: tuple) -> tuple[int, int] | None:
         """Cost and room of the next word taken from a pattern."""
@@ -76,16 +89,29 @@ def route(patterns: dict[tuple, int], quotas: dict, most: int = MAX_REPEATS) ->
             return None
         return used[p] // size, size - used[p] % size
 
-    for s in sorted(need, key=lambda x: (x is None, x or "")):
+    def cheapest(s: str | None) -> tuple[int, int, tuple] | None:
+        """The cheapest pattern of a source; entries whose cost has risen since are put back with the new one."""
+        heap = heaps.get(s, [])
+        while heap:
+            cost, i = heap[0]
+            free = step(names[i])
+            if free and free[0] == cost:
+                return (*free, names[i])
+            heappop(heap)
+            if free:
+                heappush(heap, (free[0], i))
+        return None
+
+    for s in sorted(need, key=_by_name):
         while need[s] > 0:
             # sources reachable from the quota: a pattern may move words between its sources at no cost
             came, queue, best = {s: None}, deque([s]), None
             while queue:
                 at = queue.popleft()
-                for p in giving.get(at, ()):
-                    free = step(p)
-                    if free and (best is None or free[0] < best[0]):
-                        best = (*free, p, at)
+                free = cheapest(at)
+                if free and (best is None or free[0] < best[0]):
+                    best = (*free, at)
+                for p in shared.get(at, ()):
                     for other in p:
                         if other not in came and flow[p][other] > 0:
                             came[other] = (p, at)

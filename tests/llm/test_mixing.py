@@ -86,6 +86,32 @@ def test_flow_is_cheapest(seed):
             assert cost(used) == best[0][1]
 
 
+def test_flow_does_not_depend_on_the_order_of_patterns():
+    import random
+
+    rng = random.Random(3)
+    patterns = {("a", "b"): 10, ("a", "c"): 10, ("b", "c"): 10, ("a",): 4, ("c", None): 7}
+    quotas = {"a": 12, "b": 13, "c": 20, None: 3}
+    want = mixing.route(patterns, quotas)
+    for _ in range(20):
+        turned = list(patterns.items())
+        rng.shuffle(turned)
+        assert mixing.route(dict(turned), quotas) == want
+
+
+def test_flow_over_many_patterns_of_one_source():
+    """A pattern is looked at once per use, not once per step: 200,000 patterns take seconds."""
+    import time
+
+    patterns = {("a", f"{i:06d}"): 5 for i in range(1000)} | {("a",): 10**6} | {(f"s{i}",): 3 for i in range(200_000)}
+    quotas = {"a": 1_500_000} | {f"s{i}": 7 for i in range(200_000)}
+    start = time.perf_counter()
+    flow = mixing.route(patterns, quotas)
+    assert time.perf_counter() - start < 60
+    assert sum(f.get("a", 0) for f in flow.values()) == 1_500_000
+    assert all(flow[(f"s{i}",)] == {f"s{i}": 7} for i in range(0, 200_000, 997))
+
+
 def test_empty_table_and_too_many_patterns(docs, nothing):
     assert mixing.mix_sources(_sized(nothing)).collect() == []
     with pytest.raises(ValueError, match="patterns"):
