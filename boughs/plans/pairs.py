@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
 from ..operators.match import CLOSE, OPEN, QUERY, match_levels
+from ..operators.nearest import visible_pairs
 from ..operators.partials import chunk_partial, chunk_shape
 from ..operators.scan import BLOCK_BITS, exclusive_scan
 from ..session import materialize
@@ -45,34 +46,19 @@ def next_chunk(rows: DataFrame) -> DataFrame:
     return rows.withColumn("next_id", F.coalesce("here", "next_blk")).drop("blk", "here", "next_blk")
 
 
-def mating_pairs(depths: DataFrame) -> DataFrame:
+def mating_pairs(depths: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """``(tree_id, chunk_id, depth)`` -> pairs ``(tree_id, off_l, off_r, du, dl)``; NULL ``dl`` = innermost.
 
-    Neighbouring chunks always mate. All other pairs hold nodes, so they are the groups of (opening chunk,
-    closing chunk) over the depths that the sequence climbs down through.
+    Neighbouring chunks always mate. Two others mate where all chunks between them lie deeper than both: each such pair
+    belongs to the deepest-reaching chunk between them, whose nearest smaller depths are its two chunks. So there
+    are fewer than two pairs per chunk, whatever the height of the tree.
     """
-    depths = materialize(depths.select("tree_id", "chunk_id", "depth"), "depths")
-    rows = next_chunk(depths)
-    after = depths.select("tree_id", F.col("chunk_id").alias("next_id"), F.col("depth").alias("d2"))
-    steps = rows.join(after, ["tree_id", "next_id"]).withColumn("top", F.greatest("depth", "d2"))
-    steps = materialize(steps, "steps")
-
-    def levels(low: str, chunk: str, kind: int) -> DataFrame:
-        span = F.when(F.col(low) < F.col("top"), F.sequence(F.col(low), F.col("top") - 1))
-        return steps.select(
-            "tree_id", F.explode(span).alias("level"), F.col(chunk).alias("c"), F.lit(kind).alias("kind"),
-            F.col("next_id").alias("pos"),
-        )
-
-    found = match_levels(levels("depth", "chunk_id", OPEN).unionAll(levels("d2", "next_id", CLOSE)))
-    # an open remembers the chunk after its own in ``pos``: pairs that close there are the neighbours
-    wide = found.filter(F.col("ref.pos") != F.col("c")).groupBy("tree_id", F.col("ref.c").alias("off_l"), "c").agg(
-        F.min("level").alias("du"), (F.max("level") + 1).alias("dl")
-    )
-    near = steps.select(
-        "tree_id", "chunk_id", "next_id", F.greatest("depth", "d2").alias("du"), F.lit(None).cast("int").alias("dl")
-    )
-    return near.unionAll(wide).toDF("tree_id", "off_l", "off_r", "du", "dl")
+    seen = visible_pairs(depths.select("tree_id", F.col("chunk_id").alias("c"), F.col("depth").alias("d")), block_bits)
+    seen = seen.filter(F.col("hi").isNull() | (F.col("dr") < F.col("hi")))
+    return seen.select(
+        "tree_id", F.col("k").alias("off_l"), F.col("r").alias("off_r"), F.greatest("dk", "dr").cast("int").alias("du"),
+        F.col("hi").cast("int").alias("dl"),
+    )
 
 
 def pair_tree(pairs: DataFrame) -> DataFrame:

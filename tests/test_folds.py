@@ -229,6 +229,34 @@ def test_mating_pairs_brute_force(spark):
                     want.add((t, i, j, max(d[i], d[j]), None if low == 99 else low))
     df = spark.createDataFrame(rows, "tree_id bigint, chunk_id bigint, depth int")
     assert {tuple(r) for r in mating_pairs(df).collect()} == want
+    assert sorted(map(str, mating_pairs(df, block_bits=1).collect())) == sorted(map(str, mating_pairs(df).collect()))
+    assert mating_pairs(df.filter("tree_id < 0")).count() == 0
+
+
+def test_mating_pairs_of_deep_trees_and_sparse_chunks(spark):
+    """Rows go with the chunks, not with the levels climbed; blocks of blocks, missing chunk numbers, one shared block."""
+    rng = random.Random(3)
+    shapes = {
+        0: [1000 * i for i in range(20)] + [1000 * i + 7 for i in range(19, -1, -1)],
+        1: [0] + [5000 - i for i in range(60)],
+        2: [0] + [9] * 40 + [0],
+        3: [rng.randint(0, 50) for _ in range(70)],
+        4: [3],
+    }
+    rows, want = [], []
+    for t, d in shapes.items():
+        at = [i * (1 + t) + (40 if t == 3 and i > 30 else 0) for i in range(len(d))]
+        rows += [(t, c, x) for c, x in zip(at, d)]
+        for i in range(len(d)):
+            low = 10**9
+            for j in range(i + 1, len(d)):
+                if low > max(d[i], d[j]):
+                    want.append((t, at[i], at[j], max(d[i], d[j]), None if j == i + 1 else low))
+                low = min(low, d[j])
+    df = spark.createDataFrame(rows, "tree_id bigint, chunk_id bigint, depth int")
+    got = [tuple(r) for r in mating_pairs(df, block_bits=2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(got) < 2 * len(rows)
 
 
 def test_deep_path_and_wide_star(spark):
