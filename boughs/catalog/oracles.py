@@ -369,6 +369,18 @@ def all_oracles() -> dict[str, str]:
         " lead(chunk_id) OVER (PARTITION BY tree_id ORDER BY chunk_id) AS next_id FROM d"
     )
     out["mating_pairs"] = pairs + "SELECT tree_id, off_l, off_r, CAST(du AS INTEGER) AS du, CAST(dl AS INTEGER) AS dl FROM mates"
+    # on a path node i opens at i and closes at 2 * total - 1 - i; depths rise and then fall, so a chunk is lowest at an end
+    out["mating_pairs_path"] = walk + (
+        f", c AS (SELECT tree_id, i, i // {CHUNK} AS oc, (2 * total - 1 - i) // {CHUNK} AS cc FROM {last} AS p),"
+        f" ln AS (SELECT tree_id, 2 * count(*) AS m FROM n GROUP BY tree_id),"
+        f" s AS (SELECT tree_id, m, unnest(range((m + {CHUNK - 1}) // {CHUNK})) AS j FROM ln),"
+        f" e AS (SELECT tree_id, j, m, {CHUNK} * j AS a, least({CHUNK} * (j + 1), m) AS b FROM s),"
+        " d AS (SELECT tree_id, j, least(a, m - a, b, m - b) AS depth FROM e)"
+        " SELECT tree_id, oc AS off_l, cc AS off_r, CAST(min(i) AS INTEGER) AS du, CAST(max(i) + 1 AS INTEGER) AS dl FROM c"
+        " WHERE cc > oc + 1 GROUP BY ALL UNION ALL"
+        " SELECT x.tree_id, x.j, y.j, CAST(greatest(x.depth, y.depth) AS INTEGER), NULL FROM d x JOIN d y"
+        " ON x.tree_id = y.tree_id AND y.j = x.j + 1"
+    )
     out["pair_tree"] = pairs + (
         "SELECT k.tree_id, k.off_l, k.off_r, CAST(k.du AS INTEGER) AS du, CAST(k.dl AS INTEGER) AS dl, p.off_l AS parent_l, p.off_r AS parent_r"
         " FROM mates k LEFT JOIN mates p ON p.tree_id = k.tree_id AND p.dl = k.du AND p.off_l <= k.off_l AND k.off_r <= p.off_r"

@@ -185,6 +185,12 @@ def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_ops.chunk_depth(chunk_shape(_partials(spark, sf_dir)))
 
 
+def _path_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the deepest trees, in blocks small enough that chunks mate across blocks and blocks of blocks."""
+    shapes = chunk_shape(chunk_partial(_path_chunks(spark, sf_dir), max_path_sum))
+    return pair_ops.mating_pairs(pair_ops.chunk_depth(shapes), block_bits=3)
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     partials = _once(spark, sf_dir, "partials", lambda: _partials(spark, sf_dir))
     depths = materialize(pair_ops.chunk_depth(chunk_shape(partials)), "depths")
@@ -517,6 +523,7 @@ def all_queries() -> dict[str, Query]:
     out["chunk_shape"] = lambda s, d: chunk_shape(_partials(s, d))
     out["chunk_depth"] = _depths
     out["mating_pairs"] = lambda s, d: pair_ops.mating_pairs(_depths(s, d))
+    out["mating_pairs_path"] = _path_pairs
     out["pair_pieces"] = _pieces
     out["pair_triplets"] = _triplets
     out["compose_pairs"] = lambda s, d: pair_ops.compose_pairs(_triplets(s, d), max_path_sum)

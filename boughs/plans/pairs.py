@@ -17,6 +17,7 @@ from ..operators.match import CLOSE, OPEN, QUERY, match_levels
 from ..operators.nearest import visible_pairs
 from ..operators.partials import chunk_partial, chunk_shape
 from ..operators.scan import BLOCK_BITS, exclusive_scan
+from ..operators.shape import HELD_STARTS
 from ..session import materialize
 from .contraction import SMALL, contract
 
@@ -83,8 +84,13 @@ def pair_tree(pairs: DataFrame) -> DataFrame:
 
 
 def _exploded(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra) -> DataFrame:
-    """One row per entry of each partial, on the level of the node it belongs to."""
-    rows = partials.join(depths.select("tree_id", "chunk_id", "depth"), ["tree_id", "chunk_id"])
+    """One row per entry of each partial, on the level of the node it belongs to.
+
+    The depths are written: up to ``HELD_STARTS`` chunks they are broadcast, so partials stay where they are and only
+    their entries are shuffled; beyond that a shuffle brings partials and depths together.
+    """
+    at = depths.select("tree_id", "chunk_id", "depth")
+    rows = partials.join(F.broadcast(at) if depths.count() <= HELD_STARTS else at, ["tree_id", "chunk_id"])
     none_a = F.lit(None).cast(algebra.value_type)
     cs = F.transform(
         "cs",

@@ -26,6 +26,7 @@ NAMES = [
     "merge_partials",
     "compose_pairs",
     "pair_tree",
+    "mating_pairs_path",
     "sum_zip",
     "zip_check",
     "gen_chunks",
