@@ -5,19 +5,23 @@ member of its own, and ``indexes/index.cdx`` with one line ``offset length`` per
 two jobs. The first reads the end of each archive, follows the ZIP64 locator where there is one, parses the
 central directory, finds where each stored member begins, and reads the index; it returns byte ranges of some
 megabytes that begin and end with a record. The second is dealt evenly over these ranges and reads each with one
-request. An archive without an index is one range.
+request. Archives of others may bring a CDXJ index (``*.cdxj``, plain or gzipped) instead. A member that no index lists is
+one range; it is read in slices, so that a task holds one slice and one record, whatever the size of the member.
 
 Archives are opened with pyarrow's file systems, so paths may be local, on HDFS or in an object store.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import json
+import posixpath
 import struct
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,6 +35,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 8 << 20
 #: payload bytes after which a batch is handed to Spark
 BATCH_BYTES = 16 << 20
+#: bytes read from an archive, given to and taken from a gzip member at a time; largest header of a record
+SLICE_BYTES, FEED_BYTES, PIECE_BYTES, HEADER_BYTES = 8 << 20, 1 << 14, 1 << 20, 1 << 20
 REVISIT_BYTES = 1000
 _LEVEL = 6
 
@@ -70,33 +76,61 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in pairs}
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """WARC header, HTTP header and payload of each record in uncompressed WARC data."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        warc = _fields(data[at:end])
-        length = int(warc["content-length"])
-        block = data[end + 4 : end + 4 + length]
-        if len(block) < length:
-            raise ValueError("a record ends beyond its range")
-        head, found, payload = block.partition(b"\r\n\r\n")
-        yield warc, _fields(head) if found else {}, payload if found else block
-        at = end + 4 + length + 4
-
-
-def _unpacked(data: bytes) -> Iterator[bytes]:
-    """Uncompressed data, one gzip member at a time."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    while data:
-        member = zlib.decompressobj(31)
-        out = member.decompress(data)
-        if not member.eof:
-            raise ValueError("a gzip member ends beyond its range")
-        yield out
-        data = member.unused_data
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """WARC header, HTTP header and payload of each record in uncompressed WARC data, cut into pieces anywhere.
+
+    One record is held at a time. Data that end inside a record raise an error.
+    """
+    held, at, need = bytearray(), 0, 0
+    for piece in pieces:
+        done = min(at, len(held))
+        del held[:done]
+        at -= done
+        held += piece
+        while len(held) > at and len(held) - at >= need:
+            end = held.find(b"\r\n\r\n", at)
+            if end < 0:
+                if len(held) - at > HEADER_BYTES:
+                    raise ValueError("no record header where one should begin")
+                break
+            warc = _fields(held[at:end])
+            begin, length = end + 4, int(warc["content-length"])
+            need = begin + length - at
+            if len(held) - at < need:
+                break
+            block = bytes(held[begin : begin + length])
+            head, found, payload = block.partition(b"\r\n\r\n")
+            yield warc, _fields(head) if found else {}, payload if found else block
+            at, need = begin + length + 4, 0
+    if len(held) > at:
+        raise ValueError("a record ends beyond its range")
+
+
+def _unpacked(slices: Iterable[bytes]) -> Iterator[bytes]:
+    """Uncompressed data in pieces of bounded size; gzip members may begin and end anywhere.
+
+    A gzip member hands back what follows it, so it is fed little at a time.
+    """
+    member, packed = None, None
+    for data in slices:
+        if packed is None:
+            packed = data[:2] == b"\x1f\x8b"
+        if not packed:
+            yield data
+            continue
+        for at in range(0, len(data), FEED_BYTES):
+            piece, more = data[at : at + FEED_BYTES], False
+            while piece or more:
+                member = member or zlib.decompressobj(31)
+                out = member.decompress(piece, PIECE_BYTES)
+                if out:
+                    yield out
+                more = len(out) == PIECE_BYTES and not member.eof
+                piece = member.unused_data if member.eof else member.unconsumed_tail
+                if member.eof:
+                    member = None
+    if member is not None:
+        raise ValueError("a gzip member ends beyond its range")
 
 
 # ---- ZIP directories ----
@@ -169,6 +203,38 @@ def _stored(members: dict, name: str) -> tuple[int, int]:
     return start, size
 
 
+def _slices(file: pa.NativeFile, start: int, length: int) -> Iterator[bytes]:
+    for at in range(start, start + length, SLICE_BYTES):
+        yield _range(file, at, min(SLICE_BYTES, start + length - at))
+
+
+def _cdxj(file: pa.NativeFile, members: dict) -> dict[str, list[tuple[int, int]]]:
+    """File name -> offset and length of its records, from the CDXJ indexes of an archive, which may be gzipped."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for name in members:
+        if not name.endswith((".cdxj", ".cdxj.gz")):
+            continue
+        data = _range(file, *_stored(members, name))
+        for line in (gzip.decompress(data) if name.endswith(".gz") else data).splitlines():
+            at = line.find(b"{")
+            if at < 0 or line.startswith(b"!"):
+                continue
+            entry = json.loads(line[at:])
+            if "offset" in entry and "length" in entry:
+                place = int(entry["offset"]), int(entry["length"])
+                found.setdefault(posixpath.basename(entry.get("filename", "")), []).append(place)
+    return found
+
+
+def _record_places(file: pa.NativeFile, members: dict, name: str, cdxj: dict) -> list[tuple[int, int]]:
+    """Offset and length of records of a member in ascending order; none if no index lists them."""
+    index = INDEX if name == DATA else name + ".cdx"
+    if index in members:
+        lines = _range(file, *_stored(members, index)).split(b"\n")[:-1]
+        return sorted((int(begin), int(length)) for begin, length in map(bytes.split, lines))
+    return sorted(cdxj.get(posixpath.basename(name), []))
+
+
 def _ranges(range_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,18 +242,15 @@ def _ranges(range_bytes: int):
                 rows = []
                 with _open(path) as file:
                     members = zip_members(file)
+                    cdxj = _cdxj(file, members)
                     for name in members:
                         if not name.endswith((".warc", ".warc.gz")):
                             continue
                         start, size = _stored(members, name)
-                        index = INDEX if name == DATA else name + ".cdx"
                         cuts = [0]
-                        if index in members:
-                            at, n = _stored(members, index)
-                            for line in _range(file, at, n).split(b"\n")[:-1]:
-                                begin, length = map(int, line.split())
-                                if begin + length - cuts[-1] >= range_bytes:
-                                    cuts.append(begin + length)
+                        for begin, length in _record_places(file, members, name, cdxj):
+                            if begin + length - cuts[-1] >= range_bytes:
+                                cuts.append(begin + length)
                         if cuts[-1] < size:
                             cuts.append(size)
                         rows += [(path, start + a, b - a) for a, b in zip(cuts, cuts[1:])]
@@ -220,9 +283,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start, length in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "length"))):
             rows, held = [], 0
             with _open(path) as file:
-                data = _range(file, start, length)
-            for part in _unpacked(data):
-                for warc, http, payload in parse_records(part):
+                for warc, http, payload in parse_records(_unpacked(_slices(file, start, length))):
                     revisit = warc["warc-type"] == "revisit"
                     digest = warc.get("warc-payload-digest", "").removeprefix("sha1:")
                     if not revisit and digest != (actual := hashlib.sha1(payload).hexdigest()):

@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 
 import pyarrow as pa
@@ -107,6 +108,56 @@ def test_zip64_directory_with_two_data_members(spark, tmp_path):
     assert zipfile.ZipFile(io.BytesIO(data)).namelist() == [m[0] for m in members]
 
 
+def test_cdxj_index_and_members_without_index(spark, tmp_path):
+    packed = [gzip.compress(_record(i, f"text {i}" * 50)) for i in range(6)]
+    places, at = [], 0
+    for p in packed:
+        places.append((at, len(p)))
+        at += len(p)
+    lines = [
+        f'org,x)/{i} 19700101000000 {{"url": "http://x/{i}", "filename": "x.warc.gz", "offset": "{a}", "length": "{n}"}}\n'
+        for i, (a, n) in reversed(list(enumerate(places)))
+    ]
+    index = ("!meta {}\n\n" + "".join(lines)).encode()
+    want = sorted((f"urn:x:{i}", (f"text {i}" * 50).encode()) for i in range(6))
+    data = ("archive/x.warc.gz", b"".join(packed))
+    for n, extra in ((6, [("indexes/i.cdxj", index)]), (6, [("indexes/i.cdxj.gz", gzip.compress(index))]), (1, [])):
+        path = tmp_path / "a.zip"
+        path.write_bytes(_zip64([data, *extra]))
+        batch = pa.RecordBatch.from_arrays([pa.array([str(path)])], names=["path"])
+        ranges = next(iter(warc_zip._ranges(1)([batch])))
+        assert ranges.num_rows == n and sum(ranges.column("length").to_pylist()) == at
+        got = warc_zip.read_archives(spark.createDataFrame([(str(path),)], "path string"), range_bytes=1)
+        assert sorted((r.record_id, bytes(r.payload)) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 1000, 1 << 20])
+def test_records_cut_anywhere(monkeypatch, n):
+    monkeypatch.setattr(warc_zip, "FEED_BYTES", min(n, 1 << 14))
+    monkeypatch.setattr(warc_zip, "PIECE_BYTES", n)
+    texts = ["", "a\r\n\r\nb", "WARC/1.1\r\n\r\n", "x" * 3000, "é" * 500]
+    records = [_record(i, t) for i, t in enumerate(texts)]
+    many, one = b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))
+    for data in (b"".join(records), many, one):
+        if data is many or data is one or n > 1:  # one byte does not tell gzip from plain data
+            slices = [data[:2], *(data[i : i + n] for i in range(2, len(data), n))]
+            got = [p.decode() for _, _, p in warc_zip.parse_records(warc_zip._unpacked(slices))]
+            assert got == texts
+        with pytest.raises(ValueError):
+            list(warc_zip.parse_records(warc_zip._unpacked([data[:-20]])))
+
+
+def test_unpacking_is_linear():
+    """Small records: time goes with their number (about 0.15 s a MB; the bound leaves room for a busy machine)."""
+    record = gzip.compress(_record(1, "short"))
+    slow = {}
+    for copies in (2_000, 16_000):
+        begin = time.process_time()
+        assert sum(1 for _ in warc_zip.parse_records(warc_zip._unpacked([record * copies]))) == copies
+        slow[copies] = time.process_time() - begin
+    assert slow[16_000] < 24 * slow[2_000]
+
+
 def test_directory_matches_the_standard_library():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
