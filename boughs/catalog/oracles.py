@@ -297,7 +297,7 @@ def all_oracles() -> dict[str, str]:
     out["read_numbered_text"] = toks + lines
     out["read_depth_text"] = toks + "SELECT tree_id, pos, value, CAST(depth AS INTEGER) AS depth FROM t"
     out["tokenize"] = toks + "SELECT tree_id, pos, value FROM t"
-    out["index_tokens"] = toks + f"SELECT tree_id, pos, {token_text} AS token FROM t"
+    out["index_tokens"] = out["read_token_ranges"] = toks + f"SELECT tree_id, pos, {token_text} AS token FROM t"
     out["chunk_starts"] = toks + (
         f"SELECT tree_id, pos // {CHUNK} AS chunk_id, count(*) AS n_tokens, min(pos) AS start FROM t GROUP BY ALL"
     )

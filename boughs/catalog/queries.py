@@ -30,7 +30,7 @@ from ..plans.levels import fold_forest, fold_levels, fold_ordered, fold_star
 from ..plans.ordered import fold_ordered_chunks
 from ..plans.pairs import fold_pairs
 from ..session import materialize, new_path
-from ..sources import generate, tables, text
+from ..sources import generate, ranges, tables, text
 
 CHUNK = 256
 MERGE = 4
@@ -220,6 +220,13 @@ def _text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.chunk_lines(out).select("tree_id", "chunk_id", F.col("value").alias("line"))
 
 
+def _range_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order trees written without line ends, read back by byte ranges far smaller than a line."""
+    path = new_path(spark, "one-line")
+    text.write_tree_text(_chunks(spark, sf_dir, max_path_sum), path, line_sep=" ")
+    return shape.index_tokens(ranges.read_token_ranges(spark, path, range_bytes=1 << 12, chunk_bytes=1 << 9))
+
+
 def _codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result texts with ``_`` for "no value": the value of each left-open node's finished children."""
     rows = _flat(_partials(spark, sf_dir)).withColumn("t", text.format_result(F.col("v")))
@@ -491,6 +498,7 @@ def all_queries() -> dict[str, Query]:
     out["read_depth_text"] = _depth_round_trip
     out["read_numbered_text"] = _numbered_round_trip
     out["read_tree_text"] = _text_round_trip
+    out["read_token_ranges"] = _range_round_trip
     out["tokenize"] = _tokenized
     out["index_tokens"] = lambda s, d: shape.index_tokens(_chunks(s, d, max_path_sum))
     out["chunk_starts"] = lambda s, d: shape.chunk_starts(_chunks(s, d, max_path_sum))

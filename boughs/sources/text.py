@@ -118,14 +118,17 @@ def serialize_depth(tokens: DataFrame, parts: int | Callable[[Column], Column])
     )
 
 
-def write_tree_text(chunks: DataFrame, path: str, compression: str = "none") -> None:
+def write_tree_text(chunks: DataFrame, path: str, compression: str = "none", line_sep: str = "\n") -> None:
     """Write a chunk table as token text, one folder per tree, lines in chunk order across part files.
 
+    With a blank as ``line_sep`` a part file is one line; ``read_token_ranges`` reads such files.
+
     Range partitioning keeps neighbouring chunks together, and part files sort by name, so that
     ``read_tree_text`` on a tree's folder restores the order.
     """
     lines = chunk_lines(chunks).repartitionByRange("tree_id", "chunk_id").sortWithinPartitions("tree_id", "chunk_id")
-    lines.select("tree_id", "value").write.option("compression", compression).partitionBy("tree_id").text(path)
+    writer = lines.select("tree_id", "value").write.option("compression", compression).option("lineSep", line_sep)
+    writer.partitionBy("tree_id").text(path)
 
 
 def write_numbered_text(chunks: DataFrame, path: str, compression: str = "none") -> None:

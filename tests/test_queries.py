@@ -34,6 +34,7 @@ NAMES = [
     "serialize_depth_split",
     "read_depth_text",
     "read_numbered_text",
+    "read_token_ranges",
     "result_codec",
     "tree_from_edges",
     "rank_edges_path",
