@@ -17,6 +17,8 @@ from ..session import materialize, ship_package
 from .text import token_text
 
 _OUTER_BITS = 20
+#: segments of tokens that a task makes, about 2**20 tokens
+_TASK_SEGMENTS = 64
 #: 32-bit mixing of the coordinates of a random draw; small factors, so that 64-bit arithmetic never overflows
 _WORD = 1 << 32
 _FACTORS = (0x2545F491, 0x045D9F3B, 0x1B873593)
@@ -63,6 +65,28 @@ def matrix_element(*keys: Column) -> Column:
     )
 
 
+def _matrix_values(seed: int):
+    """``matrix_element`` of the opens of whole batches in numpy: as one expression it costs far more per row."""
+    a, b, c = _FACTORS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            is_open = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            tree, place = (batch.column(i).to_numpy()[is_open] for i in (0, 2))
+            base = tree % (1 << 31) * a % _WORD + seed % _WORD * b % _WORD + (place >> 32) * c + place % _WORD
+            masks = np.empty((len(base), matrix.SIZE), np.int32)
+            for i in range(matrix.SIZE):
+                masks[:, i] = _mix((base + (i + 1) * c).astype(np.uint64)) % np.uint64(1 << matrix.SIZE)
+            ends = np.concatenate([[0], np.cumsum(is_open) * matrix.SIZE]).astype(np.int32)
+            offsets = pa.array(ends, mask=np.append(~is_open, False))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.ListArray.from_arrays(offsets, pa.array(masks.reshape(-1)))],
+                names=["tree_id", "n", "pos", "value"],
+            )
+
+    return run
+
+
 def _numbers(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
     """One row per number in ``first..last``, made in two steps so that no row holds them all."""
     blocks = rows.select(
@@ -144,6 +168,9 @@ def _random_tokens(specs: DataFrame, deepness: float, seed: int, matrices: bool)
     parts = parts.select("tree_id", "n", "c", "base", "ups_base", F.coalesce("prior", F.lit(0)).alias("prior"))
     # opens only grow: a segment that begins with all n opened has no token to give
     parts = parts.filter(2 + F.col("ups_base") - F.least(F.lit(0), "prior") < F.col("n"))
+    # rows of segments are few and small, those of their tokens are not: tasks are cut by the tokens to come
+    n_segments = specs.agg(F.sum(F.shiftright(2 * F.col("n"), SEGMENT_BITS) + 1)).first()[0] or 1
+    parts = parts.repartition(int(-(-n_segments // _TASK_SEGMENTS)), *seg)
     drawn = parts.mapInArrow(_segment_tokens(deepness, seed), "tree_id bigint, n bigint, pos bigint, is_open boolean")
     first = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("n") > 1, 1).otherwise(0).cast("bigint"))
     head = specs.select("tree_id", "n", F.explode(first).alias("pos"), F.lit(True).alias("is_open"))
@@ -152,10 +179,12 @@ def _random_tokens(specs: DataFrame, deepness: float, seed: int, matrices: bool)
     # after the last open, closes fill the positions up to 2n
     tail = body.groupBy("tree_id", "n").agg((F.max("pos") + 1).alias("at"))
     tail = _numbers(tail.filter("at < 2 * n"), F.col("at"), 2 * F.col("n") - 1, "pos")
-    tokens = body.unionAll(tail.select("tree_id", "n", "pos", F.lit(False).alias("is_open")))
-    element = matrix_element if matrices else unit_element
-    value = F.when(F.col("is_open"), element(F.col("tree_id"), F.lit(seed), F.col("pos")))
-    return tokens.select("tree_id", "n", "pos", value.alias("value"))
+    if matrices:
+        opened = body.mapInArrow(_matrix_values(seed), "tree_id bigint, n bigint, pos bigint, value array<int>")
+    else:
+        value = F.when(F.col("is_open"), unit_element(F.col("tree_id"), F.lit(seed), F.col("pos")))
+        opened = body.select("tree_id", "n", "pos", value.alias("value"))
+    return opened.unionAll(tail.select("tree_id", "n", "pos", F.lit(None).alias("value")))
 
 
 def gen_trees(specs: DataFrame, deepness: float = 0.7, seed: int = 0, matrices: bool = False) -> DataFrame:
