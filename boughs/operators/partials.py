@@ -24,6 +24,9 @@ from ..session import ship_package
 
 FAN_IN = 256
 
+#: Tokens, or entries of partials, that a Python step holds at once; a larger chunk or group is a step of its own.
+STEP_ENTRIES = 1 << 17
+
 
 def partial_schema(algebra: TreeAlgebra) -> T.StructType:
     v, has = T.StructField("v", algebra.result_type), T.StructField("has", T.BooleanType())
@@ -67,21 +70,36 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), column.flatten()
 
 
+def bounded_runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows whose ``sizes`` add up to at most ``limit``, or of one row."""
+    ends, lo, before = np.cumsum(sizes), 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield lo, hi
+        lo, before = hi, int(ends[hi - 1])
+
+
 def chunk_partial(chunks: DataFrame, algebra: TreeAlgebra) -> DataFrame:
     """Token chunks ``(tree_id, chunk_id, tokens)`` -> partials ``(tree_id, chunk_id, cs, abs)``."""
     a_type, v_type = _types(algebra)
 
+    def fold(b: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, tokens = _lists(b.column(2))
+        close = pc.equal(tokens, "/")
+        kind = np.where(close.to_numpy(zero_copy_only=False), CLOSE, OPEN).astype(np.int8)
+        texts = pc.if_else(close, pa.scalar(None, tokens.type), tokens)
+        if algebra.batch is not None:
+            values = algebra.batch.decode(texts)
+        else:
+            values = [None if t is None else algebra.parse(t) for t in texts.to_pylist()]
+        return _batch(b.column(0), b.column(1), fold_events(Events(kind, values, offsets), algebra, a_type, v_type))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, tokens = _lists(b.column(2))
-            close = pc.equal(tokens, "/")
-            kind = np.where(close.to_numpy(zero_copy_only=False), CLOSE, OPEN).astype(np.int8)
-            texts = pc.if_else(close, pa.scalar(None, tokens.type), tokens)
-            if algebra.batch is not None:
-                values = algebra.batch.decode(texts)
-            else:
-                values = [None if t is None else algebra.parse(t) for t in texts.to_pylist()]
-            yield _batch(b.column(0), b.column(1), fold_events(Events(kind, values, offsets), algebra, a_type, v_type))
+            sizes = pc.list_value_length(b.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+            for lo, hi in bounded_runs(sizes, STEP_ENTRIES):
+                # a copy: pyarrow 23 computes if_else wrongly over sliced texts
+                yield fold(b.take(pa.array(np.arange(lo, hi))))
 
     ship_package(chunks.sparkSession)
     rows = chunks.select(F.col("tree_id").cast("bigint"), F.col("chunk_id").cast("bigint"), "tokens")
@@ -151,7 +169,11 @@ def _merge_round(partials: DataFrame, algebra: TreeAlgebra, fan_in: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["tree_id", "blk"]):
-            yield merge(table, group_heads(table, ["tree_id", "blk"]))
+            heads = group_heads(table, ["tree_id", "blk"])
+            entries = sum(pc.list_value_length(table.column(c)).fill_null(0).to_numpy() for c in ("cs", "abs"))
+            ends = np.append(heads, table.num_rows)
+            for lo, hi in bounded_runs(np.add.reduceat(entries, heads), STEP_ENTRIES):
+                yield merge(table.slice(ends[lo], ends[hi] - ends[lo]), heads[lo:hi] - heads[lo])
 
     ship_package(partials.sparkSession)
     rows = partials.select(*names, F.expr(f"chunk_id div {fan_in}").alias("blk"))
