@@ -18,6 +18,9 @@ from .scan import BLOCK_BITS
 
 CLOSE, QUERY, OPEN = 0, 1, 2
 
+#: rows of a file of written entries: numbers in order take a byte or two each, so a file of bytes would hold too many
+ENTRY_ROWS = 1 << 16
+
 
 def match_levels(rows: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """CLOSE and QUERY rows with ``ref``, the ``struct(c, pos)`` of their open (NULL if there is none)."""

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
-from ..operators.match import CLOSE, OPEN, QUERY, match_levels
+from ..operators.match import CLOSE, ENTRY_ROWS, OPEN, QUERY, match_levels
 from ..operators.partials import chunk_partial, chunk_shape
 from ..operators.scan import exclusive_scan
 from ..session import materialize
 from .levels import ordered_reduce
-from .pairs import chunk_depth
+from .pairs import chunk_depth, with_facts
 
 
 def fold_ordered_chunks(chunks: DataFrame, algebra: TreeAlgebra) -> DataFrame:
@@ -42,7 +42,7 @@ def partial_entries(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra
     """
     start = depths.withColumn("n_factors", 2 * (F.col("n_cs") + F.col("n_abs")))
     start = exclusive_scan(start, ["tree_id"], "chunk_id", {"start": ("n_factors", "sum")})
-    rows = partials.join(start.select("tree_id", "chunk_id", "depth", "start"), ["tree_id", "chunk_id"])
+    rows = with_facts(partials, start.select("tree_id", "chunk_id", "depth", "start"), depths.count())
     none_a = F.lit(None).cast(algebra.value_type)
     n_cs, n_abs = F.size("cs"), F.size("abs")
     cs = F.transform(
@@ -100,7 +100,7 @@ def bracket_factors(entries: DataFrame, algebra: TreeAlgebra) -> DataFrame:
 
 
 def fold_ordered_partials(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra) -> DataFrame:
-    entries = materialize(partial_entries(partials, depths, algebra), "entries")
+    entries = materialize(partial_entries(partials, depths, algebra), "entries", file_rows=ENTRY_ROWS)
     top = entries.agg(F.max("pos")).first()[0] or 0
     out = ordered_reduce(bracket_factors(entries, algebra), ["tree_id"], algebra, top + 1)
     return out.select("tree_id", algebra.answer(F.col("v")).alias("value"))

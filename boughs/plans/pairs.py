@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
-from ..operators.match import CLOSE, OPEN, QUERY, match_levels
+from ..operators.match import CLOSE, ENTRY_ROWS, OPEN, QUERY, match_levels
 from ..operators.nearest import visible_pairs
 from ..operators.partials import chunk_partial, chunk_shape
 from ..operators.scan import BLOCK_BITS, exclusive_scan
@@ -23,6 +23,9 @@ from .contraction import SMALL, contract
 
 _LEVEL_BITS = 31
 
+#: partials of a task where they are shuffled; a shuffle cut by bytes gives a task any number that compress well
+_PART_CHUNKS = 1 << 13
+
 
 def chunk_depth(shapes: DataFrame) -> DataFrame:
     """Chunk shapes -> absolute lowest depth of each chunk, and the chunk after it (NULL for the last).
@@ -83,14 +86,22 @@ def pair_tree(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _exploded(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra) -> DataFrame:
-    """One row per entry of each partial, on the level of the node it belongs to.
+def with_facts(partials: DataFrame, facts: DataFrame, n: int) -> DataFrame:
+    """Partials with the facts of their chunks, ``n`` in all.
 
-    The depths are written: up to ``HELD_STARTS`` chunks they are broadcast, so partials stay where they are and only
-    their entries are shuffled; beyond that a shuffle brings partials and depths together.
+    Up to ``HELD_STARTS`` chunks the facts are broadcast, so partials stay where they are; beyond that a shuffle, cut by
+    their number, brings both together.
     """
-    at = depths.select("tree_id", "chunk_id", "depth")
-    rows = partials.join(F.broadcast(at) if depths.count() <= HELD_STARTS else at, ["tree_id", "chunk_id"])
+    key = ["tree_id", "chunk_id"]
+    if n <= HELD_STARTS:
+        return partials.join(F.broadcast(facts), key)
+    # merged: a few MB of partials may be millions of entries, too many to broadcast
+    return partials.repartition(-(-n // _PART_CHUNKS), *key).join(facts.hint("merge"), key)
+
+
+def _exploded(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra) -> DataFrame:
+    """One row per entry of each partial, on the level of the node it belongs to. The depths are written."""
+    rows = with_facts(partials, depths.select("tree_id", "chunk_id", "depth"), depths.count())
     none_a = F.lit(None).cast(algebra.value_type)
     cs = F.transform(
         "cs",
@@ -117,7 +128,7 @@ def pair_pieces(partials: DataFrame, depths: DataFrame, algebra: TreeAlgebra) ->
     closing chunk) or ``middle`` (children in a chunk between them). ``node_c`` is the opening chunk; it is NULL
     for ``middle`` pieces outside any node, which are results of roots.
     """
-    rows = materialize(_exploded(partials, depths, algebra), "entries")
+    rows = materialize(_exploded(partials, depths, algebra), "entries", file_rows=ENTRY_ROWS)
     left = rows.filter(F.col("kind") == OPEN).select(
         "tree_id", F.lit("left").alias("side"), F.col("c").alias("node_c"), "level", "c", "a", "v", "has"
     )

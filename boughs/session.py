@@ -50,11 +50,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/boughs-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the written table."""
+def materialize(df: DataFrame, label: str, partition_by: str | None = None, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the written table.
+
+    Readers are cut by bytes, so a task may get any number of rows that compress well. ``file_rows`` bounds the rows of
+    a file: each file counts for ``spark.sql.files.openCostInBytes`` at least, so few of them are read by one task.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     writer = df.write
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", file_rows)
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
