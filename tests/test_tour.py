@@ -104,3 +104,17 @@ def test_rank_lists():
     tree = np.array([3, 3, 3, 5])
     pos, depth = tour.rank_lists(tree, np.array([10, 4, 7, 20]), np.array([-1, 7, 10, -1]), np.array([1, 1, 2, 2]), np.array([0, 1, -1, 0]))
     assert pos.tolist() == [3, 0, 1, 0] and depth.tolist() == [0, 0, 1, 0]
+
+
+def test_rounds_travel_packed_between_buckets(spark, monkeypatch):
+    """Many buckets per round; elements of a round are a few rows of packed pieces, not a row each."""
+    monkeypatch.setattr(tour, "BUCKET", 500)
+    made, splice = [], tour._splice
+    monkeypatch.setattr(tour, "_splice", lambda sent, i: made.append((sent.buckets, sent.table.count())) or splice(sent, i))
+    n, rng = 3000, random.Random(5)
+    ids = rng.sample(range(-(10**9), 10**9), n)
+    rows = [(t, *e) for t in (3, 4) for e in zip(ids, [None, *ids[:-1]])] + [(5, 1, None), (5, 2, 1)]
+    got = ranks(tour.rank_edges(spark.createDataFrame(rows, KIND), 40))
+    path = {(v, i, 2 * n - 1 - i, i) for i, v in enumerate(ids)}
+    assert got == {3: path, 4: path, 5: {(1, 0, 3, 0), (2, 1, 2, 1)}}
+    assert made[0][0] == 25 and made[-1][0] < 4 and max(rows for _, rows in made) < n
