@@ -13,15 +13,19 @@ BITS = 12
 #: Above this height one shuffle per level is a poor plan; contraction needs a logarithmic number.
 TALL = 30
 CUT_EVERY = 8
+#: ranges that a key may have where all of its ranges come to one task
+TOGETHER = 1 << 16
 
 
 def ordered_reduce(rows: DataFrame, keys: list[str], algebra: TreeAlgebra, top: int) -> DataFrame:
     """Combine ``v`` in ``pos`` order per key, for a ``mult`` that is only associative.
 
     Positions are cut into ranges of 2**BITS, so no group is larger than that, and the range results are
-    combined in the same way until position 0 is all that is left (``top`` is the largest position).
+    combined in the same way until position 0 is all that is left (``top`` is the largest position). Once a key can have
+    no more than ``TOGETHER`` ranges they are shuffled by key, and what follows needs no shuffle.
     """
     mult = algebra.need_column("ordered_reduce").mult
+    together = False
     while True:
         top >>= BITS
         items = F.array_sort(F.collect_list(F.struct("pos", "v")))
@@ -34,6 +38,8 @@ def ordered_reduce(rows: DataFrame, keys: list[str], algebra: TreeAlgebra, top:
         rows = rows.select(*keys, "pos", value.alias("v"))
         if not top:
             return rows.select(*keys, "v")
+        if top < TOGETHER and not together:
+            rows, together = rows.repartition(*keys), True
 
 
 def combine_children(rows: DataFrame, keys: list[str], algebra: TreeAlgebra, top: int) -> DataFrame:

@@ -8,6 +8,7 @@ from conftest import CHUNKS, answers, chunk_rows, random_cuts, random_tokens, st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boughs.catalog.queries import order_hash
 from boughs.functions.algebra import ColumnForm, TreeAlgebra, WrapForm
 from boughs.operators.match import BLOCK_BITS
 from boughs.operators.partials import chunk_partial, chunk_shape
@@ -116,3 +117,17 @@ def test_unbalanced_input_raises(spark, lines):
     chunks = spark.createDataFrame([(1, i, line.split(" ")) for i, line in enumerate(lines)], CHUNKS)
     with pytest.raises(Exception, match="unbalanced"):
         ordered.fold_ordered_chunks(chunks, words).collect()
+
+
+def test_ranges_of_a_key_come_together(spark):
+    """Three rounds of ranges are two shuffles, and the factors stay in order."""
+    rows = [(k, p) for k in range(3) for p in range(0, 1 << 26, 1 << 20)]
+    table = spark.createDataFrame(rows, "k bigint, pos bigint").selectExpr("k", "pos", "named_struct('h', (pos >> 20) + k, 'w', 31L) as v")
+    out = levels.ordered_reduce(table, ["k"], order_hash, 1 << 26)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    want = {}
+    for k, p in rows:
+        h, w = want.get(k, (0, 1))
+        want[k] = ((h * 31 + (p >> 20) + k) % 1_000_003, w * 31 % 1_000_003)
+    assert {r.k: (r.v.h, r.v.w) for r in out.collect()} == want
