@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.algebra import value_sum
 from ..plans.contraction import check_parents
 from ..plans.levels import combine_children
-from ..session import materialize
+from ..session import discard, materialize
 from .skew import spread_join
 from .tour import rank_edges
 
@@ -75,12 +75,15 @@ def number_edges(nodes: DataFrame, height: int | None = None) -> DataFrame:
     level; then ``open = parent's open + 1 + 2 * (sizes of earlier siblings)`` top-down. Taller ones are ranked as
     bracket lists, in logarithmic rounds. Roots of a forest follow each other.
     """
-    found = nodes.agg(F.max("depth")).first()[0] or 0
+    # written once: the depths, the bounds of the ranges and the ranges would each derive the table again
+    given = materialize(nodes, "given")
+    found = given.agg(F.max("depth")).first()[0] or 0
     if height is not None and found > height:
         raise ValueError(f"a node lies deeper than height {height}")
     if found >= LEVELS:
-        return rank_edges(nodes)
-    nodes = materialize(_ranged(nodes), "edges")
+        return rank_edges(given)
+    nodes = materialize(_ranged(given), "edges")
+    discard(given)
     height = found
     sized: list[DataFrame] = []
     below: DataFrame | None = None

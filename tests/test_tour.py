@@ -118,3 +118,19 @@ def test_rounds_travel_packed_between_buckets(spark, monkeypatch):
     path = {(v, i, 2 * n - 1 - i, i) for i, v in enumerate(ids)}
     assert got == {3: path, 4: path, 5: {(1, 0, 3, 0), (2, 1, 2, 1)}}
     assert made[0][0] == 25 and made[-1][0] < 4 and max(rows for _, rows in made) < n
+
+
+def test_number_edges_derives_its_table_once(spark):
+    """The depths, the bounds of the ranges and the ranges come from one run of the source."""
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    n = 500
+    edges = spark.range(n).selectExpr("0L as tree_id", "id as node_id", "if(id = 0, null, (id - 1) div 4) as parent_id", "cast((length(bin(3 * id + 1)) - 1) div 2 as int) as depth")
+    got = number_edges(edges.mapInArrow(rows, edges.schema)).collect()
+    assert read.value == n
+    assert sorted(p for r in got for p in (r.open_pos, r.close_pos)) == list(range(2 * n))
