@@ -54,8 +54,6 @@ GROUP = 8
 BLOCK, WANTED = 2048, 1 << 20
 #: buckets of a set that others are told of, so that a pair with many common buckets is compared in one
 FIRST = 16
-#: sets of a bucket up to which plain numbers are quicker than arrays
-SMALL_BUCKET = 8
 #: texts cut into words at once, in bytes; also tokens of the sets held at once
 CHUNK = 1 << 18
 
@@ -159,15 +157,6 @@ def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return bitmap
 
 
-def _fold_number(bitmap: bytes, words: int) -> int:
-    """As ``_folded``, with a Python number for the bits."""
-    number, size = int.from_bytes(bitmap, "little"), len(bitmap)
-    while size > words:
-        size //= 2
-        number = (number >> 8 * size) ^ (number & ((1 << 8 * size) - 1))
-    return number
-
-
 def _least_overlap(n, m, percent: int):
     """Smallest intersection of sets of ``n`` and ``m`` tokens that link."""
     return -(-percent * (n + m) // (100 + percent))
@@ -253,7 +242,7 @@ def _kinds(df: DataFrame, keys: list[str]) -> str:
 
 
 def _per_set(docs: DataFrame, keys: list[str], text: str, gram: int, seed: int, schema: str, make) -> DataFrame:
-    """Rows that ``make(row numbers, sets, classes)`` gives as columns; ``keys`` of those rows come first."""
+    """Columns that ``make(sets, classes, new)`` gives, after ``keys``; a set is new where its class comes first in a task."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,18 +255,13 @@ def _per_set(docs: DataFrame, keys: list[str], text: str, gram: int, seed: int,
                 ids.append(_class_of(tokens, seed))
                 size += len(tokens)
                 if size >= CHUNK:
-                    yield from made(batch, at, sets, ids, seen)
+                    yield made(batch, at, sets, ids, seen)
                     at, sets, ids, size = [], [], [], 0
-            yield from made(batch, at, sets, ids, seen)
+            yield made(batch, at, sets, ids, seen)
 
-    def made(batch, at, sets, ids, seen) -> Iterator[pa.RecordBatch]:
-        if keys:
-            columns = make(sets, ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in keys), *columns], names=names)
-            return
-        new = [i for i, (c, s) in enumerate(zip(ids, sets)) if len(s) and not (c in seen or seen.add(c))]
-        if new:
-            yield pa.RecordBatch.from_arrays(make([sets[i] for i in new], [ids[i] for i in new]), names=names)
+    def made(batch, at, sets, ids, seen) -> pa.RecordBatch:
+        new = [len(s) > 0 and not (c in seen or seen.add(c)) for c, s in zip(ids, sets)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), *make(sets, ids, new)], names=names)
 
     rows = docs.select(*keys, F.col(text).cast("string").alias("__text"))
     schema = _kinds(docs, keys) + schema
@@ -285,36 +269,63 @@ def _per_set(docs: DataFrame, keys: list[str], text: str, gram: int, seed: int,
     return rows.mapInArrow(run, schema)
 
 
+def _per_class(sets: DataFrame, schema: str, make) -> DataFrame:
+    """Columns that ``make(sets, classes)`` gives for the written sets; a class may be there more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, ids, size = [], [], 0
+            for cls, tokens in zip(batch.column("cls"), batch.column("tokens")):
+                held.append(np.frombuffer(tokens.as_buffer(), np.uint64))
+                ids.append(cls.as_py())
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield made(held, ids)
+                    held, ids, size = [], [], 0
+            if held:
+                yield made(held, ids)
+
+    def made(held, ids) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(make(held, ids), names=names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return sets.select("cls", "tokens").filter("tokens is not null").mapInArrow(run, schema)
+
+
 def _numbers(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
-def _facts(docs: DataFrame, keys: list[str], text: str, gram: int) -> tuple[DataFrame, int]:
-    """``keys, n, cls, bits`` of every row, and the hash seed under which different sets have different classes."""
+def _facts(docs: DataFrame, keys: list[str], text: str, gram: int) -> DataFrame:
+    """``keys, n, cls, bits, tokens`` of every row; different sets have different classes.
+
+    ``tokens`` is NULL for an empty set, and where a task has written the set of this class before.
+    """
     seed = 0
     while True:
 
-        def make(sets, ids):
+        def make(sets, ids, new):
             other = [_class_of(s, seed + 1) for s in sets]
             bits = [sketch(s).tobytes() if len(s) else None for s in sets]
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(bits, pa.binary())]
+            tokens = [s.tobytes() if x else None for s, x in zip(sets, new)]
+            numbers = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], ids, other)]
+            return [*numbers, pa.array(bits, pa.binary()), pa.array(tokens, pa.binary())]
 
-        rows = materialize(_per_set(docs, keys, text, gram, seed, "n bigint, cls bigint, cls2 bigint, bits binary", make), "sets")
+        schema = "n bigint, cls bigint, cls2 bigint, bits binary, tokens binary"
+        rows = materialize(_per_set(docs, keys, text, gram, seed, schema, make), "sets")
         if rows.groupBy("cls").agg(F.min("cls2").alias("a"), F.max("cls2").alias("b")).filter("a <> b").isEmpty():
-            return rows.drop("cls2"), seed
+            return rows.drop("cls2")
         seed += 2
 
 
-def frequent_tokens(
-    docs: DataFrame, text: str, gram: int, seed: int, percent: int, rare: int = RARE, limit: int = FREQUENT
-) -> Prefixes:
-    """Counts the tokens that prefixes can need, over all rows; at most ``limit`` tokens reach the driver."""
+def frequent_tokens(rows: DataFrame, percent: int, rare: int = RARE, limit: int = FREQUENT) -> Prefixes:
+    """Counts the tokens that prefixes can need, over all sets; at most ``limit`` tokens reach the driver."""
 
     def make(sets, ids):
         parts = [s[: max(_zone(s, o) for o in _octaves(len(s), percent))] for s in sets]
         return [_numbers(np.concatenate(parts) if parts else [])]
 
-    counts = _per_set(docs, [], text, gram, seed, "token bigint", make).groupBy("token").count()
+    counts = _per_class(rows, "token bigint", make).groupBy("token").count()
     counts = materialize(counts.filter(F.col("count") > rare), "frequent")
     power = F.floor(F.log2(F.col("count"))).cast("int")
     held, least = 0, rare + 1
@@ -329,7 +340,7 @@ def frequent_tokens(
     return Prefixes(token[order], np.where(df[order] > TRIPLES * least, 3, 2), percent)
 
 
-def _buckets(docs: DataFrame, text: str, gram: int, seed: int, prefixes: Prefixes) -> DataFrame:
+def _buckets(rows: DataFrame, prefixes: Prefixes) -> DataFrame:
     """``sig, cls, hub`` of all buckets with different sets; a bucket of frequent tokens may be of any size."""
 
     def rows_of(single: bool):
@@ -347,7 +358,7 @@ def _buckets(docs: DataFrame, text: str, gram: int, seed: int, prefixes: Prefixe
             return out if single else [*out, pa.array(join(share, np.int32))]
 
         schema = "sig bigint, cls bigint" + ("" if single else ", share int")
-        return _per_set(docs, [], text, gram, seed, schema, make)
+        return _per_class(rows, schema, make)
 
     bucket = Window.partitionBy("sig")  # rare tokens: no more than RARE documents
     rare = rows_of(True).select("sig", "cls", F.min("cls").over(bucket).alias("hub"), F.max("cls").over(bucket).alias("top"))
@@ -383,7 +394,7 @@ def _sieve(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, gram: int, seed: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` that link, by their full sets."""
     wanted = materialize(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "wanted")
     n_wanted = wanted.count()
@@ -392,10 +403,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, gram: int, seed: int
 
     def make(sets, ids):
         ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-        return [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _numbers(np.concatenate(sets) if sets else []))]
+        return [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), _numbers(np.concatenate(sets)))]
 
-    sets = _per_set(docs, [], text, gram, seed, "cls bigint, tokens array<bigint>", make)
-    sets = sets.join(F.broadcast(wanted) if n_wanted <= WANTED else wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    held = rows.select("cls", "tokens").join(F.broadcast(wanted) if n_wanted <= WANTED else wanted, "cls", "left_semi")
+    sets = _per_class(held, "cls bigint, tokens array<bigint>", make).dropDuplicates(["cls"])
     sets = materialize(sets, "tokens")
     side = lambda x: sets.select(F.col("cls").alias(x), F.col("tokens").alias(f"t_{x}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -404,6 +415,79 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, gram: int, seed: int
     return materialize(met.filter(enough).select("a", "b"), "links")
 
 
+class _Bitmaps:
+    """The bitmaps of a table's rows, each also folded to every shorter length that another row has."""
+
+    def __init__(self, maps: list[bytes]) -> None:
+        self.words = np.array([len(m) // 8 for m in maps])
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        longer, rows = np.empty((0, 0), np.uint64), np.empty(0, np.int64)
+        for w in np.unique(self.words)[::-1].tolist():
+            while len(rows) and longer.shape[1] > w:
+                longer = longer[:, : longer.shape[1] // 2] ^ longer[:, longer.shape[1] // 2 :]
+            own = np.flatnonzero(self.words == w)
+            here = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), np.uint64).reshape(-1, w)
+            longer, rows = np.concatenate([longer, here]) if len(rows) else here, np.append(rows, own)
+            place = np.zeros(len(maps), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.folded[w] = longer, place
+
+    def differing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Differing bits of rows ``i`` and ``j``, at the length of the shorter bitmap."""
+        out, shorter = np.empty(len(i), np.int64), np.minimum(self.words[i], self.words[j])
+        for w, (maps, place) in self.folded.items():
+            chosen = np.flatnonzero(shorter == w)
+            step = max(1, CHUNK // w)
+            for at in range(0, len(chosen), step):
+                own = chosen[at : at + step]
+                bits = np.bitwise_count(maps[place[i[own]]] ^ maps[place[j[own]]])
+                out[own] = bits.sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _close_pairs(table: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of whole buckets ``(sig, x, y)`` that lie in different components and may link.
+
+    Rows are compared with those ``d`` places behind, for all buckets at once. ``first`` are a set's first buckets: a pair
+    that shares one below this bucket was compared there.
+    """
+    sig, root, n = (table.column(c).to_numpy() for c in ("sig", "root", "n"))
+    heads = group_heads(table, ["sig", "x", "y"])
+    sizes = np.diff(heads, append=table.num_rows)
+    left = np.repeat(heads + sizes, sizes) - np.arange(table.num_rows)
+    maps = _Bitmaps(table.column("bits").to_pylist())
+    first = table.column("first").combine_chunks()
+    counts = first.value_lengths().to_numpy()
+    before = np.full((len(n), FIRST), np.iinfo(np.int64).max)
+    before[np.arange(FIRST) < counts[:, None]] = first.flatten().to_numpy()
+
+    def passed(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        close = _may_link(n[i], n[j], maps.differing(i, j), percent)
+        i, j = i[close], j[close]
+        for at in range(0, len(i), CHUNK // FIRST**2):
+            a, b = i[at : at + CHUNK // FIRST**2], j[at : at + CHUNK // FIRST**2]
+            earlier = before[a] < sig[a, None]
+            known = ((before[a][:, :, None] == before[b][:, None, :]) & earlier[:, :, None]).any(axis=(1, 2))
+            yield a[~known], b[~known]
+
+    held, size = [], 0
+    rows = np.flatnonzero(left > 1)
+    d = 1
+    while len(rows):
+        i, j = rows, rows + d
+        may = (root[i] != root[j]) & (percent * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j]))
+        held.append((i[may], j[may]))
+        size += len(held[-1][0])
+        if size >= CHUNK:
+            yield from passed(held)
+            held, size = [], 0
+        d += 1
+        rows = rows[left[rows] > d]
+    if held:
+        yield from passed(held)
+
+
 def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs ``a, b`` of different components in one bucket that sizes and bitmaps let pass."""
     members = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("bigint"))
@@ -413,48 +497,12 @@ def _across(members: DataFrame, percent: int, block: int) -> DataFrame:
     x, y = F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")
     rows = members.select("sig", x, y, "cls", "root", "n", "bits", "first").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
 
-    def few(cls, root, n, bits, sig: int, first) -> list[tuple[int, int]]:
-        words = min(map(len, bits))
-        maps = [_fold_number(m, words) for m in bits]
-        before = [{s for s in f if s < sig} for f in first]
-        return [
-            (cls[i], cls[j])
-            for i, j in combinations(range(len(cls)), 2)
-            if root[i] != root[j]
-            and _may_link(n[i], n[j], (maps[i] ^ maps[j]).bit_count(), percent)
-            and before[i].isdisjoint(before[j])
-        ]
-
-    def many(cls, root, n, bits, sig: int, first) -> list[tuple[int, int]]:
-        cls, root, n = (np.array(x) for x in (cls, root, n))
-        maps = [np.frombuffer(b, np.uint64) for b in bits]
-        words = min(map(len, maps))
-        maps = np.array([_folded(m, words) for m in maps])
-        before = np.full((len(cls), FIRST), sig)
-        for i, f in enumerate(first):
-            before[i, : len(f)] = f
-        before[before > sig] = sig
-        out = []
-        for i in range(len(cls) - 1):
-            j = np.flatnonzero((root[i + 1 :] != root[i]) & (percent * np.maximum(n[i + 1 :], n[i]) <= 100 * np.minimum(n[i + 1 :], n[i]))) + i + 1
-            j = j[_may_link(n[i], n[j], np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64), percent)]
-            own = before[i][before[i] < sig]
-            if len(j) and len(own):
-                j = j[~np.isin(before[j], own).any(axis=1)]
-            out += [(int(cls[i]), int(c)) for c in cls[j]]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["sig", "x", "y"]):
-            starts = group_heads(table, ["sig", "x", "y"]).tolist()
-            # ``first``: a set's first buckets; a pair that shares one below this bucket was compared there
-            cls, root, n, bits, sig, first = (table.column(c).to_pylist() for c in ("cls", "root", "n", "bits", "sig", "first"))
-            out = []
-            for a, b in zip(starts, [*starts[1:], table.num_rows]):
-                pairs_of = few if b - a <= SMALL_BUCKET else many
-                out += pairs_of(cls[a:b], root[a:b], n[a:b], bits[a:b], sig[a], first[a:b])
-            both = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=1)), pa.array(both.max(axis=1))], names=["a", "b"])
+            cls = table.column("cls").to_numpy()
+            for i, j in _close_pairs(table, percent):
+                a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -481,16 +529,16 @@ def jaccard_groups(
 ) -> DataFrame:
     """``keys, n_shingles, component_id``: size of the set, and the smallest first key reachable over links."""
     ship_package(docs.sparkSession)
-    rows, seed = _facts(docs, keys, text, gram)
-    prefixes = frequent_tokens(docs, text, gram, seed, percent, rare)
-    met = _buckets(docs, text, gram, seed, prefixes)
+    rows = _facts(docs, keys, text, gram)
+    prefixes = frequent_tokens(rows, percent, rare)
+    met = _buckets(rows, prefixes)
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min(keys[0]).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = materialize(classes, "classes")
 
     # against the hub of each bucket first
     hub = lambda rows: rows.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
     tried = materialize(_sieve(hub(met.filter("cls <> hub")), classes, percent), "hub-pairs")
-    links = _verified(tried, docs, text, gram, seed, percent)
+    links = _verified(tried, rows, percent)
     members = materialize(_open_buckets(met.select("sig", "cls"), links), "open")
 
     # where components still meet, against a set drawn for each bucket: near copies meet in many, so most of them join
@@ -498,7 +546,7 @@ def jaccard_groups(
     drawn = drawn.select("sig", F.col("d.cls").alias("hub"), F.col("d.root").alias("hub_root"))
     pairs = hub(members.join(drawn, "sig").filter("root <> hub_root")).join(tried, ["a", "b"], "left_anti")
     again = materialize(_sieve(pairs, classes, percent), "drawn-pairs")
-    links = links.unionByName(_verified(again, docs, text, gram, seed, percent))
+    links = links.unionByName(_verified(again, rows, percent))
     tried = tried.unionByName(again)
 
     # then the sets of different components that still meet
@@ -507,7 +555,7 @@ def jaccard_groups(
     facts = classes.select("cls", "n", "bits").join(members.groupBy("cls").agg(first), "cls")
     rest = _across(members.join(facts, "cls"), percent, block).join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
-    links = links.unionByName(_verified(rest, docs, text, gram, seed, percent))
+    links = links.unionByName(_verified(rest, rows, percent))
 
     linked = components(links).select(F.col("node").alias("cls"), "root")
     root = F.coalesce("root", "cls").alias("root")

@@ -74,3 +74,40 @@ def test_keys_stay_in_proportion():
     x = np.sort(np.random.default_rng(1).integers(0, 2**64, 20_000, np.uint64))
     single, combined, _ = nj.Prefixes(x, np.full(len(x), 2)).keys(x, 14)
     assert not len(single) and len(combined) < len(x)
+
+
+def test_texts_are_cut_into_sets_once(spark, monkeypatch):
+    """Counts, buckets and checks read the written sets, not the texts again."""
+    made, per_set = [], nj._per_set
+    monkeypatch.setattr(nj, "_per_set", lambda *a: made.append(a) or per_set(*a))
+    rng = random.Random(3)
+    rows = list(enumerate(t for n in (8, 40, 200) for t in _copies(rng, 12, n, max(1, n // 20))))
+    got = nj.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], rare=2)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == sorted(brute.jaccard_groups(rows), key=repr)
+    assert len(made) == 1
+
+
+def test_close_pairs_of_buckets():
+    """All pairs of each bucket, whatever its size, without those of one component or known from an earlier bucket."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for sig, size in enumerate([1, 2, 40, 3, 9, 700]):
+        for i in range(size):
+            n = int(rng.integers(1, 400))
+            tokens = np.unique(rng.integers(0, 2**64, n, np.uint64) if i % 3 else np.arange(1, n + 1).astype(np.uint64))
+            first = sorted({sig, *rng.integers(-40, 10, rng.integers(1, nj.FIRST)).tolist()})[: nj.FIRST]
+            rows.append({"sig": sig, "x": 0, "y": 0, "root": int(rng.integers(0, 5)), "n": len(tokens), "bits": nj.sketch(tokens).tobytes(), "first": first})
+    want = set()
+    for i, a in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
+            if a["sig"] == b["sig"] and a["root"] != b["root"]:
+                x, y = (np.frombuffer(r["bits"], np.uint64) for r in (a, b))
+                words = min(len(x), len(y))
+                differing = int(np.bitwise_count(nj._folded(x, words) ^ nj._folded(y, words)).sum())
+                known = {s for s in a["first"] if s < a["sig"]} & set(b["first"])
+                if nj._may_link(a["n"], b["n"], differing, 85) and not known:
+                    want.add((i, j))
+    table = nj.pa.Table.from_pylist(rows)
+    got = [(int(i), int(j)) for x, y in nj._close_pairs(table, 85) for i, j in zip(x, y)]
+    assert len(got) == len(set(got)) and set(got) == want and want
