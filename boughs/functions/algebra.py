@@ -112,6 +112,30 @@ class BatchForm:
         """Contexts ``k, p`` of the affine form, applied to one value each."""
         raise NotImplementedError
 
+    #: whether contexts can be formed and composed in numpy; the methods below are needed only then
+    composes = False
+
+    def knows(self, k: pa.Array, p: pa.Array) -> np.ndarray:
+        """Contexts that the numpy form takes."""
+        return np.zeros(len(k), bool)
+
+    def contexts(self, k: pa.Array, p: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self.from_arrow(k), self.from_arrow(p)
+
+    def context_arrays(self, k: np.ndarray, p: np.ndarray, valid: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        return self.to_arrow(k, valid), self.to_arrow(p, valid)
+
+    def of_node(self, a: np.ndarray, s: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New arrays ``(k, p)``; ``s`` counts where ``has``."""
+        raise NotImplementedError
+
+    def compose(self, ku: np.ndarray, pu: np.ndarray, kl: np.ndarray, pl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def through(self, k: np.ndarray, p: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """``apply`` to contexts in numpy."""
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class TreeAlgebra:
@@ -172,6 +196,32 @@ class _MaxPathBatch(BatchForm):
     def apply(self, k, p, x):
         return np.maximum(k.fill_null(-(1 << 63)).to_numpy(), self.plus(p.to_numpy(), x))
 
+    # a context without a finished child has no k, here the least number
+    _NO_K = -(1 << 63)
+    composes = True
+
+    def knows(self, k, p):
+        return p.is_valid().to_numpy(zero_copy_only=False)
+
+    def contexts(self, k, p):
+        return k.fill_null(self._NO_K).to_numpy().copy(), p.fill_null(0).to_numpy().copy()
+
+    def context_arrays(self, k, p, valid):
+        return self.to_arrow(k, valid & (k != self._NO_K)), self.to_arrow(p, valid)
+
+    def of_node(self, a, s, has):
+        k = np.full(len(a), self._NO_K)
+        k[has] = self.plus(a[has], s[has])
+        return k, a.copy()
+
+    def compose(self, ku, pu, kl, pl):
+        k, known = ku.copy(), kl != self._NO_K
+        k[known] = np.maximum(ku[known], self.plus(pu[known], kl[known]))
+        return k, self.plus(pu, pl)
+
+    def through(self, k, p, x):
+        return np.maximum(k, self.plus(p, x))
+
 
 max_path_sum = TreeAlgebra(
     name="max_path_sum",
@@ -431,7 +481,21 @@ class _AutomatonBatch(BatchForm):
         return np.bitwise_or.reduceat(values, starts, axis=0)
 
     def apply(self, k, p, x):
-        return self.from_arrow(k) | matrix.product_batch(self.from_arrow(p), x)
+        return self.through(self.from_arrow(k), self.from_arrow(p), x)
+
+    composes = True
+
+    def knows(self, k, p):
+        return k.is_valid().to_numpy(zero_copy_only=False) & p.is_valid().to_numpy(zero_copy_only=False)
+
+    def of_node(self, a, s, has):
+        return matrix.product_batch(a, np.where(has[:, None], s, 0)), a.copy()
+
+    def compose(self, ku, pu, kl, pl):
+        return ku | matrix.product_batch(pu, kl), matrix.product_batch(pu, pl)
+
+    def through(self, k, p, x):
+        return k | matrix.product_batch(p, x)
 
 
 path_automaton = TreeAlgebra(
@@ -479,6 +543,27 @@ class _ValueSumBatch(BatchForm):
     def apply(self, k, p, x):
         return self.plus(k.to_numpy(), x)
 
+    # p is NULL in every context
+    composes = True
+
+    def knows(self, k, p):
+        return k.is_valid().to_numpy(zero_copy_only=False)
+
+    def contexts(self, k, p):
+        return k.fill_null(0).to_numpy().copy(), np.zeros(len(k), np.int64)
+
+    def context_arrays(self, k, p, valid):
+        return self.to_arrow(k, valid), self.to_arrow(p, np.zeros(len(p), bool))
+
+    def of_node(self, a, s, has):
+        return self.plus(a, np.where(has, s, 0)), np.zeros(len(a), np.int64)
+
+    def compose(self, ku, pu, kl, pl):
+        return self.plus(ku, kl), pu
+
+    def through(self, k, p, x):
+        return self.plus(k, x)
+
 
 value_sum = TreeAlgebra(
     name="value_sum",

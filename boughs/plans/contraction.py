@@ -8,7 +8,8 @@ because it took over ancestors. A round
 * compresses: of a chain of nodes with one unfinished child each, a random part is taken over by the only
   child, so that a chain loses a quarter of its nodes per round on average.
 
-Trees that are down to ``SMALL`` rows, which the loop checks, are finished by one task per group of trees.
+Trees that are down to ``SMALL`` rows, which the loop checks, are finished by one task per group of trees. A state of
+more than ``PIECE`` rows is first contracted inside ranges of node numbers (``pieces.py``).
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.algebra import BatchForm, TreeAlgebra
-from ..functions.grouped import whole_groups
+from ..functions.grouped import whole_groups, with_null_lists, without_null_lists
 from ..operators.skew import spread_join
 from ..session import discard, materialize, ship_package
+from .pieces import PIECE, contract_pieces, give, locate
 
 SMALL = 50_000
 
@@ -41,7 +43,7 @@ def check_parents(nodes: DataFrame) -> None:
         raise ValueError("parent not found")
 
 
-def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> DataFrame:
+def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     """Flat node set ``(tree_id, node_id, parent_id, value)`` -> ``(tree_id, value)``, any height.
 
     Raises for a missing parent and for a cycle, whatever the size of the tree.
@@ -59,7 +61,7 @@ def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> D
         F.lit(None).cast(algebra.result_type).alias("s"),
         F.lit(False).alias("has"),
     )
-    roots = contract(state, algebra, small)
+    roots = contract(state, algebra, small, piece)
     value = algebra.column.agg(F.col("v")).alias("value")
     return roots.groupBy("tree_id").agg(value).select("tree_id", algebra.answer(F.col("value")).alias("value"))
 
@@ -69,7 +71,7 @@ def _value(algebra: TreeAlgebra) -> Column:
     return F.when(F.col("wrapped"), algebra.affine.apply(F.col("k"), F.col("p"), x)).otherwise(x)
 
 
-def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> DataFrame:
+def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piece: int = PIECE) -> DataFrame:
     """Root results ``(tree_id, v)`` of the trees in ``state``."""
     algebra.need_affine("contract")
     state = materialize(state.select(*_STATE), "state")
@@ -83,7 +85,10 @@ def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL) -> Data
     done = [_finish(sized.filter(F.col("size") <= small).drop("size"), algebra)]
     state = sized.filter(F.col("size") > small).drop("size")
     kids = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
-    state = materialize(state.join(kids, ["tree_id", "id"], "left").na.fill(0, ["n"]), "state")
+    if algebra.batch is not None and total > piece:
+        state = contract_pieces(state, kids, algebra, total, piece)
+    else:
+        state = materialize(state.join(kids, ["tree_id", "id"], "left").na.fill(0, ["n"]), "state")
     turn, before = 0, None
     while True:
         largest, total = state.groupBy("tree_id").count().agg(F.max("count"), F.sum("count")).first()
@@ -170,18 +175,10 @@ def _compress(state: DataFrame, algebra: TreeAlgebra, turn: int) -> DataFrame:
 
 def parent_rows(tree: np.ndarray, ids: np.ndarray, parent: pa.ChunkedArray) -> np.ndarray:
     """Row number of each row's parent, -1 for roots."""
-    has = parent.is_valid().to_numpy()
-    values, code = np.unique(ids, return_inverse=True)
-    groups, group = np.unique(tree, return_inverse=True)
-    key = group * len(values) + code
-    order = np.argsort(key)
-    wanted = parent.fill_null(0).to_numpy()
-    at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
-    place = np.minimum(np.searchsorted(key, group * len(values) + at, sorter=order), len(key) - 1)
-    found = order[place]
-    if (has & ((ids[found] != wanted) | (tree[found] != tree))).any():
+    found, has = locate(tree, ids, parent)
+    if (has & (found < 0)).any():
         raise ValueError("parent not found")
-    return np.where(has, found, -1)
+    return found
 
 
 def levels_by_jumps(parent: np.ndarray) -> np.ndarray:
@@ -217,12 +214,7 @@ def _fold_by_level(table: pa.Table, parent: np.ndarray, level: np.ndarray, form:
             return rows, form.to_arrow(x, np.ones(len(x), bool))
         starts = np.flatnonzero(np.diff(parent[rows], prepend=-1))
         up, given = parent[rows[starts]], form.mult_runs(x, starts)
-        both = np.stack([s[up], given], axis=1).reshape(-1, *given.shape[1:])
-        s[up] = given
-        old = has[up]
-        if old.any():
-            s[up[old]] = form.mult_runs(both, np.arange(0, len(both), 2))[old]
-        has[up] = True
+        give(s, has, up, given, form)
     raise AssertionError("unreachable")
 
 
@@ -267,10 +259,10 @@ def _finish(state: DataFrame, algebra: TreeAlgebra) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["tree_id"]):
-            yield fold(table)
+            yield fold(with_null_lists(table))
 
     ship_package(state.sparkSession)
     rows = state.withColumn("tree_id", F.col("tree_id").cast("bigint"))
-    rows = rows.repartition("tree_id").sortWithinPartitions("tree_id")
+    rows = without_null_lists(rows.repartition("tree_id").sortWithinPartitions("tree_id"))
     schema = T.StructType([T.StructField("tree_id", T.LongType()), T.StructField("v", algebra.result_type)])
     return rows.mapInArrow(run, schema)
