@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import TreeAlgebra
-from ..session import materialize
+from ..session import discard, materialize
 from .contraction import check_parents, fold_rounds
 
 BITS = 12
@@ -101,27 +101,35 @@ def fold_star(levels: list[DataFrame], algebra: TreeAlgebra, forest: bool = Fals
     return below.select(F.col("parent_id").alias("tree_id"), algebra.answer(F.col("v")).alias("value"))
 
 
+def _by_depth(nodes: DataFrame) -> DataFrame:
+    return nodes.repartitionByRange("depth", "tree_id", "node_id")
+
+
 def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = None) -> DataFrame:
     """``(tree_id, node_id, parent_id, depth, value)`` -> ``(tree_id, value)``.
 
     With a known ``height`` of a few levels this is one lazy plan, which raises when it meets a deeper node.
-    Otherwise the nodes are written once, ordered by depth, and parents are checked: each level then reads
-    only its own row groups.
+    Otherwise the nodes are written, ordered by depth, and parents are checked: each level then reads only its own row
+    groups. Trees that go to the contraction are written as they come, since it reads every depth alike.
     """
     algebra.need_column("fold_levels")
     nodes = nodes.select("tree_id", "node_id", "parent_id", "depth", "value")
     top = 0
     if height is None or height > CUT_EVERY:
-        nodes = materialize(nodes.repartitionByRange("depth", "tree_id", "node_id"), "levels")
+        may_contract = algebra.affine is not None
+        nodes = materialize(nodes if may_contract else _by_depth(nodes), "levels")
         found, top = nodes.agg(F.max("depth"), F.max("node_id")).first()
         if height is not None and (found or 0) > height:
             raise ValueError(f"a node lies deeper than height {height}")
         height, top = found or 0, top or 0
+        if height > TALL and may_contract:
+            return fold_rounds(nodes, algebra)
+        if may_contract:
+            unordered, nodes = nodes, materialize(_by_depth(nodes), "levels")
+            discard(unordered)
         check_parents(nodes)
     elif algebra.column.agg is None:
         top = nodes.agg(F.max("node_id")).first()[0] or 0
-    if height > TALL and algebra.affine is not None:
-        return fold_rounds(nodes, algebra)
 
     below: DataFrame | None = None
     for depth in range(height, -1, -1):

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from boughs.functions.algebra import max_path_sum, path_automaton, sum_product, value_sum
 from boughs.functions.grouped import with_null_lists, without_null_lists
-from boughs.plans import contraction
+from boughs.plans import contraction, levels
 from boughs.plans.contraction import fold_rounds, levels_by_jumps, parent_rows
 from boughs.plans.pieces import contract_table
 
@@ -185,6 +185,20 @@ def test_composed_contexts_in_numpy(seed):
             assert algebra.affine.apply_value(arrays[0][0].as_py(), arrays[1][0].as_py(), x) == want
 
 
+def test_tall_trees_are_prepared_once(spark, monkeypatch):
+    """Levels that hand a tall tree to the contraction neither sort it by depth nor check its parents twice."""
+    calls = []
+    check = contraction.check_parents
+    for module in (contraction, levels):
+        monkeypatch.setattr(module, "check_parents", lambda nodes: (calls.append(1), check(nodes)))
+    monkeypatch.setattr(levels, "_by_depth", lambda nodes: pytest.fail("sorted by depth"))
+    rows = [(1, i, i - 1 if i else None, i, 2) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "tree_id bigint, node_id bigint, parent_id bigint, depth int, value bigint")
+    assert answers(levels.fold_levels(nodes, value_sum)) == {1: 120} and len(calls) == 1
+    with pytest.raises(ValueError, match="parent"):
+        levels.fold_levels(nodes.filter("node_id <> 7"), value_sum)
+
+
 def test_contexts_in_numpy():
     """The numpy form of each context agrees with the scalar one."""
     rng = random.Random(4)
