@@ -61,7 +61,7 @@ def fold_rounds(nodes: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piec
         F.lit(None).cast(algebra.result_type).alias("s"),
         F.lit(False).alias("has"),
     )
-    roots = contract(state, algebra, small, piece)
+    roots = contract(state, algebra, small, piece, fresh=True)
     value = algebra.column.agg(F.col("v")).alias("value")
     return roots.groupBy("tree_id").agg(value).select("tree_id", algebra.answer(F.col("value")).alias("value"))
 
@@ -71,8 +71,8 @@ def _value(algebra: TreeAlgebra) -> Column:
     return F.when(F.col("wrapped"), algebra.affine.apply(F.col("k"), F.col("p"), x)).otherwise(x)
 
 
-def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piece: int = PIECE) -> DataFrame:
-    """Root results ``(tree_id, v)`` of the trees in ``state``."""
+def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piece: int = PIECE, fresh: bool = False) -> DataFrame:
+    """Root results ``(tree_id, v)`` of the trees in ``state``; in a ``fresh`` one no row has taken over anything."""
     algebra.need_affine("contract")
     state = materialize(state.select(*_STATE), "state")
     sizes = materialize(state.groupBy("tree_id").count(), "sizes")
@@ -86,7 +86,7 @@ def contract(state: DataFrame, algebra: TreeAlgebra, small: int = SMALL, piece:
     state = sized.filter(F.col("size") > small).drop("size")
     kids = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
     if algebra.batch is not None and total > piece:
-        state = contract_pieces(state, kids, algebra, total, piece)
+        state = contract_pieces(state, kids, algebra, total, piece, fresh)
     else:
         state = materialize(state.join(kids, ["tree_id", "id"], "left").na.fill(0, ["n"]), "state")
     turn, before = 0, None

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.algebra import TreeAlgebra
 from ..session import discard, materialize
 from .contraction import check_parents, fold_rounds
+from .pieces import PIECE, rake_pieces
 
 BITS = 12
 #: Above this height one shuffle per level is a poor plan; contraction needs a logarithmic number.
@@ -105,12 +107,18 @@ def _by_depth(nodes: DataFrame) -> DataFrame:
     return nodes.repartitionByRange("depth", "tree_id", "node_id")
 
 
-def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = None) -> DataFrame:
+def _can_rake(nodes: DataFrame, algebra: TreeAlgebra) -> bool:
+    numbers = [nodes.schema[c].dataType for c in ("tree_id", "node_id", "parent_id", "depth")]
+    return algebra.batch is not None and algebra.column.agg is not None and all(isinstance(t, T.IntegralType) for t in numbers)
+
+
+def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = None, piece: int = PIECE) -> DataFrame:
     """``(tree_id, node_id, parent_id, depth, value)`` -> ``(tree_id, value)``.
 
     With a known ``height`` of a few levels this is one lazy plan, which raises when it meets a deeper node.
     Otherwise the nodes are written, ordered by depth, and parents are checked: each level then reads only its own row
-    groups. Trees that go to the contraction are written as they come, since it reads every depth alike.
+    groups. Trees that go to the contraction are written as they come, since it reads every depth alike. More than
+    ``piece`` nodes are first raked inside ranges of their numbers (``pieces.py``), and the levels get what is left.
     """
     algebra.need_column("fold_levels")
     nodes = nodes.select("tree_id", "node_id", "parent_id", "depth", "value")
@@ -118,35 +126,52 @@ def fold_levels(nodes: DataFrame, algebra: TreeAlgebra, height: int | None = Non
     if height is None or height > CUT_EVERY:
         may_contract = algebra.affine is not None
         nodes = materialize(nodes if may_contract else _by_depth(nodes), "levels")
-        found, top = nodes.agg(F.max("depth"), F.max("node_id")).first()
+        found, top, total = nodes.agg(F.max("depth"), F.max("node_id"), F.count("*")).first()
         if height is not None and (found or 0) > height:
             raise ValueError(f"a node lies deeper than height {height}")
         height, top = found or 0, top or 0
         if height > TALL and may_contract:
             return fold_rounds(nodes, algebra)
+        rakes = may_contract and total > piece and _can_rake(nodes, algebra)
+        if not rakes:
+            check_parents(nodes)
         if may_contract:
-            unordered, nodes = nodes, materialize(_by_depth(nodes), "levels")
-            discard(unordered)
-        check_parents(nodes)
+            written = [nodes]
+            if rakes:
+                nodes = rake_pieces(nodes, algebra, total, piece)
+                written.append(nodes)
+                height = nodes.agg(F.max("depth")).first()[0] or 0
+            nodes = materialize(_by_depth(nodes), "levels")
+            for earlier in written:
+                discard(earlier)
     elif algebra.column.agg is None:
         top = nodes.agg(F.max("node_id")).first()[0] or 0
 
+    raked = "has" in nodes.columns
+
+    def node_value(v: Column, found: Column) -> Column:
+        if not raked:
+            return algebra.node_value(F.col("value"), v, found)
+        s = F.when(found & F.col("has"), algebra.column.mult(F.col("s"), v)).when(found, v).otherwise(F.col("s"))
+        return algebra.node_value(F.col("value"), s, F.col("has") | found)
+
     below: DataFrame | None = None
     for depth in range(height, -1, -1):
         level = nodes.filter(F.col("depth") == depth)
         if below is None:
             level = nodes.filter(F.col("depth") >= depth)
             deeper = F.raise_error(f"a node lies deeper than height {height}").cast(algebra.result_type)
-            leaf: Column = algebra.need_column("fold_levels").hom(F.col("value"))
+            nothing = F.lit(None).cast(algebra.result_type)
+            leaf: Column = node_value(nothing, F.lit(False)) if raked else algebra.column.hom(F.col("value"))
             value = F.when(F.col("depth") > depth, deeper).otherwise(leaf)
         else:
             level = level.join(below, ["tree_id", "node_id"], "left")
-            value = algebra.node_value(F.col("value"), F.col("v"), F.coalesce("has", F.lit(False)))
+            value = node_value(F.col("v"), F.coalesce("found", F.lit(False)))
         done = level.select("tree_id", "parent_id", F.col("node_id").alias("pos"), value.alias("v"))
         if depth == 0:
             return fold_forest(done.drop("parent_id"), algebra, top)
         below = combine_children(done, ["tree_id", "parent_id"], algebra, top)
-        below = below.select("tree_id", F.col("parent_id").alias("node_id"), "v", F.lit(True).alias("has"))
+        below = below.select("tree_id", F.col("parent_id").alias("node_id"), "v", F.lit(True).alias("found"))
         if (height - depth) % CUT_EVERY == CUT_EVERY - 1:
             below = materialize(below, "level")
     raise AssertionError("unreachable")

@@ -1,4 +1,4 @@
-"""Rake and compress inside pieces of the node numbers, before the rounds of ``contract``.
+"""Rake and compress inside pieces of the node numbers, before the rounds of ``contract`` and the levels of ``fold_levels``.
 
 Nodes are cut into ranges of their numbers. Inside a range everything whose neighbours are there too is contracted in
 numpy: finished subtrees go into their parents, chains become one node. Where numbers follow the tree, as positions
@@ -27,23 +27,25 @@ PIECE = 1 << 17
 LEAST = 1 << 14
 
 _KEY = ["tree_id", "id"]
+#: what a row has taken over; rows that have taken nothing yet go to Python without it
+_TAKEN = ["k", "p", "wrapped", "s", "has"]
 
 
-def contract_pieces(state: DataFrame, kids: DataFrame, algebra: TreeAlgebra, total: int, piece: int = PIECE) -> DataFrame:
+def contract_pieces(
+    state: DataFrame, kids: DataFrame, algebra: TreeAlgebra, total: int, piece: int = PIECE, fresh: bool = False
+) -> DataFrame:
     """The state with ``n``, written, as long as a pass over ranges leaves at most half of it.
 
-    ``kids`` has the number ``n`` of children of each parent; it goes with the nodes, so that no join is needed.
+    ``kids`` has the number ``n`` of children of each parent; it goes with the nodes, so that no join is needed. A
+    ``fresh`` state is one in which no row has taken over anything.
     """
-    known = F.col("id").isNotNull()
-    # rows without a number are nobody's parent
-    loose = state.filter(~known).withColumn("n", F.lit(0).cast("bigint"))
-    rows = state.filter(known).withColumns({"n": F.lit(0).cast("bigint"), "kids": F.lit(None).cast("bigint")})
-    rows = rows.unionByName(kids.select(*_KEY, F.col("n").alias("kids")), allowMissingColumns=True)
+    rows, loose = _with_kids(state, kids)
+    rows = rows.drop(*_TAKEN) if fresh else rows
     earlier, before = None, total
     while True:
-        parts = max(-(-before // piece), min(state.sparkSession.sparkContext.defaultParallelism, before // LEAST))
-        left = _contracted(rows.repartitionByRange(max(parts, 1), *_KEY), algebra, piece)
+        left = _contracted(rows, algebra, before, piece)
         left = materialize(left if earlier is not None else left.unionByName(loose), "state")
+        fresh = False
         if earlier is not None:
             discard(earlier)
         now = left.count()
@@ -53,16 +55,49 @@ def contract_pieces(state: DataFrame, kids: DataFrame, algebra: TreeAlgebra, tot
         rows = left.withColumn("kids", F.lit(None).cast("bigint"))
 
 
-def _contracted(rows: DataFrame, algebra: TreeAlgebra, piece: int) -> DataFrame:
+def rake_pieces(nodes: DataFrame, algebra: TreeAlgebra, total: int, piece: int = PIECE) -> DataFrame:
+    """``(tree_id, node_id, parent_id, depth, value)`` with ``s`` and ``has``, the product of finished children and whether
+    there is any: a subtree inside a range is folded into the parent of its root. Chains stay, and with them all depths."""
+    state = nodes.select(
+        "tree_id", F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), "depth", F.col("value").alias("a")
+    )
+    kids = state.filter("parent is not null").groupBy("tree_id", F.col("parent").alias("id")).agg(F.count("*").alias("n"))
+    rows, loose = _with_kids(state, kids)
+    loose = loose.withColumns({"s": F.lit(None).cast(algebra.result_type), "has": F.lit(False)})
+    left = _contracted(rows, algebra, total, piece, compress=False).unionByName(loose, allowMissingColumns=True)
+    left = left.withColumnsRenamed({"id": "node_id", "parent": "parent_id", "a": "value"})
+    left = materialize(left.select(*[F.col(f.name).cast(f.dataType) for f in nodes.schema.fields], "s", "has", "n"), "raked")
+    if not left.filter("n < 0 or (tree_id is null and parent_id is not null)").isEmpty():
+        raise ValueError("parent not found")
+    return left.drop("n")
+
+
+def _with_kids(state: DataFrame, kids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a first pass, and those that take no part: without a number they are nobody's parent."""
+    known = F.col("tree_id").isNotNull() & F.col("id").isNotNull()
+    loose = state.filter(~known).withColumn("n", F.lit(0).cast("bigint"))
+    rows = state.filter(known).withColumns({"n": F.lit(0).cast("bigint"), "kids": F.lit(None).cast("bigint")})
+    counts = kids.filter(known).select(*_KEY, F.col("n").alias("kids"))
+    return rows.unionByName(counts, allowMissingColumns=True), loose
+
+
+def _contracted(rows: DataFrame, algebra: TreeAlgebra, total: int, piece: int, compress: bool = True) -> DataFrame:
     form = algebra.batch
-    kinds = {f.name: f.dataType for f in rows.schema.fields} | {c: T.LongType() for c in ("tree_id", "id", "parent", "n")}
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in rows.columns if c != "kids"])
+    parts = max(-(-total // piece), min(rows.sparkSession.sparkContext.defaultParallelism, total // LEAST), 1)
+    rows = rows.repartitionByRange(parts, *_KEY)
+    taken = {"k": algebra.result_type, "p": algebra.affine.p_type, "wrapped": T.BooleanType(), "s": algebra.result_type, "has": T.BooleanType()}
+    kinds = {f.name: f.dataType for f in rows.drop("kids").schema.fields} | {c: T.LongType() for c in ("tree_id", "id", "parent", "n")}
+    if not compress:
+        taken = {c: taken[c] for c in ("s", "has")}
+    schema = T.StructType([T.StructField(c, t) for c, t in (kinds | taken).items()])
 
     arrow = to_arrow_schema(schema)
 
     def contracted(tables: list[pa.Table]) -> pa.RecordBatch:
-        batch = contract_table(with_null_lists(pa.concat_tables(tables)), form)
-        return pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in arrow], schema=arrow)
+        batch = contract_table(with_null_lists(pa.concat_tables(tables)), form, compress)
+        none = {f.name: pa.nulls(batch.num_rows, f.type) for f in arrow if f.name not in batch.schema.names}
+        columns = [none[f.name] if f.name in none else batch.column(f.name).cast(f.type) for f in arrow]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -109,31 +144,46 @@ def _heads(rows: np.ndarray, turn: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63) == 1
 
 
-def contract_table(table: pa.Table, form: BatchForm) -> pa.RecordBatch:
+def contract_table(table: pa.Table, form: BatchForm, compress: bool = True) -> pa.RecordBatch:
     """Contract a piece: nodes, and rows with only a number of ``kids``, sorted by tree and node.
 
     Nodes that are there twice, and contexts that the numpy form does not know, stay as they are; so does what depends
-    on them. A NULL value counts as zero.
+    on them. A NULL value counts as zero. Where there is a ``depth`` it is as in levels: nodes with a NULL value stay, and
+    only nodes of the next depth go into a node.
     """
+    compress = compress and form.composes
     heads = group_heads(table, _KEY)
     group = np.repeat(np.arange(len(heads)), np.diff(heads, append=table.num_rows))
     kids = table.column("kids")
     node = ~kids.is_valid().to_numpy()
     count = np.add.reduceat(kids.fill_null(0).to_numpy(), heads)
     twice = np.add.reduceat(node.astype(np.int64), heads) > 1
+    lost = np.flatnonzero(np.add.reduceat(node.astype(np.int64), heads) == 0)
+    lost = {c: table.column(c).take(pa.array(heads[lost])).combine_chunks() for c in _KEY} | {"n": pa.array(np.full(len(lost), -1))}
     group, table = group[node], table.filter(pa.array(node)).drop_columns(["kids"])
     if not table.num_rows:
-        return pa.RecordBatch.from_pylist([], table.schema)
+        return _with_lost({}, lost if "depth" in table.column_names else {})
 
     n = table.column("n").to_numpy() + count[group]
     col = {c: table.column(c).combine_chunks() for c in table.column_names}
-    wrapped, has = (col[c].to_numpy(zero_copy_only=False).copy() for c in ("wrapped", "has"))
-    fixed = twice[group] | wrapped & ~form.knows(col["k"], col["p"])
-    a, s = form.from_arrow(col["a"]), form.from_arrow(col["s"]).copy()
-    k, p = form.contexts(col["k"], col["p"]) if form.composes else (None, None)
+    fresh = "s" not in col
+    fixed, a = twice[group], form.from_arrow(col["a"])
+    if fresh:
+        wrapped, has = np.zeros((2, len(n)), bool)
+        k, p, s = np.zeros((3, *a.shape), a.dtype)
+    else:
+        wrapped, has = (col[c].to_numpy(zero_copy_only=False).copy() for c in ("wrapped", "has"))
+        fixed = fixed | wrapped & ~form.knows(col["k"], col["p"])
+        s = form.from_arrow(col["s"]).copy()
+        k, p = form.contexts(col["k"], col["p"]) if compress else (None, None)
+    if "depth" in col:
+        fixed |= col["a"].is_null().to_numpy(zero_copy_only=False)
     up, has_parent = locate(col["tree_id"].to_numpy(), col["id"].to_numpy(), table.column("parent"))
     parent = col["parent"].fill_null(0).to_numpy().copy()
     up = np.where((up >= 0) & ~fixed & ~fixed[up], up, -1)
+    if "depth" in col:
+        depth = col["depth"].cast(pa.int64()).fill_null(-2).to_numpy()
+        up = np.where(depth[up] == depth - 1, up, -1)
 
     alive = np.ones(len(n), bool)
     near, turn = np.flatnonzero(up >= 0), 0
@@ -155,7 +205,7 @@ def contract_table(table: pa.Table, form: BatchForm) -> pa.RecordBatch:
             n[to] -= np.diff(starts, append=len(leaves))
             alive[leaves] = False
             near = near[alive[near]]
-        below = near[(n[up[near]] == 1) & (up[near] != near)] if form.composes else near[:0]
+        below = near[(n[up[near]] == 1) & (up[near] != near)] if compress else near[:0]
         if not len(below) and not len(leaves):
             break
         # a node with heads goes into its only unfinished child, unless that goes into its own
@@ -174,16 +224,26 @@ def contract_table(table: pa.Table, form: BatchForm) -> pa.RecordBatch:
 
     left = np.flatnonzero(alive)
     rows = pa.array(left)
-    out = {c: col[c].take(rows) for c in ("tree_id", "id", "a", "k", "p")}
+    out = {c: x.take(rows) for c, x in col.items()}
     out["parent"] = pa.array(parent[left], mask=~has_parent[left])
-    if col["a"].null_count:
+    if "depth" not in col and col["a"].null_count:
         out["a"] = form.to_arrow(a[left], np.ones(len(left), bool))
     changed = ~fixed[left]
-    out["s"] = _mixed(form.to_arrow(s[left], has[left] & changed), col["s"].take(rows), changed)
-    if form.composes:
-        new = form.context_arrays(k[left], p[left], wrapped[left] & changed)
-        out["k"], out["p"] = (_mixed(x, out[c], changed) for c, x in zip("kp", new))
+    new = {"s": form.to_arrow(s[left], has[left] & changed)}
+    if compress:
+        new |= zip("kp", form.context_arrays(k[left], p[left], wrapped[left] & changed))
+    out |= {c: x if fresh else _mixed(x, out[c], changed) for c, x in new.items()}
     out |= {c: pa.array(x[left]) for c, x in (("wrapped", wrapped), ("has", has), ("n", n))}
+    return _with_lost(out, lost if "depth" in col else {})
+
+
+def _with_lost(out: dict[str, pa.Array], lost: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The rows, and those of parents that are not there: they have a negative ``n``, and are only of use to levels."""
+    more = len(lost["n"]) if lost else 0
+    if not out:
+        out = lost or {c: pa.array([], pa.int64()) for c in [*_KEY, "n"]}
+    elif more:
+        out = {c: pa.concat_arrays([x, lost[c].cast(x.type) if c in lost else pa.nulls(more, x.type)]) for c, x in out.items()}
     return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 

@@ -185,6 +185,51 @@ def test_composed_contexts_in_numpy(seed):
             assert algebra.affine.apply_value(arrays[0][0].as_py(), arrays[1][0].as_py(), x) == want
 
 
+LEVELS = "tree_id int, node_id bigint, parent_id bigint, depth int, value bigint"
+
+
+@pytest.mark.parametrize("algebra", _ALL, ids=lambda a: a.name)
+def test_levels_of_raked_pieces(spark, monkeypatch, algebra):
+    """Levels get only what pieces leave, and give the same."""
+    rng = random.Random(7)
+    trees = {t: random_tokens(rng, 600, 0.4, _VALUES[algebra.name], 1 + t % 2) for t in range(4)}
+    want = {t: strict_fold(x, algebra) for t, x in trees.items()}
+    fine = {t: v for t, v in want.items() if v != -(1 << 63)}
+    rows = []
+    for t in fine:
+        depth = {None: -1}
+        for _, i, p, v in _nodes(t, trees[t]):
+            depth[i] = depth[p] + 1
+            rows.append((t, i, p, depth[i], v))
+    left = []
+    by_depth = levels._by_depth
+    monkeypatch.setattr(levels, "_by_depth", lambda nodes: (left.append(nodes.count()), by_depth(nodes))[1])
+    monkeypatch.setattr(levels, "TALL", 1000)
+    schema = LEVELS if algebra is not path_automaton else LEVELS.replace("value bigint", "value array<int>")
+    out = levels.fold_levels(spark.createDataFrame(rows, schema).repartition(3), algebra, piece=400)
+    assert fine and answers(out) == fine and out.schema["tree_id"].dataType.simpleString() == "int"
+    assert left[0] < len(rows) / 2
+
+
+def test_levels_of_raked_pieces_leave_out_what_they_did(spark):
+    """NULL values, repeated and missing numbers, and depths that do not follow the parents."""
+    rows = [(1, i, (i - 1) // 3 if i else None, 0, i % 11) for i in range(800)]
+    depth = [0]
+    for i in range(1, 800):
+        depth.append(depth[(i - 1) // 3] + 1)
+    rows = [(t, i, p, depth[i] + (i == 500), None if i % 97 == 5 else v) for t, i, p, _, v in rows]
+    rows += [(1, 300, 99, 6, 900), (1, 90, 29, depth[90], 7), (1, None, 20, 4, 5000), (None, 3, None, 0, 4)]
+    rows += [(1, 2000, 700, None, 10**6)]
+    nodes = spark.createDataFrame(rows, LEVELS).repartition(3)
+    for algebra in (max_path_sum, value_sum):
+        want = answers(levels.fold_levels(nodes, algebra))
+        assert answers(levels.fold_levels(nodes, algebra, piece=100)) == want
+    orphans = [(1, 5000, 4000, 3, 1), (None, 5, 3, 1, 1), (1, 5000, 799 + 10**9, 3, 1)]
+    for orphan in orphans:
+        with pytest.raises(ValueError, match="parent not found"):
+            levels.fold_levels(nodes.unionByName(spark.createDataFrame([orphan], LEVELS)), max_path_sum, piece=100)
+
+
 def test_tall_trees_are_prepared_once(spark, monkeypatch):
     """Levels that hand a tall tree to the contraction neither sort it by depth nor check its parents twice."""
     calls = []
